@@ -7,7 +7,7 @@ import importlib.util
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dimstar.llm import bpe, exact_dedup, packing, quality, secrets
+from dimstar.llm import bpe, chat, exact_dedup, line_dedup, ngram_join, packing, quality, secrets, spotsigs, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,27 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(table(spark, sf_dir, "documents"), n=3, per_hundred=90)
+
+
+def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")), payloads=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_common_lines(table(spark, sf_dir, "documents"))
+
+
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_secrets(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
@@ -46,7 +67,13 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_vocabulary())
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_exact_dedup, op7_secret_scans, op8_bpe, op9_best_fit_packing)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_classifier, op2_exact_dedup, op3_ngram_jaccard_join, op4_document_fingerprints, op5_warc, op6_line_dedup,
+        op7_secret_scans, op8_bpe, op9_best_fit_packing, op10_chat_formatting,
+    )
+}
 
 SQL = {
     "op2_exact_dedup": """
@@ -58,4 +85,38 @@ SQL = {
         FROM documents
         WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
+    "op6_line_dedup": """
+        WITH lines AS (
+            SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line,
+                   unnest(range(len(string_split(text, chr(10))))) AS i
+            FROM documents
+        ), common AS (
+            SELECT line FROM lines WHERE trim(line) <> '' AND source IS NOT NULL GROUP BY line HAVING count(DISTINCT source) >= 5
+        )
+        SELECT doc_id,
+               coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE line NOT IN (SELECT line FROM common)), '') AS text,
+               count(*) AS n_lines,
+               count(*) FILTER (WHERE line IN (SELECT line FROM common)) AS n_removed
+        FROM lines
+        GROUP BY doc_id
+    """,
+    "op10_chat_formatting": """
+        WITH turns AS (
+            SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(role, ''), coalesce(text, '')) AS i
+            FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL
+        ), whole AS (
+            SELECT conv_id, count(*) AS n, list({'role': role, 'text': text} ORDER BY i) AS turns FROM turns GROUP BY conv_id
+        ), one AS (
+            SELECT min(conv_id) AS conv_id, n, turns FROM whole GROUP BY n, turns
+        ), kept AS (
+            SELECT conv_id FROM one a
+            WHERE NOT EXISTS (SELECT 1 FROM one b WHERE b.n > a.n AND b.turns[1] = a.turns[1] AND b.turns[1:a.n] = a.turns)
+        )
+        SELECT conv_id, count(*) AS n_turns,
+               string_agg('<|im_start|>' || replace(role, '<|', '< |') || chr(10) || replace(text, '<|', '< |') || '<|im_end|>' || chr(10),
+                          '' ORDER BY i) AS text
+        FROM turns JOIN kept USING (conv_id)
+        GROUP BY conv_id
+    """,
 }
