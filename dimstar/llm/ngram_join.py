@@ -6,19 +6,22 @@ texts; the bound holds whatever the corpus) and are random otherwise, with anoth
 prefix token under the first order are compared by their prefixes under all orders: each prefix bounds the similarity from above,
 and a pair has to pass every one. Only what is left is verified with the whole sets.
 
-A group of thousands of near copies would make millions of pairs. So links to one pivot per document are verified first, and the
-components that these make are taken as one: only buckets in which two components meet go on to the second pass, and there only
-pairs of documents from different components are made. A pair within one component can't change the result.
+A group of thousands of near copies would make millions of pairs. So links from each document to a few pivots of its buckets are
+verified first, in rounds with other pivots each, and linked labels become the smaller one: documents with one label are known to be
+connected. Only buckets in which two labels meet go on, and the last, complete pass makes only pairs of documents with
+different labels. A pair of one label can't change the result. The number of tokens that two prefixes share bounds the similarity
+too, before any of them is read.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dimstar.functions.runtime import bounded_batches, materialize, ship_code
@@ -27,9 +30,11 @@ from dimstar.llm.skew import attach_groups, keep_ids
 from dimstar.llm.wordhash import groups, mix, word_hashes
 
 #: At most this many tokens are put last by their frequency; 16 bytes each are sent to every task.
-HOT_TOKENS = 131_072
-#: Tokens are counted in runs of this many; a run reports those that it has at least three times.
+HOT_TOKENS = 524_288
+#: Tokens are counted in runs of this many; a run reports those that it has more than once.
 RUN = 2_000_000
+#: Pivots per document and round, and rounds at most; the complete pass that follows doesn't depend on them.
+PIVOTS, ROUNDS = 3, 4
 
 _SEEDS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89], np.uint64)
 
@@ -76,7 +81,7 @@ def frequent_tokens(docs: DataFrame, text_col: str, n: int) -> tuple[np.ndarray,
 
         def report():
             tokens, times = np.unique(np.concatenate(run), return_counts=True)
-            many = times >= 3
+            many = times >= 2
             return pa.RecordBatch.from_arrays([pa.array(tokens[many].view(np.int64)), pa.array(times[many].astype(np.int64))], ["token", "n"])
 
         for batch in batches:
@@ -102,19 +107,23 @@ class TokenOrders:
     def __init__(self, tokens: np.ndarray, times: np.ndarray, orders: int):
         self.tokens, self.times, self.orders = tokens, np.minimum(times, (1 << 31) - 1).astype(np.uint64), orders
 
-    def keys(self, s: np.ndarray, order: int) -> np.ndarray:
+    def _frequency(self, s: np.ndarray) -> np.ndarray:
+        """The counts of the frequent tokens of s, 0 for others."""
+        if not len(self.tokens) or not len(s):
+            return np.zeros(len(s), np.uint64)
+        at = np.minimum(np.searchsorted(self.tokens, s), len(self.tokens) - 1)
+        return np.where(self.tokens[at] == s, self.times[at], np.uint64(0))
+
+    def keys(self, s: np.ndarray, order: int, frequency: np.ndarray | None = None) -> np.ndarray:
+        frequency = self._frequency(s) if frequency is None else frequency
         hashed = mix(s ^ _SEEDS[order])
-        out = hashed >> np.uint64(1)
-        if len(self.tokens) and len(s):
-            at = np.minimum(np.searchsorted(self.tokens, s), len(self.tokens) - 1)
-            hot = self.tokens[at] == s
-            out[hot] = np.uint64(1 << 63) | (self.times[at[hot]] << np.uint64(32)) | (hashed[hot] >> np.uint64(32))
-        return out
-
-    def prefix(self, s: np.ndarray, length: int, order: int) -> np.ndarray:
-        """The first `length` tokens of the sorted set s, in the order; ties of keys go by the token."""
-        keys = self.keys(s, order)
-        return s[np.argsort(keys, kind="stable")[:length]]
+        last = np.uint64(1 << 63) | (frequency << np.uint64(32)) | (hashed >> np.uint64(32))
+        return np.where(frequency > 0, last, hashed >> np.uint64(1))
+
+    def prefixes(self, s: np.ndarray, length: int) -> list[np.ndarray]:
+        """The first `length` tokens of the sorted set s in each order; ties of keys go by the token."""
+        frequency = self._frequency(s)
+        return [s[np.argsort(self.keys(s, k, frequency), kind="stable")[:length]] for k in range(self.orders)]
 
     def bound(self, x: np.ndarray, nx: int, y: np.ndarray, ny: int, order: int) -> tuple[int, int]:
         """At most this intersection and at least this union, from two prefixes under the order."""
@@ -155,7 +164,7 @@ class NgramJoin:
                     length = len(s) - math.ceil(per_hundred * len(s) / 100) + 1
                     # a smaller set has no other set near enough: one token more or less is too much
                     alone = 100 * len(s) < per_hundred * (len(s) + 1)
-                    prefixes.append([] if alone or not len(s) else [rank.prefix(s, length, k).view(np.int64) for k in range(rank.orders)])
+                    prefixes.append([] if alone or not len(s) else [p.view(np.int64) for p in rank.prefixes(s, length)])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.int64()), pa.array(prefixes, pa.list_(pa.list_(pa.int64())))],
                     ["id", "n", "digest", "prefixes"],
@@ -173,11 +182,11 @@ class NgramJoin:
         return attach_groups(rows.select("id", "n", F.struct("digest", "n").alias("key")), found, "key", "rows", total).select("id", "n", "first")
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) of ids whose sets are near enough."""
+        """Those of the pairs (a, b, ca, cb) of ids whose sets are near enough; the labels ca and cb are carried along."""
         rank, per_hundred, n = self.rank, self.per_hundred, self.n
         pairs = materialize(pairs, "ngram-pairs")
         ends = lambda p: p.select(F.col("a").alias("id")).union(p.select(F.col("b"))).distinct()
-        small = keep_ids(self.sets.select("id", "n", "prefixes"), ends(pairs), "id", "left_semi").dropDuplicates(["id"])
+        small = keep_ids(self.sets.select("id", "n", "prefixes"), ends(pairs), "id", "left_semi")
         side = lambda df, s: df.select(*(F.col(c).alias(f"{c}_{s}" if c != "id" else s) for c in df.columns))
 
         @F.arrow_udf("boolean")
@@ -195,7 +204,7 @@ class NgramJoin:
             return pa.array(out, pa.bool_())
 
         near = pairs.join(side(small, "a"), "a").join(side(small, "b"), "b")
-        left = materialize(near.filter(possible("n_a", "prefixes_a", "n_b", "prefixes_b")).select("a", "b"), "ngram-candidates")
+        left = materialize(near.filter(possible("n_a", "prefixes_a", "n_b", "prefixes_b")).select("a", "b", "ca", "cb"), "ngram-candidates")
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -213,35 +222,89 @@ class NgramJoin:
 
         kind = self.docs.schema["id"].dataType.simpleString()
         texts = keep_ids(self.docs, ends(left), "id", "left_semi")
-        sets = materialize(texts.mapInArrow(whole, f"id {kind}, tokens binary"), "ngram-sets").dropDuplicates(["id"])
+        sets = materialize(texts.mapInArrow(whole, f"id {kind}, tokens binary"), "ngram-sets")
         full = left.join(side(sets, "a"), "a").join(side(sets, "b"), "b")
-        return materialize(full.filter(linked("tokens_a", "tokens_b")).select("a", "b"), "ngram-links")
+        return materialize(full.filter(linked("tokens_a", "tokens_b")).select("a", "b", "ca", "cb").distinct(), "ngram-links")
+
+    def _plausible(self, na, nb, shared):
+        """Can sets of na and nb tokens be near enough if their prefixes share `shared` tokens?
+
+        The prefix that ends first in the order has all its unshared tokens outside the other set.
+        """
+        t = self.per_hundred
+        behind = lambda n: F.expr(f"({t} * {n} + 99) div 100") - 1  # noqa: E731  tokens after the prefix
+        most = F.least(F.greatest(behind(na), behind(nb)) + shared, F.col(na), F.col(nb))
+        return 100 * most >= t * (F.col(na) + F.col(nb) - most)
+
+    def _by_size(self, members: DataFrame) -> DataFrame:
+        """(token, node, n, own): buckets divided by bands of set sizes, as sets of very different sizes can't be near enough.
+
+        Sizes that may go together are in one band or in two neighbouring ones. So each node is in its own band (own) and the next,
+        and a pair belongs to the bucket that is the own one of either.
+        """
+        width = math.log(100 / self.per_hundred) * (1 + 1e-6) if self.per_hundred < 100 else 1e-6
+        band = F.floor(F.log("n") / width)
+        bands = F.array(F.struct(band.alias("band"), F.lit(True).alias("own")), F.struct((band + 1).alias("band"), F.lit(False).alias("own")))
+        rows = members.select("token", "node", "n", F.inline(bands)).select(F.xxhash64("token", "band").alias("token"), "node", "n", "own")
+        rows = materialize(rows, "ngram-bands")
+        shared = rows.groupBy("token").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.bool_or("own").alias("some"))
+        return rows.join(shared.filter("least < most and some").select("token"), "token")
+
+    def _round(self, grouped: DataFrame, nth: int) -> DataFrame:
+        """Links of documents b to pivots a of another label: in each bucket the member with the smallest hash of the round."""
+        entry = F.struct(F.xxhash64(F.lit(nth), "node").alias("hash"), "node", "n", "c")
+        pivots = grouped.groupBy("token").agg(F.min(entry).alias("p"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi")
+        pivots = pivots.select("token", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.c").alias("pivot_c"))
+        votes = grouped.join(pivots, "token").filter("c != pivot_c").groupBy("node", "n", "c", "pivot", "pivot_n", "pivot_c").agg(F.count(F.lit(1)).alias("votes"))
+        # a pivot isn't drawn in every shared bucket: half of the needed tokens are enough here
+        likely = votes.filter(self._plausible("n", "pivot_n", 2 * F.col("votes")))
+        best = Window.partitionBy("node").orderBy(F.desc("votes"), "pivot")
+        likely = likely.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= PIVOTS)
+        return self._verified(likely.select(F.col("pivot").alias("a"), F.col("node").alias("b"), F.col("pivot_c").alias("ca"), F.col("c").alias("cb")))
+
+    def _lower_labels(self, links: DataFrame) -> DataFrame:
+        """(c, new): the smallest label linked to the smallest one that is linked to label c, or that one, where it is below c.
+
+        All documents with label c are connected to some with the new one, so labels go on to mean connected documents.
+        """
+        ends = links.select(F.col("ca").alias("c"), F.col("cb").alias("d")).unionByName(links.select(F.col("cb").alias("c"), F.col("ca").alias("d")))
+        near = materialize(ends.groupBy("c").agg(F.least("c", F.min("d")).alias("m")), "ngram-labels")
+        two = near.join(near.select(F.col("c").alias("m"), F.col("m").alias("mm")), "m", "left")
+        return two.select("c", F.least("m", "mm").alias("new"))
 
     def components(self) -> DataFrame:
         """(id, n, component) of each row of the table; component is null for rows without an id."""
         classes = materialize(self._classes(), "ngram-members")
         copies = classes.filter("id != first").select("id").distinct()
         firsts = keep_ids(self.sets.filter("size(prefixes) > 0 and id is not null"), copies, "id", "left_anti")
-        tokens = firsts.select(F.col("id").alias("node"), F.explode(F.col("prefixes")[0]).alias("token"))
-        shared = tokens.groupBy("token").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot < last")
-        members = materialize(tokens.join(shared.select("token", "pivot"), "token"), "ngram-buckets")
-
-        votes = members.filter("node != pivot").groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("n"))
-        chosen = votes.groupBy("node").agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("pivot"))
-        links = self._verified(chosen.select(F.col("pivot").alias("a"), F.col("node").alias("b")))
-
-        label = materialize(connected_components(links), "ngram-labels")
-        grouped = members.join(label, "node", "left").select("token", "node", F.coalesce("component", "node").alias("c"))
-        meet = grouped.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("token")
-        mixed = materialize(grouped.join(meet, "token"), "ngram-mixed")
-        apart = mixed.select("token", "c").distinct()
+        tokens = firsts.select(F.col("id").alias("node"), "n", F.explode(F.col("prefixes")[0]).alias("token"))
+        shared = tokens.groupBy("token").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most")
+        members = materialize(self._by_size(tokens.join(shared.select("token"), "token")), "ngram-buckets")
+
+        links, grouped, before = [], members.withColumn("c", F.col("node")), None
+        for nth in range(1, ROUNDS + 1):
+            links.append(self._round(grouped, nth))
+            grouped = grouped.join(self._lower_labels(links[-1]), "c", "left").withColumn("c", F.least("c", "new")).drop("new")
+            parts = grouped.groupBy("token", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("token")
+            parts = parts.agg(F.sum("m").alias("s"), F.sum(F.col("m") * F.col("m")).alias("q"), F.count(F.lit(1)).alias("labels"))
+            meet = materialize(parts.filter("labels > 1"), "ngram-meetings")
+            grouped = materialize(grouped.join(meet.select("token"), "token"), "ngram-mixed")
+            # pairs of different labels that the complete pass would make, and rows that they come from
+            pairs, rows = meet.agg(F.coalesce(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2.0), F.lit(0.0)), F.coalesce(F.sum("s"), F.lit(0))).first()
+            if pairs <= rows or (before is not None and pairs > 0.9 * before):
+                break
+            before = pairs
+
+        apart = grouped.select("token", "c").distinct()
         met = apart.select("token", F.col("c").alias("ca")).join(apart.select("token", F.col("c").alias("cb")), "token").filter("ca < cb")
-        pairs = met.join(mixed.select("token", F.col("c").alias("ca"), F.col("node").alias("a")), ["token", "ca"]).join(
-            mixed.select("token", F.col("c").alias("cb"), F.col("node").alias("b")), ["token", "cb"]
-        )
-        more = self._verified(pairs.select("a", "b").distinct())
-
-        final = connected_components(links.unionByName(more)).select(F.col("node").alias("first"), "component")
+        end = lambda s: grouped.select("token", F.col("c").alias(f"c{s}"), F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("own").alias(f"own{s}"))
+        both = met.join(end("a"), ["token", "ca"]).join(end("b"), ["token", "cb"])
+        near = 100 * F.least("na", "nb") >= self.per_hundred * F.greatest("na", "nb")
+        counted = both.filter(near & (F.col("owna") | F.col("ownb"))).groupBy("a", "na", "b", "nb").agg(F.count(F.lit(1)).alias("shared"))
+        fine = counted.filter(self._plausible("na", "nb", F.col("shared")))
+        links.append(self._verified(fine.select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb"))))
+
+        final = connected_components(functools.reduce(DataFrame.unionByName, links).select("a", "b")).select(F.col("node").alias("first"), "component")
         placed = classes.join(final, "first", "left").select("id", "n", F.coalesce("component", "first").alias("component"))
         bare = self.sets.filter("n = 0 or id is null").select("id", "n", F.col("id").alias("component"))
         return placed.unionByName(bare)
