@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import duckdb
 import numpy as np
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -20,7 +21,7 @@ def rows(frame) -> list[tuple]:
     frame = frame[sorted(frame.columns)]
 
     def plain(x):
-        if x is None or x != x:
+        if x is None or x is pd.NA or x is pd.NaT or x != x:
             return None
         if isinstance(x, (bool, np.bool_)):
             return bool(x)
