@@ -1,0 +1,294 @@
+"""Quality scores, fingerprints, secret scans, tokens, packing and the pipeline, against brute force and held-out labels."""
+
+import functools
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from cases import edge_docs, edge_rows, no_docs
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from dimstar.llm import bpe, packing, quality, queries, secrets, spotsigs
+
+VOCABULARY = queries.public_vocabulary()
+
+
+def sha(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+@functools.cache
+def plain_library():
+    t = Tokenizer.from_file(VOCABULARY)
+    t.no_truncation()
+    t.no_padding()
+    return t
+
+
+@pytest.fixture(scope="module")
+def library():
+    return plain_library()
+
+
+# Quality
+
+
+def test_quality_of_held_out_texts(spark):
+    folder = "/root/testdata/sf0.01"
+    scores = queries.op1_quality_classifier(spark, folder)
+    told = scores.join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").toPandas()
+    assert scores.count() == 1000
+    assert (told.held_out == told.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % 3 == 1)).all()
+    held = told[told.held_out]
+    assert held.score.between(0, 1).all() and (held.predicted == (held.score >= 0.5)).all()
+    assert (held.predicted == held.quality).mean() >= 0.9
+
+
+def test_quality_never_sees_held_out_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    flipped = labels.withColumn("quality", F.when(quality.held_out(), 1 - F.col("quality")).otherwise(F.col("quality")))
+    a, b = quality.train_quality(docs, labels), quality.train_quality(docs.drop("lang", "source"), flipped)
+    x = np.random.default_rng(1).random((50, len(quality.FEATURES)))
+    assert (a.score(x) == b.score(x)).all()
+
+
+def test_quality_of_edge_cases(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 20)] + [(4, None), (None, 1), (5, 7)], "doc_id long, quality int")
+    model = quality.train_quality(edge_docs(spark), labels)
+    found = quality.score_quality(edge_docs(spark), model).collect()
+    assert len(found) == len(edge_rows()) and all(0 <= r.score <= 1 for r in found)
+    assert len({r.score for r in found if r.doc_id in (1, 2)}) == 1
+    assert quality.score_quality(no_docs(spark), quality.train_quality(no_docs(spark), labels)).count() == 0
+    assert quality.keep_good(edge_docs(spark), model).columns == edge_docs(spark).columns
+
+
+def test_shallow_trees_and_pairs():
+    rng = np.random.default_rng(3)
+    x = rng.random((2000, 3))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)  # only the pair tells
+    model = quality.AdditiveModel().fit(x[:1500], y[:1500], n_pairs=1)
+    assert model.pairs == [(0, 1)]
+    assert ((model.score(x[1500:]) >= 0.5) == y[1500:]).mean() > 0.9
+
+
+# Fingerprints
+
+
+def check_fingerprints(found, rows):
+    rows = sorted(((r[0], r[1] or "") for r in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode()))
+    wanted, got, prints = Counter(), Counter(), {}
+    for k, (i, text) in enumerate(rows):
+        follow = rows[(k + 1) % len(rows)][1]
+        cut = len(text) // 4
+        wanted[i, len(text), sha(text[: len(text) - cut] + follow[:cut])] += 1
+        prints.setdefault(text, set())
+    for r in found:
+        got[r.doc_id, r.n_chars, r.edited_sha256] += 1
+    assert got == wanted
+    texts, by_id = defaultdict(list), {}
+    for i, t in rows:
+        texts[i].append(t)
+    for r in found:
+        if len(set(texts[r.doc_id])) == 1:
+            prints[texts[r.doc_id][0]].add(r.fingerprint)
+            by_id[r.doc_id] = r
+        chars = lambda s: {s[k : k + 5] for k in range(0, len(s), 5)}
+        a, b = chars(r.fingerprint), chars(r.edited_fingerprint)
+        assert r.near_edited == pytest.approx(len(a & b) / len(a | b) if a | b else 1)
+    assert all(len(p) <= 1 for p in prints.values())
+    for k, (i, _) in enumerate(rows[:-1]):
+        j = rows[k + 1][0]
+        if i in by_id and j in by_id and len(texts[i]) == len(texts[j]) == 1:
+            a, b = chars(by_id[i].fingerprint), chars(by_id[j].fingerprint)
+            assert by_id[i].near_next == pytest.approx(len(a & b) / len(a | b) if a | b else 1)
+
+
+def test_fingerprints(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    check_fingerprints(queries.op4_document_fingerprints(spark, sf).collect(), [tuple(r) for r in docs.select("doc_id", "text").collect()])
+    check_fingerprints(spotsigs.fingerprint_documents(edge_docs(spark), chars_at_once=1000).collect(), edge_rows())
+    assert spotsigs.fingerprint_documents(no_docs(spark)).count() == 0
+    one = spotsigs.fingerprint_documents(edge_docs(spark).filter("doc_id = 17")).collect()
+    assert len(one) == 1 and one[0].near_next == 1.0
+
+
+def plain_signatures(text: str) -> set:
+    words = re.findall(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", text.lower() if text.isascii() else text)
+    content = lambda k: [w for w in words[k + 1 :] if w not in spotsigs.ANCHORS][: spotsigs.CHAIN]
+    return {(w, *content(k)) for k, w in enumerate(words) if w in spotsigs.ANCHORS and len(content(k)) == spotsigs.CHAIN}
+
+
+def test_signatures_are_anchors_with_chains(spark, sf):
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect() if r.text and r.text.isascii() and len(r.text) < 5000]
+    sets = list(spotsigs.signature_sets(texts))
+    plain = list(map(plain_signatures, texts))
+    assert sum(map(len, plain)) > 100
+    assert [len(s) for s, p in zip(sets, plain) if p] == [len(p) for p in plain if p]
+
+
+@given(st.sets(st.integers(0, 300)), st.sets(st.integers(0, 300)), st.sampled_from([0.0, 0.3, 0.5, 0.8, 1.0]))
+def test_pruned_likeness(a, b, least):
+    exact = len(a & b) / len(a | b) if a | b else 1.0
+    found = spotsigs.likeness(np.array(sorted(a), int), np.array(sorted(b), int), least, block=7)
+    assert found == (exact if exact >= least else 0.0)
+    assert (spotsigs.signatures_of(spotsigs.fingerprint(np.array(sorted(a), int))) == sorted(a)).all() or not a
+
+
+# Secrets
+
+PATTERNS = (
+    (re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 6),
+    (re.compile(r"AKIA[A-Z0-9]+"), 0, 20),
+    (re.compile(r"[0-9a-f]+"), 0, 24),
+)
+
+
+def plain_base(text: str) -> list[tuple[int, int, int]]:
+    return sorted((m.start(), k, m.end()) for k, (p, g, least) in enumerate(PATTERNS) for m in p.finditer(text) if len(m[g]) >= least)
+
+
+def check_secrets(found, texts):
+    for r, text in zip(found, texts, strict=True):
+        base = plain_base(text or "")
+        written = [f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in base]
+        assert r.base_spans == ",".join(written)
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == j for _, k, _ in base) for j in range(3)]
+        assert set(written) <= set(filter(None, r.spans.split(",")))
+
+
+def test_secret_scans(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = secrets.train_detector(docs)
+    rows = docs.select("doc_id", "text").collect()
+    check_secrets(secrets.scan_secrets(docs, model).collect(), [r.text for r in rows])
+    edge = edge_docs(spark)
+    check_secrets(secrets.scan_secrets(edge, model).collect(), [r[1] for r in edge_rows()])
+    assert secrets.scan_secrets(no_docs(spark)).count() == 0 and secrets.redact_secrets(no_docs(spark)).count() == 0
+    for r in secrets.redact_secrets(edge, model).collect():
+        assert r.text is None or not plain_base(r.text)
+
+
+def test_detector_finds_unseen_keys():
+    codes, labels = secrets.generated_findings(1200, seed=1)
+    model = secrets.CharCNN().fit(codes[:900], labels[:900]).calibrate(codes[600:900], labels[600:900], 0.95)
+    new, told = secrets.generated_findings(600, seed=2)
+    hit = model.probability(new) >= model.threshold
+    assert hit[told == 1].mean() > 0.85 and hit[told == 0].mean() < 0.1
+
+
+# Tokens
+
+
+def check_tokens(found, texts, library):
+    for r, text in zip(found, texts, strict=True):
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        assert r.n_tokens == len(ids) and r.ids_sha256 == sha(",".join(map(str, ids)))
+        assert r.decoded_sha256 == sha(library.decode(ids, skip_special_tokens=False))
+
+
+def test_tokens_are_the_librarys(spark, sf, library):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    check_tokens(queries.op8_bpe(spark, sf).collect(), [r.text for r in docs.select("text").collect()], library)
+    check_tokens(bpe.encoding_digests(edge_docs(spark), VOCABULARY).collect(), [r[1] for r in edge_rows()], library)
+    assert bpe.encoding_digests(no_docs(spark), VOCABULARY).count() == 0
+    back = bpe.decode_ids(bpe.encode_texts(edge_docs(spark), VOCABULARY), VOCABULARY).collect()
+    assert [r.text for r in back] == [r[1] or "" for r in edge_rows()]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(st.one_of(st.sampled_from("aeinrst '\n\t01.,-"), st.characters(exclude_categories=["Cs"])), max_size=60))
+def test_tokens_of_any_text(text):
+    library = plain_library()
+    ids = next(bpe.vocabulary(VOCABULARY).encode_batch([text]))
+    assert ids == library.encode(text, add_special_tokens=False).ids
+    assert bpe.vocabulary(VOCABULARY).decode(ids) == library.decode(ids, skip_special_tokens=False)
+
+
+# Packing
+
+
+def check_packing(found, rows, library, size=1024):
+    wanted = Counter()
+    for r in rows:
+        ids = [*library.encode(r[1] or "", add_special_tokens=False).ids, 2]
+        first = len(ids) % size or size
+        at = 0
+        for k, end in enumerate(range(first, len(ids) + 1, size) if len(ids) > size else [len(ids)]):
+            wanted[r[0], k, at, end - at, zlib.crc32(np.array(ids[at:end], "<u4").tobytes())] += 1
+            at = end
+    assert Counter((r[0], r.piece, r.start, r.length, r.ids_crc32) for r in found) == wanted
+    places = defaultdict(list)
+    for r in found:
+        places[r.sequence_id].append((r.offset, r.length))
+    for spans in places.values():
+        spans.sort()
+        assert [o for o, _ in spans] == [0, *np.cumsum([n for _, n in spans])[:-1].tolist()]
+        assert sum(n for _, n in spans) <= size
+    least = -(-sum(r.length for r in found) // size)
+    assert len(places) <= 1.02 * least + 1
+
+
+def test_packing(spark, sf, library):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    check_packing(queries.op9_best_fit_packing(spark, sf).collect(), docs.select("doc_id", "text").collect(), library)
+    check_packing(packing.pack_documents(edge_docs(spark), VOCABULARY).collect(), edge_rows(), library)
+    assert packing.pack_documents(no_docs(spark), VOCABULARY).count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(1, 64), st.integers(1, 500), max_size=20))
+def test_plans_place_every_length_once(histogram):
+    plan, filled = packing.make_plan(histogram, 64), Counter()
+    for length, table in plan.arrays().items():
+        ends = [*table[1:, 0].tolist(), histogram[length]]
+        assert table[0, 0] == 0
+        for (first, base, each, at), end in zip(table.tolist(), ends):
+            for rank in range(first, end):
+                nth = rank - first
+                filled[base + nth // each, at + nth % each * length] += length
+    totals = Counter()
+    for (sequence, _), length in filled.items():
+        totals[sequence] += length
+    assert sum(totals.values()) == sum(k * v for k, v in histogram.items()) and max(totals.values(), default=0) <= 64
+
+
+# The pipeline
+
+
+def test_pipeline_stage_by_stage(spark, sf, library):
+    import corpus_pipeline as pipeline
+    from test_llm_dedup import linked_classes
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").cache()
+    labels = queries.table(spark, sf, "labels")
+    good = pipeline.keep_good(spark, docs, sf).cache()
+    scores = {r.doc_id: r.score for r in quality.score_quality(docs, quality.train_quality(docs, labels)).collect()}
+    assert {r.doc_id for r in good.collect()} == {i for i, s in scores.items() if s >= 0.5}
+    one = pipeline.drop_exact_copies(spark, good, sf).cache()
+    last = {r.text: r.doc_id for r in good.orderBy("doc_id").collect()}
+    assert {r.doc_id for r in one.collect()} == set(last.values())
+    apart = pipeline.drop_near_copies(spark, one, sf).cache()
+    wanted = linked_classes([(r.doc_id, r.text) for r in one.collect()], 5, 80)
+    assert {r.doc_id for r in apart.collect()} == {i for i, _, c in wanted if i == c}
+    safe = pipeline.redact_secrets(spark, apart, sf).cache()
+    assert safe.count() == apart.count()
+    assert all(not plain_base(r.text or "") for r in safe.collect())
+    assert [f.name for f in docs.schema] == [f.name for f in safe.schema]
+    packed = pipeline.pack(spark, safe, sf).collect()
+    check_packing(packed, [(r.doc_id, r.text) for r in safe.collect()], library)
+    assert len(pipeline.run(spark, sf).collect()) == len(packed)
+
+
+def test_pipeline_of_an_empty_table(spark, sf):
+    import corpus_pipeline as pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
+    for _, stage in pipeline.STAGES:
+        docs = stage(spark, docs, sf)
+    assert docs.count() == 0
