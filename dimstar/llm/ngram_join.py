@@ -29,8 +29,8 @@ from dimstar.llm.components import connected_components
 from dimstar.llm.skew import attach_groups, keep_ids
 from dimstar.llm.wordhash import groups, mix, word_hashes
 
-#: At most this many tokens are put last by their frequency; 16 bytes each are sent to every task.
-HOT_TOKENS = 524_288
+#: At most this many tokens are put last by their frequency; 16 bytes each are sent to every task. Rarer ones than FREQUENT never are.
+HOT_TOKENS, FREQUENT = 262_144, 4
 #: Tokens are counted in runs of this many; a run reports those that it has more than once.
 RUN = 2_000_000
 #: Pivots per document and round, and rounds at most; the complete pass that follows doesn't depend on them.
@@ -74,7 +74,7 @@ def shingle_sets(texts: list[str | None], n: int) -> Iterator[np.ndarray]:
 
 
 def frequent_tokens(docs: DataFrame, text_col: str, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The at most HOT_TOKENS most frequent tokens over all texts, sorted, and their counts."""
+    """The most frequent tokens over all texts, sorted, and their counts: whole steps of counts, HOT_TOKENS at most."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run, size = [], 0
@@ -95,8 +95,16 @@ def frequent_tokens(docs: DataFrame, text_col: str, n: int) -> tuple[np.ndarray,
             yield report()
 
     counted = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    rows = counted.orderBy(F.desc("n"), "token").limit(HOT_TOKENS).collect()
-    tokens, times = np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[1] for r in rows], np.int64)
+    steps = F.floor(F.log2("n") * 8).cast("int")  # a few hundred at most, whatever the counts
+    counted = materialize(counted.filter(F.col("n") >= FREQUENT).withColumn("step", steps), "ngram-frequent")
+    least, size = None, 0
+    for step, tokens_there in counted.groupBy("step").count().orderBy(F.desc("step")).collect():
+        size += tokens_there
+        if size > HOT_TOKENS:
+            break
+        least = step
+    found = counted.filter(F.lit(False) if least is None else F.col("step") >= least).select("token", "n").toArrow()
+    tokens, times = found["token"].to_numpy().view(np.uint64), found["n"].to_numpy()
     order = np.argsort(tokens)
     return tokens[order], times[order]
 
