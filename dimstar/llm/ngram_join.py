@@ -10,7 +10,8 @@ A group of thousands of near copies would make millions of pairs. So links from
 verified first, in rounds with other pivots each, and linked labels become the smaller one: documents with one label are known to be
 connected. Only buckets in which two labels meet go on, and the last, complete pass makes only pairs of documents with
 different labels. A pair of one label can't change the result. The number of tokens that two prefixes share bounds the similarity
-too, before any of them is read.
+too, before any of them is read, and so do the parities of the sets: each token flips one of PARITIES bits of its set, so two sets
+differ in at least as many tokens as bits. The pass leaves out pairs whose bits differ in more places than near sets can.
 """
 
 from __future__ import annotations
@@ -36,6 +37,9 @@ RUN = 2_000_000
 #: Pivots per document and round, and rounds at most; the complete pass that follows doesn't depend on them.
 PIVOTS, ROUNDS = 3, 4
 
+#: Bits of a set's parities; two longs per row of the buckets.
+PARITIES = 128
+
 _SEEDS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89], np.uint64)
 
 
@@ -144,6 +148,12 @@ class TokenOrders:
         return most, nx + ny - most
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """PARITIES bits as two longs: for each cell of tokens, whether the set s has an odd number of them."""
+    cells = (mix(s ^ _SEEDS[2] ^ _SEEDS[3]) & np.uint64(PARITIES - 1)).astype(np.int64)
+    return np.packbits(np.bincount(cells, minlength=PARITIES).astype(np.uint8) & 1).view(np.int64)
+
+
 def _shared(a: np.ndarray, b: np.ndarray) -> int:
     return len(np.intersect1d(a, b, assume_unique=True))
 
@@ -165,21 +175,23 @@ class NgramJoin:
 
         def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                sizes, digests, prefixes = [], [], []
+                sizes, digests, prefixes, bits = [], [], [], []
                 for s in shingle_sets(batch.column(1).to_pylist(), n):
                     sizes.append(len(s))
+                    bits.append(parities(s))
                     digests.append(int(mix(np.sum(mix(s ^ _SEEDS[3]), keepdims=True) + np.uint64(len(s))).view(np.int64)[0]))
                     length = len(s) - math.ceil(per_hundred * len(s) / 100) + 1
                     # a smaller set has no other set near enough: one token more or less is too much
                     alone = 100 * len(s) < per_hundred * (len(s) + 1)
                     prefixes.append([] if alone or not len(s) else [p.view(np.int64) for p in rank.prefixes(s, length)])
+                words = [pa.array([int(b[k]) for b in bits], pa.int64()) for k in range(2)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.int64()), pa.array(prefixes, pa.list_(pa.list_(pa.int64())))],
-                    ["id", "n", "digest", "prefixes"],
+                    [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.int64()), pa.array(prefixes, pa.list_(pa.list_(pa.int64()))), *words],
+                    ["id", "n", "digest", "prefixes", "w0", "w1"],
                 )
 
         kind = self.docs.schema["id"].dataType.simpleString()
-        return self.docs.mapInArrow(measure, f"id {kind}, n long, digest long, prefixes array<array<long>>")
+        return self.docs.mapInArrow(measure, f"id {kind}, n long, digest long, prefixes array<array<long>>, w0 long, w1 long")
 
     def _classes(self) -> DataFrame:
         """(id, n, first): first is the smallest id with an equal set; null for rows without words or id."""
@@ -245,7 +257,7 @@ class NgramJoin:
         return 100 * most >= t * (F.col(na) + F.col(nb) - most)
 
     def _by_size(self, members: DataFrame) -> DataFrame:
-        """(token, node, n, own): buckets divided by bands of set sizes, as sets of very different sizes can't be near enough.
+        """(token, node, n, w0, w1, own): buckets divided by bands of set sizes, as sets of very different sizes can't be near enough.
 
         Sizes that may go together are in one band or in two neighbouring ones. So each node is in its own band (own) and the next,
         and a pair belongs to the bucket that is the own one of either.
@@ -253,7 +265,7 @@ class NgramJoin:
         width = math.log(100 / self.per_hundred) * (1 + 1e-6) if self.per_hundred < 100 else 1e-6
         band = F.floor(F.log("n") / width)
         bands = F.array(F.struct(band.alias("band"), F.lit(True).alias("own")), F.struct((band + 1).alias("band"), F.lit(False).alias("own")))
-        rows = members.select("token", "node", "n", F.inline(bands)).select(F.xxhash64("token", "band").alias("token"), "node", "n", "own")
+        rows = members.select("token", "node", "n", "w0", "w1", F.inline(bands)).select(F.xxhash64("token", "band").alias("token"), "node", "n", "w0", "w1", "own")
         rows = materialize(rows, "ngram-bands")
         shared = rows.groupBy("token").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.bool_or("own").alias("some"))
         return rows.join(shared.filter("least < most and some").select("token"), "token")
@@ -285,7 +297,7 @@ class NgramJoin:
         classes = materialize(self._classes(), "ngram-members")
         copies = classes.filter("id != first").select("id").distinct()
         firsts = keep_ids(self.sets.filter("size(prefixes) > 0 and id is not null"), copies, "id", "left_anti")
-        tokens = firsts.select(F.col("id").alias("node"), "n", F.explode(F.col("prefixes")[0]).alias("token"))
+        tokens = firsts.select(F.col("id").alias("node"), "n", "w0", "w1", F.explode(F.col("prefixes")[0]).alias("token"))
         shared = tokens.groupBy("token").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most")
         members = materialize(self._by_size(tokens.join(shared.select("token"), "token")), "ngram-buckets")
 
@@ -303,12 +315,21 @@ class NgramJoin:
                 break
             before = pairs
 
-        apart = grouped.select("token", "c").distinct()
-        met = apart.select("token", F.col("c").alias("ca")).join(apart.select("token", F.col("c").alias("cb")), "token").filter("ca < cb")
-        end = lambda s: grouped.select("token", F.col("c").alias(f"c{s}"), F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("own").alias(f"own{s}"))
-        both = met.join(end("a"), ["token", "ca"]).join(end("b"), ["token", "cb"])
-        near = 100 * F.least("na", "nb") >= self.per_hundred * F.greatest("na", "nb")
-        counted = both.filter(near & (F.col("owna") | F.col("ownb"))).groupBy("a", "na", "b", "nb").agg(F.count(F.lit(1)).alias("shared"))
+        # of the members with one label: the greatest size, and the bits that all (all) or some (any) of them have
+        has = [f(w).alias(f"{name}{w}") for w in ("w0", "w1") for name, f in (("all", F.bit_and), ("any", F.bit_or))]
+        apart = materialize(grouped.groupBy("token", "c").agg(F.max("n").alias("n"), F.min("n").alias("least"), F.bool_or("own").alias("own"), *has), "ngram-apart")
+        end = lambda df, s: df.select("token", *(F.col(x).alias(s if x == "node" else f"{x}{s}") for x in df.columns if x != "token"))
+        differ = lambda w: f"bit_count((all{w}a & ~any{w}b) | (all{w}b & ~any{w}a))"
+        t = self.per_hundred
+        could = f"ca < cb and (owna or ownb) and 100 * na >= {t} * leastb and 100 * nb >= {t} * leasta and {100 + t} * ({differ('w0')} + {differ('w1')}) <= {100 - t} * (na + nb)"
+        left, right = end(apart, "a"), end(apart, "b")
+        met = left.join(right, (left.token == right.token) & F.expr(could)).select(left.token, "ca", "cb")
+        members = grouped.select("token", "c", "node", "n", "w0", "w1", "own")
+        one, other = end(members, "a"), end(members, "b")
+        near = f"100 * least(na, nb) >= {t} * greatest(na, nb) and (owna or ownb) and {100 + t} * (bit_count(w0a ^ w0b) + bit_count(w1a ^ w1b)) <= {100 - t} * (na + nb)"
+        first = met.join(one, ["token", "ca"])
+        both = first.join(other, (first.token == other.token) & (first.cb == other.cb) & F.expr(near)).drop(other.cb).drop(other.token)
+        counted = both.groupBy("a", "na", "b", "nb").agg(F.count(F.lit(1)).alias("shared"))
         fine = counted.filter(self._plausible("na", "nb", F.col("shared")))
         links.append(self._verified(fine.select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb"))))
 
