@@ -323,11 +323,14 @@ class NgramJoin:
         t = self.per_hundred
         could = f"ca < cb and (owna or ownb) and 100 * na >= {t} * leastb and 100 * nb >= {t} * leasta and {100 + t} * ({differ('w0')} + {differ('w1')}) <= {100 - t} * (na + nb)"
         left, right = end(apart, "a"), end(apart, "b")
-        met = left.join(right, (left.token == right.token) & F.expr(could)).select(left.token, "ca", "cb")
+        met = left.join(right, (left.token == right.token) & F.expr(could)).select(left.token, "ca", "cb", F.col("nb").alias("topb"), "leastb", "allw0b", "anyw0b", "allw1b", "anyw1b")
+        # a member against all of the other label at once, before its pairs are made
+        apart_by = lambda w: f"bit_count(({w}a & ~any{w}b) | (~{w}a & all{w}b))"
+        some = f"100 * na >= {t} * leastb and 100 * topb >= {t} * na and {100 + t} * ({apart_by('w0')} + {apart_by('w1')}) <= {100 - t} * (na + topb)"
         members = grouped.select("token", "c", "node", "n", "w0", "w1", "own")
         one, other = end(members, "a"), end(members, "b")
         near = f"100 * least(na, nb) >= {t} * greatest(na, nb) and (owna or ownb) and {100 + t} * (bit_count(w0a ^ w0b) + bit_count(w1a ^ w1b)) <= {100 - t} * (na + nb)"
-        first = met.join(one, ["token", "ca"])
+        first = met.join(one, (met.token == one.token) & (met.ca == one.ca) & F.expr(some)).select(met.token, "cb", "a", "na", "w0a", "w1a", "owna")
         both = first.join(other, (first.token == other.token) & (first.cb == other.cb) & F.expr(near)).drop(other.cb).drop(other.token)
         counted = both.groupBy("a", "na", "b", "nb").agg(F.count(F.lit(1)).alias("shared"))
         fine = counted.filter(self._plausible("na", "nb", F.col("shared")))
