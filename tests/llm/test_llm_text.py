@@ -182,6 +182,27 @@ def test_detector_finds_unseen_keys():
     assert hit[told == 1].mean() > 0.85 and hit[told == 0].mean() < 0.1
 
 
+def test_threshold_keeps_the_wanted_recall():
+    """Also where that takes a threshold below one half: half of the secrets look like most other findings."""
+    codes, labels = secrets.generated_findings(1200, seed=1)
+    hard = np.flatnonzero(labels == 1)[::2]
+    codes[hard] = codes[np.flatnonzero(labels == 0)[: len(hard)]]
+    model = secrets.CharCNN().fit(codes[:900], labels[:900]).calibrate(codes[900:], labels[900:], 0.99)
+    hit = model.probability(codes[900:]) >= model.threshold
+    assert hit[labels[900:] == 1].mean() >= 0.99 and model.threshold < 0.5
+    assert model.held_recall >= 0.99 and model.held_precision == labels[900:][hit].mean()
+
+
+def test_findings_of_a_document():
+    keys = ["sk_9aZ3kQ7xB2mP5tR8wL4n", "ghp/T4zW8qLm+2Yx9Kd3Rv7Bc1"]
+    words = ["configuration", "internationalisation-2024", "docs/reference/section12"]
+    text = " ".join([*(f"token = {'abcdef' * k}" for k in range(2, 9)), *(f"{k:032x}" for k in range(9)), *keys, *words])
+    told = secrets.document_findings(text, 8)
+    assert {text[s:e] for s, e, label in told if label == 0} == set(words)
+    kinds = {k for s, e, label in told if label == 1 for at, k, end in secrets.base_spans(text) if (at, end) == (s, e)}
+    assert kinds == {0, 2} and sum(label for _, _, label in told) == 8
+
+
 # Tokens
 
 
