@@ -153,8 +153,8 @@ def box_search_series(df: DataFrame, passes: list[dict], top: int = 24, least: i
 
 
 def top_per_target(found: DataFrame, top: int) -> DataFrame:
-    """The `top` boxes per target by power (ties: the shorter period), numbered k = 1, 2, ..."""
-    w = Window.partitionBy("target").orderBy(F.desc("power"), "period")
+    """The `top` boxes per target by power (ties: the shorter period, then the other columns), numbered k = 1, 2, ..."""
+    w = Window.partitionBy("target").orderBy(F.desc("power"), "period", "t0", "duration", "depth")
     return found.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= top)
 
 

@@ -483,7 +483,7 @@ def box_search_series(s, d):
 
 @query()
 def two_pass_merge_dedupe(s, d):
-    rows = v.candidate_lists(s, d).select("target", "period", F.lit(0.0).alias("t0"), F.lit(0.1).alias("duration"), F.col("cnn").alias("depth"), "power")
+    rows = v.candidate_rows(s, d).select("target", "period", F.lit(0.0).alias("t0"), F.lit(0.1).alias("duration"), F.col("cnn").alias("depth"), "power")
     return search.merged_passes([rows.filter("period < 3"), rows.filter("period >= 3")])
 
 
@@ -496,10 +496,19 @@ _HARMONIC = f"""
         FROM ({v.CANDIDATE_LISTS}) c JOIN ({v.TRUE_PERIODS}) p ON c.target = p.target) WHERE (fit).err <= 0.02::DOUBLE"""
 
 
+def _harmonic(candidates: DataFrame, s, d) -> DataFrame:
+    rows = candidates.join(v.true_periods(s, d), "target").withColumn("m", rules.harmonic_match(F.col("period"), F.col("p_true")))
+    return rows.filter("m.matched").select("target", F.col("k"), F.col("m.k").alias("harmonic"), F.col("m.kind").alias("kind"), F.round("m.rel_err", 6).alias("rel_err"))
+
+
 @query(_HARMONIC)
 def harmonic_match(s, d):
-    rows = v.candidate_lists(s, d).join(v.true_periods(s, d), "target").withColumn("m", rules.harmonic_match(F.col("period"), F.col("p_true")))
-    return rows.filter("m.matched").select("target", F.col("k"), F.col("m.k").alias("harmonic"), F.col("m.kind").alias("kind"), F.round("m.rel_err", 6).alias("rel_err"))
+    return _harmonic(v.candidate_lists(s, d), s, d)
+
+
+@query(_HARMONIC.replace(v.CANDIDATE_LISTS, v.CANDIDATE_ROWS))
+def harmonic_match_all_rows(s, d):
+    return _harmonic(v.candidate_rows(s, d), s, d)
 
 
 def _answers(s, d) -> DataFrame:
@@ -536,13 +545,25 @@ def benchmark_summary(s, d):
     return rounded(evaluation.known_answer_summary(_answers(s, d)), "best_rate", "any_rate", "oracle_rate", "p05", "p50", "p95")
 
 
-@query(f"""
+_COMBINED = f"""
     SELECT target, k, penalty, round((0.7::DOUBLE * c + 0.3::DOUBLE * lp / max(lp) OVER (PARTITION BY target)) * penalty, 6) AS hybrid,
            round(pow(c + 1e-9::DOUBLE, 2) * pow(lp + 1e-9::DOUBLE, 0.1::DOUBLE) * penalty, 6) AS combined
     FROM (SELECT target, k, greatest(0.0::DOUBLE, least(1.0::DOUBLE, cnn)) AS c, ln(1 + power) AS lp, CASE WHEN period < 0.10::DOUBLE THEN 0.40::DOUBLE ELSE 1.0::DOUBLE END AS penalty
-          FROM ({v.CANDIDATE_LISTS}))""")
+          FROM ({v.CANDIDATE_LISTS}))"""
+
+
+def _combined(candidates: DataFrame) -> DataFrame:
+    return rounded(selection.objective(candidates).select("target", "k", "penalty", "hybrid", "combined"), "hybrid", "combined")
+
+
+@query(_COMBINED)
 def combined_objective(s, d):
-    return rounded(selection.objective(v.candidate_lists(s, d)).select("target", "k", "penalty", "hybrid", "combined"), "hybrid", "combined")
+    return _combined(v.candidate_lists(s, d))
+
+
+@query(_COMBINED.replace(v.CANDIDATE_LISTS, v.CANDIDATE_ROWS))
+def combined_objective_all_rows(s, d):
+    return _combined(v.candidate_rows(s, d))
 
 
 @query()

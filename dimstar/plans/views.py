@@ -105,18 +105,24 @@ TIERED = f"""
 TOP = 24
 
 
-def candidate_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(target, k, period, power, cnn, tspan): the TOP strongest rows of each supplier."""
+def candidate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(target, k, period, power, cnn, tspan): all rows of each supplier, k counting from the strongest."""
     w = Window.partitionBy("l_suppkey").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
-    rows = table(spark, sf_dir, "lineitem").withColumn("k", F.row_number().over(w)).filter(F.col("k") <= TOP)
+    rows = table(spark, sf_dir, "lineitem").withColumn("k", F.row_number().over(w))
     return rows.selectExpr("l_suppkey", "concat('TIC ', l_suppkey) AS target", "k", "l_quantity / 4 AS period", "l_extendedprice / 1000 AS power", "0.86D + l_discount AS cnn", "27.4D AS tspan")
 
 
+def candidate_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The TOP strongest candidate_rows of each supplier, for queries on finished lists."""
+    return candidate_rows(spark, sf_dir).filter(F.col("k") <= TOP)
+
+
 CANDIDATE_LISTS = f"""
     SELECT l_suppkey, 'TIC ' || l_suppkey AS target, k::INTEGER AS k, l_quantity / 4 AS period, l_extendedprice / 1000 AS power,
            0.86::DOUBLE + l_discount AS cnn, 27.4::DOUBLE AS tspan
     FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_quantity) AS k
           FROM lineitem) WHERE k <= {TOP}"""
+CANDIDATE_ROWS = CANDIDATE_LISTS.removesuffix(f" WHERE k <= {TOP}")
 
 
 def true_periods(spark: SparkSession, sf_dir: str) -> DataFrame:

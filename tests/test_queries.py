@@ -31,3 +31,27 @@ def test_rest_stands_without_the_text_part():
     for path in (root / "dimstar").rglob("*.py"):
         if "llm" not in path.relative_to(root).parts:
             assert "dimstar.llm" not in path.read_text()
+
+
+def test_merge_reads_all_rows(spark):
+    """Against a plain scan over whole suppliers, of which some have more than 240 rows in a pass."""
+    folder, wanted, sizes = "/root/testdata/sf0.01", [], []
+    rows = spark.read.parquet(f"{folder}/lineitem.parquet").filter("l_suppkey < 6").selectExpr("l_suppkey s", "double(l_quantity / 4) p", "double(l_extendedprice / 1000) w").collect()
+    for supplier in sorted({r.s for r in rows}):
+        one = sorted((-r.w, r.p) for r in rows if r.s == supplier)
+        passes = [[x for x in one if x[1] < 3], [x for x in one if x[1] >= 3]]
+        sizes += map(len, passes)
+        kept = []
+        for w, p in sorted(passes[0][:240] + passes[1][:240]):
+            if len(kept) < 24 and all(abs(p - q) / q >= 0.002 for _, q in kept):
+                kept.append((w, p))
+        wanted += [(f"TIC {supplier}", i + 1, round(p, 9), round(-w, 9)) for i, (w, p) in enumerate(kept)]
+    found = queries.QUERIES["two_pass_merge_dedupe"](spark, folder).filter("int(substr(target, 5)) < 6").collect()
+    assert max(sizes) > 240 and sorted((r.target, r.k, round(float(r.period), 9), round(float(r.power), 9)) for r in found) == sorted(wanted)
+
+
+@pytest.mark.parametrize("name", ["harmonic_match", "combined_objective"])
+def test_rules_on_all_rows(name, spark, sf):
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    found = queries.QUERIES[f"{name}_all_rows"](spark, sf)
+    assert found.count() == rows if name == "combined_objective" else found.filter("k > 24").count() > 0
