@@ -88,7 +88,7 @@ def best_boxes(t: np.ndarray, f: np.ndarray, periods, durations, oversample: int
     wide = [max(1, round(d / width)) for d in durations]
     start = t.min()
     dt, y = t - start, f - np.median(f)
-    out = []
+    total, out = y.sum(), []
     for period in periods:
         bins = math.ceil(period / width)
         at = np.minimum(((dt - period * np.floor(dt / period)) / width).astype(int), bins)
@@ -98,15 +98,15 @@ def best_boxes(t: np.ndarray, f: np.ndarray, periods, durations, oversample: int
             ys[0] += ys[bins]
             ns[0] += ns[bins]
             ys, ns = ys[:bins], ns[:bins]
-        best = None
+        best, around = None, max((k for k in wide if k < bins), default=1) - 1
+        cy, cn = (np.concatenate([[0], np.cumsum(np.concatenate([x, x[:around]]))]) for x in (ys, ns))
         for d, k in zip(durations, wide):
             if k >= bins:
                 continue
-            cy, cn = np.concatenate([[0], np.cumsum(np.concatenate([ys, ys[: k - 1]]))]), np.concatenate([[0], np.cumsum(np.concatenate([ns, ns[: k - 1]]))])
-            by, bn = cy[k:] - cy[:-k], cn[k:] - cn[:-k]
+            by, bn = cy[k : k + bins] - cy[:bins], cn[k : k + bins] - cn[:bins]
             good = (bn > 0) & (bn < len(y))
             with np.errstate(divide="ignore", invalid="ignore"):
-                depth = np.where(good, (y.sum() - by) / (len(y) - bn) - by / bn, -1)
+                depth = np.where(good, (total - by) / (len(y) - bn) - by / bn, -1)
             power = np.where(depth > 0, 0.5 * bn * depth**2, -1)
             b = int(np.round(power, 9).argmax())
             if power[b] > 0 and (best is None or round(power[b], 9) > round(best[4], 9)):
@@ -149,7 +149,9 @@ def box_search_series(df: DataFrame, passes: list[dict], top: int = 24, least: i
         out.insert(0, "target", pdf["target"].iloc[0])
         return out
 
-    return df.select("target", "t", "f").groupBy("target").applyInPandas(search, f"target string, k int, {FIELDS}")
+    # a given number of partitions, as small series would otherwise be searched one after the other in one task
+    dealt = df.select("target", "t", "f").repartition(8 * df.sparkSession.sparkContext.defaultParallelism, "target")
+    return dealt.groupBy("target").applyInPandas(search, f"target string, k int, {FIELDS}")
 
 
 def top_per_target(found: DataFrame, top: int) -> DataFrame:

@@ -451,7 +451,7 @@ def morph_composite(s, d):
 
 @query()
 def morphology(s, d):
-    return vetting.morphology(v.with_ephemeris(v.series(s, d)), 50)
+    return vetting.morphology(v.with_ephemeris(v.series(s, d)))
 
 
 # Search and selection
@@ -477,8 +477,7 @@ def box_search(s, d):
 
 @query()
 def box_search_series(s, d):
-    passes = [{"periods": search.log_grid(0.6, 12.0, 120), "durations": search.legal_durations(0.1, 0.5, 6, 0.6)}]
-    return search.box_search_series(v.series(s, d), passes, top=5)
+    return search.box_search_series(v.series(s, d), search.two_pass_plan(), top=24)
 
 
 @query()
@@ -701,8 +700,8 @@ def augmentations(s, d):
 @query()
 def fold_windows(s, d):
     rows = v.with_ephemeris(v.series(s, d)).withColumn("k", F.lit(1))
-    found = windows.folded_windows(rows, 101)
-    return found.select("target", F.posexplode("w").alias("j", "level"), windows.valid_window(F.col("w"), 101).alias("valid"))
+    found = windows.folded_windows(rows)
+    return found.select("target", F.posexplode("w").alias("j", "level"), windows.valid_window(F.col("w")).alias("valid"))
 
 
 @query()

@@ -55,3 +55,27 @@ def test_rules_on_all_rows(name, spark, sf):
     rows = spark.read.parquet(f"{sf}/lineitem.parquet").count()
     found = queries.QUERIES[f"{name}_all_rows"](spark, sf)
     assert found.count() == rows if name == "combined_objective" else found.filter("k > 24").count() > 0
+
+
+def test_registered_search_is_the_whole_one(spark, monkeypatch):
+    """A short dip below the normal pass's periods is found; all of the grid's lists against the definition in DataFrames."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    t = np.sort(rng.uniform(0, 27.4, 1500))
+    f = rng.normal(0, 0.1, 1500) - 1.0 * ((t - 0.05) % 0.3137 < 0.02)
+    df = spark.createDataFrame([("a", float(x), float(y)) for x, y in zip(t, f)], "target string, t double, f double")
+    monkeypatch.setattr(queries.v, "series", lambda s, d: df)
+    found = queries.QUERIES["box_search_series"](spark, "").orderBy("k").collect()
+    assert [r.k for r in found] == list(range(1, 25)) and abs(found[0].period / 0.3137 - 1) < 0.002
+    thin = [{"periods": p["periods"][5::300], "durations": p["durations"]} for p in queries.search.two_pass_plan()]
+    few = df.filter("t < 10").cache()
+    got = queries.search.box_search_series(few, [p | {"periods": [x for x in p["periods"] if x <= 4.9]} for p in thin]).orderBy("k").collect()
+    wanted = queries.search.merged_passes([queries.search.box_search(few, [x for x in p["periods"] if x <= 4.9], p["durations"]) for p in thin]).orderBy("k").collect()
+    assert len(got) == len(wanted) > 5
+    for a, b in zip(got, wanted):
+        assert a.k == b.k and np.allclose([a.period, a.t0, a.duration, a.depth, a.power], [b.period, b.t0, b.duration, b.depth, b.power])
+
+
+def test_registered_windows_have_their_whole_length(spark):
+    assert queries.QUERIES["fold_windows"](spark, "/root/testdata/sf0.01").groupBy("target").count().filter("count <> 301").count() == 0
