@@ -20,7 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dimstar.functions.runtime import bounded_batches, ship_code
+from dimstar.functions.runtime import ship_code
+from dimstar.llm.skew import small_batches
 
 # Fixed value: the split pattern of byte-level pre-tokenizers with use_regex.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -225,7 +226,6 @@ def decode_ids(encoded: DataFrame, vocabulary_path: str, *, id_col: str = "doc_i
     """id_col and the decoded text of each row of ids (null: none)."""
     spark = encoded.sparkSession
     ship_code(spark)
-    bounded_batches(spark)
 
     @F.arrow_udf("string")
     def decode(ids: pa.Array) -> pa.Array:
@@ -248,11 +248,10 @@ def encoding_digests(docs: DataFrame, vocabulary_path: str, *, id_col: str = "do
 def _per_text(docs, path, id_col, text_col, columns, make, types) -> DataFrame:
     spark = docs.sparkSession
     ship_code(spark)
-    bounded_batches(spark)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = vocabulary(path)
-        for batch in batches:
+        for batch in small_batches(batches):
             rows = [make(table, ids) for ids in table.encode_batch([t or "" for t in batch.column(1).to_pylist()])]
             arrays = [pa.array(list(c), t) for c, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["id", *(c.split()[0] for c in columns.split(", "))])

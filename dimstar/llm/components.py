@@ -6,32 +6,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dimstar.functions.runtime import materialize
+from dimstar.llm.skew import split_join
 
 
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return split_join(both.filter("v > u"), least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     least = links.groupBy("u").agg(F.min("v").alias("m"))
-    moved = links.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v")))
+    moved = split_join(links, least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node with a link to another one; component is the smallest node that it reaches.
 
     Links with a null end, or from a node to itself, are ignored. Each round is aggregations and joins over the links and is
-    written to the shared folder; the number of rounds grows with the logarithm of the longest chain.
+    written to the shared folder; the number of rounds grows with the logarithm of the longest chain. The links of a hub are dealt to
+    several tasks.
     """
     now = links.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     now, state = materialize(now, "links"), None
     while True:
-        now = materialize(_small_star(_large_star(now)).distinct(), "stars")
+        now = materialize(_small_star(materialize(_large_star(now), "stars")), "stars")
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == state:
+        if mark == state or mark[0] == 0:
             break
         state = mark
     roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))

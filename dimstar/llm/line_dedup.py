@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dimstar.functions.runtime import materialize
-from dimstar.llm.skew import BROADCAST_IDS
+from dimstar.llm.skew import few_bytes, split_join
 
 #: Standard error of a sketch with 2**LG_K registers is about 1.04 / 2**(LG_K / 2); BAND is more than six of them.
 LG_K, BAND = 12, 0.10
@@ -32,8 +32,8 @@ def common_lines(docs: DataFrame, *, text_col: str = "text", site_col: str = "so
     spread = materialize(spread.filter(F.col("sites") >= (1 - BAND) * least_sites - 1), "line-spread")
     far = F.col("sites") > (1 + BAND) * least_sites + 1
     near = spread.filter(~far).select("digest")
-    exact = lines.join(near, "digest", "left_semi").groupBy("digest", "site").agg(F.count(F.lit(1)).alias("n"))
-    exact = exact.groupBy("digest").agg(F.count(F.lit(1)).alias("sites")).filter(F.col("sites") >= least_sites)
+    # one row for each line and site before the join: a near-threshold line has few of them, however often it occurs
+    exact = lines.distinct().join(near, "digest", "left_semi").groupBy("digest").agg(F.count(F.lit(1)).alias("sites")).filter(F.col("sites") >= least_sites)
     return materialize(spread.filter(far).select("digest").unionByName(exact.select("digest")), "common-lines")
 
 
@@ -46,9 +46,9 @@ def drop_common_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """
     common = common_lines(docs, text_col=text_col, site_col=site_col, least_sites=least_sites)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    few = common.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     lines = rows.select("id", F.xxhash64("text").alias("of"), F.explode(F.split("text", "\n")).alias("line")).withColumn("digest", _digest(F.col("line")))
-    hit = lines.join(F.broadcast(common) if few else common, "digest", "left_semi")
+    # beyond the bound, a line that is in many texts is dealt to several tasks
+    hit = lines.join(F.broadcast(common), "digest", "left_semi") if few_bytes(common) else split_join(lines, common, "digest")
     # the distinct common lines of one text: no more than it has
     found = hit.groupBy("id", "of").agg(F.collect_set("line").alias("common")).withColumnRenamed("id", "own")
     same = F.col("id").eqNullSafe(F.col("own")) & (F.xxhash64("text") == F.col("of"))

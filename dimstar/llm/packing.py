@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dimstar.functions.runtime import bounded_batches, materialize, ship_code
+from dimstar.functions.runtime import materialize, ship_code
+from dimstar.llm.skew import small_batches
 from dimstar.llm.bpe import SPLIT, vocabulary
 
 #: Second lengths tried with each first length; bounds the patterns at size * PARTNERS.
@@ -47,11 +48,10 @@ def token_pieces(docs: DataFrame, vocabulary_path: str, *, size: int = 1024, end
     """id, piece, start, length, ids_crc32 of each piece: ids of the text, then end_id, cut to `size` with the short piece first."""
     spark = docs.sparkSession
     ship_code(spark)
-    bounded_batches(spark)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _library_encoder(vocabulary_path)
-        for batch in batches:
+        for batch in small_batches(batches):
             row, piece, start, length, crc = [], [], [], [], []
             for r, text in enumerate(batch.column(1).to_pylist()):
                 ids = np.array([*encode(text or ""), end_id], "<u4")
@@ -203,7 +203,7 @@ def pack_documents(docs: DataFrame, vocabulary_path: str, *, size: int = 1024, e
     ranked = keyed.withColumn("rank", F.row_number().over(inside).cast("long") - 1).join(starts, ["length", "block"])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
             sequence, offset = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
             for size_ in np.unique(length):

@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dimstar.functions.runtime import bounded_batches, ship_code
+from dimstar.functions.runtime import ship_code
+from dimstar.llm.skew import small_batches
 
 FEATURES = (
     "log_chars", "log_words", "word_length", "distinct_words", "top_word", "repeated_neighbours", "distinct_lines", "words_per_line",
@@ -172,12 +173,11 @@ def train_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     Labels other than 0 and 1, and rows without an id, are left out; of repeated labels of an id the largest counts.
     """
     ship_code(docs.sparkSession)
-    bounded_batches(docs.sparkSession)
     fit = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter(~held_out("id") & F.col("y").isin(0, 1))
     chosen = fit.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(max_rows)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             rows = [list(text_features(t)) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(rows, pa.list_(pa.float64()))], ["y", "x"])
 
@@ -203,7 +203,6 @@ def score_quality(docs: DataFrame, model: AdditiveModel, *, id_col: str = "doc_i
 def quality_score(docs: DataFrame, model: AdditiveModel, text_col: str = "text"):
     """The score of each row of `docs` as a column expression."""
     ship_code(docs.sparkSession)
-    bounded_batches(docs.sparkSession)
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:

@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
 #: A group is hot from this share of all rows on, so there are at most this many hot groups and their broadcast is bounded.
 HOT_GROUPS = 1024
 
-#: Ids up to this many are broadcast (8 bytes each); beyond it, the join shuffles.
-BROADCAST_IDS = 2_000_000
+#: A key with more rows than this is dealt to several tasks, where not more than MOST_SPLIT keys would be; these are broadcast.
+ROWS_PER_TASK, MOST_SPLIT = 2_000, 100_000
+
+#: Rows are broadcast up to this many bytes, counted before; beyond it, the join shuffles.
+BROADCAST_BYTES = 32_000_000
 
 
 def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, hot: int = HOT_GROUPS) -> DataFrame:
     """Inner join of `rows` with `groups` (one row per `key`, `size` rows of `rows` each, `total` in all).
 
     Groups with at least total / hot rows are at most `hot` in number: these are broadcast. The rest are shuffled by key, and
-    none of them has more than total / hot rows. Rows whose key is null or in no group are left out.
+    none of them has more than total / hot rows. Rows whose key is null or in no group are left out. Group rows are taken to be
+    short (keys, ids and counts).
     """
     large = F.col(size) * hot >= F.lit(total)
     few = F.broadcast(groups.filter(large))
@@ -24,7 +32,36 @@ def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total
     return rows.join(few, key).unionByName(rest.join(groups.filter(~large), key))
 
 
-def keep_ids(rows: DataFrame, ids: DataFrame, id_col: str, how: str, bound: int = BROADCAST_IDS) -> DataFrame:
-    """Rows whose id is ("left_semi") or is not ("left_anti") in `ids`: by broadcast if these are few, else by a shuffle."""
-    few = ids.limit(bound + 1).count() <= bound
-    return rows.join(F.broadcast(ids) if few else ids, id_col, how)
+def split_join(rows: DataFrame, side: DataFrame, key: str, how: str = "inner", counted: DataFrame | None = None) -> DataFrame:
+    """Join of `rows` with `side` (one row per `key`) in which a hot key's rows are dealt to several tasks.
+
+    A key with more than ROWS_PER_TASK rows (or more than a share of 1 / MOST_SPLIT) has its row of `side` copied once for each task
+    its rows are dealt to. Keys are counted in `counted`, or `rows`, which is then computed twice. `how` is inner or left; a null key matches nothing.
+    """
+    counts = (rows if counted is None else counted).groupBy(key).agg(F.count(F.lit(1)).alias("rows_of_key"))
+    total = counts.agg(F.coalesce(F.sum("rows_of_key"), F.lit(0))).first()[0]
+    most = max(ROWS_PER_TASK, total // MOST_SPLIT)
+    hot = F.broadcast(counts.filter(F.col("rows_of_key") > most).select(key, F.ceil(F.col("rows_of_key") / most).cast("int").alias("deals")))
+    others = [c for c in rows.columns if c != key] or [key]
+    dealt = rows.join(hot, key, "left").withColumn("deal", F.coalesce(F.pmod(F.xxhash64(*others), F.col("deals")).cast("int"), F.lit(0))).drop("deals")
+    copied = side.join(hot, key, "left").withColumn("deal", F.explode(F.sequence(F.lit(0), F.coalesce("deals", F.lit(1)) - 1))).drop("deals")
+    return dealt.join(copied, [key, "deal"], how).drop("deal")
+
+
+def few_bytes(df: DataFrame, bound: int = BROADCAST_BYTES) -> bool:
+    """Do the rows of `df` take at most `bound` bytes, at 16 and what its texts take for each? Stops counting soon after the bound."""
+    long = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema.fields if isinstance(f.dataType, (StringType, BinaryType))]
+    size = sum(long, F.lit(16 * max(1, len(df.columns)))).cast("long")
+    return (df.limit(bound // 16 + 1).agg(F.sum(size)).first()[0] or 0) <= bound
+
+
+def keep_ids(rows: DataFrame, ids: DataFrame, id_col: str, how: str, bound: int = BROADCAST_BYTES) -> DataFrame:
+    """Rows whose id is ("left_semi") or is not ("left_anti") in `ids`: by broadcast if these take few bytes, else by a shuffle."""
+    return rows.join(F.broadcast(ids) if few_bytes(ids, bound) else ids, id_col, how)
+
+
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most `rows`, as texts can be long; the session's setting stays as it is."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

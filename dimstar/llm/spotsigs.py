@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dimstar.functions.runtime import bounded_batches, ship_code
+from dimstar.functions.runtime import ship_code
+from dimstar.llm.skew import small_batches
 from dimstar.llm.wordhash import groups, mix, word_hashes
 
 # Common words of English, French, German and Spanish.
@@ -153,7 +154,6 @@ def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     rows.
     """
     ship_code(docs.sparkSession)
-    bounded_batches(docs.sparkSession)
 
     def measured(run: list[tuple[object, str, str]]) -> pa.RecordBatch:
         changed = [edited(t, f) for _, t, f in run]
@@ -173,7 +173,7 @@ def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col:
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run, size, before = [], 0, None
-        for batch in batches:
+        for batch in small_batches(batches):
             for part, guest, id_, text in zip(*(c.to_pylist() for c in batch.columns)):
                 if before is not None and before[0] == part:
                     run.append((before[1], before[2], text))

@@ -19,8 +19,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dimstar.functions.runtime import bounded_batches, materialize, ship_code
-from dimstar.llm.skew import BROADCAST_IDS, attach_groups
+from dimstar.functions.runtime import materialize, ship_code
+from dimstar.llm.skew import attach_groups, few_bytes, small_batches
 
 # Formats of the archives.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -158,8 +158,7 @@ def _records(pages: DataFrame, id_col: str, url_col: str, payload_col: str, leas
     again = attach_groups(rows.select("id", "digest"), groups, "digest", "n", shared)
     again = again.filter("id is null or id != first").select(F.col("id").alias("own"), F.col("digest").alias("same"), F.col("first").alias("refers_to"))
     again = materialize(again.distinct(), "warc-revisits")
-    few = again.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    joined = rows.join(F.broadcast(again) if few else again, (F.col("digest") == F.col("same")) & F.col("id").eqNullSafe(F.col("own")), "left")
+    joined = rows.join(F.broadcast(again) if few_bytes(again) else again, (F.col("digest") == F.col("same")) & F.col("id").eqNullSafe(F.col("own")), "left")
     return joined.select("id", "url", "payload", "refers_to")
 
 
@@ -173,7 +172,6 @@ def write_archives(
     Each task trains a dictionary on its first records. An empty table makes no archives.
     """
     ship_code(pages.sparkSession)
-    bounded_batches(pages.sparkSession, 200)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -196,7 +194,7 @@ def write_archives(
             dictionary = train_dictionary(waiting)
             state.update(press=compressor(dictionary), lead=dictionary_frame(dictionary))
 
-        for batch in batches:
+        for batch in small_batches(batches, 200):
             for id_, url, payload, refers in zip(*(c.to_pylist() for c in batch.columns)):
                 record = write_record(id_, url, payload, refers, refers is not None)
                 if state["press"] is None:
@@ -233,7 +231,7 @@ def save_files(archives: DataFrame, folder: str) -> DataFrame:
     os.makedirs(folder, exist_ok=True)
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, 200):
             paths, sizes = [], []
             for name, content in zip(*(c.to_pylist() for c in batch.columns)):
                 path = os.path.join(folder, name)
@@ -255,12 +253,11 @@ def read_archives(archives: DataFrame, *, payloads: bool = True) -> DataFrame:
     """
     spark = archives.sparkSession
     ship_code(spark)
-    bounded_batches(spark, 200)
     schema = "page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long"
     kinds = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, 200):
             for path, content in zip(batch.column(0), batch.column(1)):
                 rows: list[dict] = []
                 size = 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,19 +10,8 @@ import numpy as np
 #: Texts are taken together up to this many bytes; a longer one is taken alone.
 BYTES_AT_ONCE = 1_000_000
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power_tables(n: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, at least n of each."""
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, _INVERSE)):
-            table = np.full(max(n, BYTES_AT_ONCE + 1024), base, np.uint64)
-            table[0] = 1
-            _powers[k] = np.multiply.accumulate(table)
-    return _powers
+#: Words up to this many bytes are hashed in numpy, 8 bytes at a time; longer ones by BLAKE2b.
+SHORT = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -53,9 +43,18 @@ def word_hashes(raw: list[bytes], fold: np.ndarray) -> tuple[np.ndarray, np.ndar
     data = fold[np.frombuffer(b" ".join([*raw, b""]), np.uint8)] if raw else np.zeros(0, np.uint8)
     inside = np.concatenate([[False], data != 0])
     starts, ends = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(inside[:-1] & ~inside[1:]) - 0
-    power, inverse = _power_tables(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(data.astype(np.uint64) * power[: len(data)], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    length = (ends - starts).astype(np.uint64)
+    hashes = mix(length * np.uint64(0x9E3779B97F4A7C15))
+    eights = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(8, np.uint8)]), 8)
+    for at in range(0, SHORT, 8):
+        there = np.flatnonzero(length > at)
+        if not len(there):
+            break
+        value = np.ascontiguousarray(eights[starts[there] + at]).view("<u8")[:, 0]
+        beyond = np.maximum(0, at + 8 - length[there].astype(np.int64)).astype(np.uint64)  # bytes that belong to what follows the word
+        value &= np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(8) * beyond)
+        hashes[there] = mix((hashes[there] ^ value) * np.uint64(0x9FB21C651E98DF25))
+    for i in np.flatnonzero(length > SHORT).tolist():
+        hashes[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
     text_at = np.concatenate([[0], np.cumsum([len(r) + 1 for r in raw])])
     return hashes, np.searchsorted(starts, text_at)
