@@ -1,22 +1,27 @@
 """Similarity classes of texts by the Jaccard similarity of their word n-grams, with prefix filters under several token orders.
 
 Equal sets are one class from the start. Two sets of similarity t or more share a token among their first n - ceil(t * n) + 1 ones
-under any global order of tokens. The orders here put frequent tokens last (the HOT_TOKENS most frequent ones, counted over all
-texts; the bound holds whatever the corpus) and are random otherwise, with another random order for each. Documents that share a
-prefix token under the first order are compared by their prefixes under all orders: each prefix bounds the similarity from above,
-and a pair has to pass every one. Only what is left is verified with the whole sets.
+under any global order of tokens, and more tokens among longer prefixes. Two kinds of orders are used:
+
+1. Orders by a hash, for which nothing has to be known about the tokens. A document whose prefix shares too few tokens with other
+   prefixes has no partner; only documents that pass under each of these orders go on, with whole sets.
+2. The order by frequency, rarest tokens first, counted exactly over all documents that are left. Documents that share a prefix token
+   of this order, at places that leave room for a large enough intersection, become pairs.
+
+A pair then has to pass the prefixes of all orders before it is verified with the whole sets.
 
 A group of thousands of near copies would make millions of pairs. So links from each document to a few pivots of its buckets are
-verified first, in rounds with other pivots each, and linked labels become the smaller one: documents with one label are known to be
-connected. Only buckets in which two labels meet go on, and the last, complete pass makes only pairs of documents with
-different labels. A pair of one label can't change the result. The number of tokens that two prefixes share bounds the similarity
-too, before any of them is read, and so do the parities of the sets: each token flips one of PARITIES bits of its set, so two sets
-differ in at least as many tokens as bits. The pass leaves out pairs whose bits differ in more places than near sets can.
+verified first, and documents that are connected by them get one label. Only buckets in which labels meet go on, and the last,
+complete pass makes only pairs of different labels; a pair of one label can't change the result. Documents at the rim of a
+group, just below the similarity, share most tokens with all of it: these pairs are told apart in the join, by parities of the sets.
+Each token flips one of PARITIES bits of its set, so two sets differ in at least as many tokens as bits. Large buckets are dealt in
+blocks to several tasks.
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -25,23 +30,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dimstar.functions.runtime import bounded_batches, materialize, ship_code
+from dimstar.functions.runtime import materialize, ship_code
 from dimstar.llm.components import connected_components
-from dimstar.llm.skew import attach_groups, keep_ids
+from dimstar.llm.skew import attach_groups, keep_ids, small_batches, split_join
 from dimstar.llm.wordhash import groups, mix, word_hashes
 
-#: At most this many tokens are put last by their frequency; 16 bytes each are sent to every task. Rarer ones than FREQUENT never are.
-HOT_TOKENS, FREQUENT = 262_144, 4
-#: Tokens are counted in runs of this many; a run reports those that it has more than once.
-RUN = 2_000_000
 #: Pivots per document and round, and rounds at most; the complete pass that follows doesn't depend on them.
-PIVOTS, ROUNDS = 3, 4
+PIVOTS, ROUNDS = 3, 3
 
-#: Bits of a set's parities; two longs per row of the buckets.
-PARITIES = 128
+#: Prefixes under the orders by a hash are longer by this share, so that more than one token has to be shared.
+LONGER = 0.5
 
-_SEEDS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89], np.uint64)
+#: Bits of a set's parities, in words of 64; and members of a bucket that meet in one block.
+PARITIES, BLOCK = 512, 512
+_WORDS = PARITIES // 64
 
+_SEEDS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89], np.uint64)
 
 def _fold() -> np.ndarray:
     """Bytes of words: all but space and tab to carriage return, A-Z in lower case."""
@@ -77,80 +81,48 @@ def shingle_sets(texts: list[str | None], n: int) -> Iterator[np.ndarray]:
                 yield words[:0]
 
 
-def frequent_tokens(docs: DataFrame, text_col: str, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent tokens over all texts, sorted, and their counts: whole steps of counts, HOT_TOKENS at most."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run, size = [], 0
-
-        def report():
-            tokens, times = np.unique(np.concatenate(run), return_counts=True)
-            many = times >= 2
-            return pa.RecordBatch.from_arrays([pa.array(tokens[many].view(np.int64)), pa.array(times[many].astype(np.int64))], ["token", "n"])
-
-        for batch in batches:
-            for s in shingle_sets(batch.column(0).to_pylist(), n):
-                run.append(s)
-                size += len(s)
-                if size >= RUN:
-                    yield report()
-                    run, size = [], 0
-        if size:
-            yield report()
-
-    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    steps = F.floor(F.log2("n") * 8).cast("int")  # a few hundred at most, whatever the counts
-    counted = materialize(counted.filter(F.col("n") >= FREQUENT).withColumn("step", steps), "ngram-frequent")
-    least, size = None, 0
-    for step, tokens_there in counted.groupBy("step").count().orderBy(F.desc("step")).collect():
-        size += tokens_there
-        if size > HOT_TOKENS:
-            break
-        least = step
-    found = counted.filter(F.lit(False) if least is None else F.col("step") >= least).select("token", "n").toArrow()
-    tokens, times = found["token"].to_numpy().view(np.uint64), found["n"].to_numpy()
-    order = np.argsort(tokens)
-    return tokens[order], times[order]
-
-
-class TokenOrders:
-    """Global orders of tokens: frequent ones last by their counts, all else by a hash of the order's own."""
-
-    def __init__(self, tokens: np.ndarray, times: np.ndarray, orders: int):
-        self.tokens, self.times, self.orders = tokens, np.minimum(times, (1 << 31) - 1).astype(np.uint64), orders
-
-    def _frequency(self, s: np.ndarray) -> np.ndarray:
-        """The counts of the frequent tokens of s, 0 for others."""
-        if not len(self.tokens) or not len(s):
-            return np.zeros(len(s), np.uint64)
-        at = np.minimum(np.searchsorted(self.tokens, s), len(self.tokens) - 1)
-        return np.where(self.tokens[at] == s, self.times[at], np.uint64(0))
-
-    def keys(self, s: np.ndarray, order: int, frequency: np.ndarray | None = None) -> np.ndarray:
-        frequency = self._frequency(s) if frequency is None else frequency
-        hashed = mix(s ^ _SEEDS[order])
-        last = np.uint64(1 << 63) | (frequency << np.uint64(32)) | (hashed >> np.uint64(32))
-        return np.where(frequency > 0, last, hashed >> np.uint64(1))
-
-    def prefixes(self, s: np.ndarray, length: int) -> list[np.ndarray]:
-        """The first `length` tokens of the sorted set s in each order; ties of keys go by the token."""
-        frequency = self._frequency(s)
-        return [s[np.argsort(self.keys(s, k, frequency), kind="stable")[:length]] for k in range(self.orders)]
-
-    def bound(self, x: np.ndarray, nx: int, y: np.ndarray, ny: int, order: int) -> tuple[int, int]:
-        """At most this intersection and at least this union, from two prefixes under the order."""
-        kx, ky = self.keys(x, order), self.keys(y, order)
-        # up to the earlier of the last tokens, both prefixes hold all tokens of their sets
-        last = min((kx[-1], x[-1]), (ky[-1], y[-1]))
-        x, y = x[(kx < last[0]) | ((kx == last[0]) & (x <= last[1]))], y[(ky < last[0]) | ((ky == last[0]) & (y <= last[1]))]
-        common = len(np.intersect1d(x, y, assume_unique=True))
-        most = min(nx - (len(x) - common), ny - (len(y) - common))
-        return most, nx + ny - most
+def _up(share: int, n):
+    """ceil(share * n / 100) in integers."""
+    return -(-share * n // 100)
+
+
+def prefix_length(n: int, per_hundred: int) -> int:
+    """Sets of n tokens share a token of their first ones with each set that is near enough."""
+    return n - _up(per_hundred, n) + 1
+
+
+def longer_prefix(n: int, per_hundred: int) -> int:
+    short = prefix_length(n, per_hundred)
+    return min(n, short + int(LONGER * short))
+
+
+@functools.lru_cache(100_000)
+def least_shared(n: int, per_hundred: int) -> int:
+    """At least so many tokens of a set's longer prefix are in that of each set which is near enough.
+
+    If the first x tokens of one set hold all but a - k of its n tokens (a: the least intersection), at least k of them are common;
+    two prefixes share the smaller of both numbers, and the least over all sizes that go with n counts.
+    """
+    others = np.arange(_up(per_hundred, n), 100 * n // per_hundred + 1)
+    most = -(-per_hundred * (n + others) // (100 + per_hundred))
+    own = longer_prefix(n, per_hundred) - n + most
+    shorts = others + per_hundred * others // -100 + 1
+    theirs = np.minimum(others, shorts + (LONGER * shorts).astype(np.int64)) - others + most
+    return max(1, int(np.minimum(own, theirs).min()))
+
+
+def bound(kx: np.ndarray, nx: int, ky: np.ndarray, ny: int) -> int:
+    """At most this intersection, from the ascending keys of two prefixes under one order."""
+    # up to the earlier of the last keys, both prefixes hold all keys of their sets
+    last = min(kx[-1], ky[-1])
+    x, y = kx[: np.searchsorted(kx, last, "right")], ky[: np.searchsorted(ky, last, "right")]
+    common = _shared(x, y)
+    return min(nx - (len(x) - common), ny - (len(y) - common))
 
 
 def parities(s: np.ndarray) -> np.ndarray:
-    """PARITIES bits as two longs: for each cell of tokens, whether the set s has an odd number of them."""
-    cells = (mix(s ^ _SEEDS[2] ^ _SEEDS[3]) & np.uint64(PARITIES - 1)).astype(np.int64)
+    """PARITIES bits as longs: for each cell of tokens, whether the set s has an odd number of them."""
+    cells = (mix(s ^ _SEEDS[2]) & np.uint64(PARITIES - 1)).astype(np.int64)
     return np.packbits(np.bincount(cells, minlength=PARITIES).astype(np.uint8) & 1).view(np.int64)
 
 
@@ -158,55 +130,106 @@ def _shared(a: np.ndarray, b: np.ndarray) -> int:
     return len(np.intersect1d(a, b, assume_unique=True))
 
 
+def _longs(array: pa.Array, i: int) -> np.ndarray:
+    return np.asarray(array[i].values).view(np.uint64)
+
+
 class NgramJoin:
-    """The join over one table; `per_hundred` is the similarity in hundredths."""
+    """The join over one table; `per_hundred` is the similarity in hundredths, `orders` the number of orders, frequency among them."""
 
     def __init__(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, per_hundred: int = 80, orders: int = 2):
         self.spark = docs.sparkSession
         ship_code(self.spark)
-        bounded_batches(self.spark)
         self.docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        self.n, self.per_hundred = n, per_hundred
-        self.rank = TokenOrders(*frequent_tokens(self.docs, "text", n), orders)
-        self.sets = materialize(self._prefixes(), "ngram-prefixes")
+        self.kind = self.docs.schema["id"].dataType.simpleString()
+        self.n, self.per_hundred, self.hashed = n, per_hundred, orders - 1
+        self.sets = materialize(self._measured(), "ngram-prefixes")
 
-    def _prefixes(self) -> DataFrame:
-        n, rank, per_hundred = self.n, self.rank, self.per_hundred
+    def _measured(self) -> DataFrame:
+        """(id, n, digest, least, prefixes) of each row; prefixes are empty where no other set can be near enough.
+
+        digest is BLAKE2b over the whole sorted set, so that equal digests mean equal sets. Keys of a hash order are the tokens'
+        hashes: a bijection, so they stand for the tokens.
+        """
+        n, per_hundred, hashed = self.n, self.per_hundred, self.hashed
 
         def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                sizes, digests, prefixes, bits = [], [], [], []
+            for batch in small_batches(batches):
+                sizes, digests, least, prefixes = [], [], [], []
                 for s in shingle_sets(batch.column(1).to_pylist(), n):
-                    sizes.append(len(s))
-                    bits.append(parities(s))
-                    digests.append(int(mix(np.sum(mix(s ^ _SEEDS[3]), keepdims=True) + np.uint64(len(s))).view(np.int64)[0]))
-                    length = len(s) - math.ceil(per_hundred * len(s) / 100) + 1
+                    size = len(s)
+                    sizes.append(size)
+                    digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                     # a smaller set has no other set near enough: one token more or less is too much
-                    alone = 100 * len(s) < per_hundred * (len(s) + 1)
-                    prefixes.append([] if alone or not len(s) else [p.view(np.int64) for p in rank.prefixes(s, length)])
-                words = [pa.array([int(b[k]) for b in bits], pa.int64()) for k in range(2)]
+                    if not size or 100 * size < per_hundred * (size + 1):
+                        least.append(0)
+                        prefixes.append([])
+                        continue
+                    least.append(least_shared(size, per_hundred))
+                    length = longer_prefix(size, per_hundred)
+                    keys = [mix(s ^ _SEEDS[0] ^ np.uint64(k)) for k in range(hashed)]
+                    prefixes.append([np.sort(np.partition(k, length - 1)[:length]).view(np.int64) for k in keys])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.int64()), pa.array(prefixes, pa.list_(pa.list_(pa.int64()))), *words],
-                    ["id", "n", "digest", "prefixes", "w0", "w1"],
+                    [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(least, pa.int64()), pa.array(prefixes, pa.list_(pa.list_(pa.int64())))],
+                    ["id", "n", "digest", "least", "prefixes"],
                 )
 
-        kind = self.docs.schema["id"].dataType.simpleString()
-        return self.docs.mapInArrow(measure, f"id {kind}, n long, digest long, prefixes array<array<long>>, w0 long, w1 long")
+        return self.docs.mapInArrow(measure, f"id {self.kind}, n long, digest binary, least long, prefixes array<array<long>>")
 
     def _classes(self) -> DataFrame:
         """(id, n, first): first is the smallest id with an equal set; null for rows without words or id."""
         rows = self.sets.select("id", "n", "digest").filter("n > 0 and id is not null")
-        found = rows.groupBy("digest", "n").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("rows"))
-        found = materialize(found.select(F.struct("digest", "n").alias("key"), "first", "rows"), "ngram-classes")
+        found = materialize(rows.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("rows")), "ngram-classes")
         total = found.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
-        return attach_groups(rows.select("id", "n", F.struct("digest", "n").alias("key")), found, "key", "rows", total).select("id", "n", "first")
+        return attach_groups(rows, found, "digest", "rows", total).select("id", "n", "first")
+
+    def _passing(self, firsts: DataFrame) -> DataFrame:
+        """(id) of the documents that share enough tokens of their prefixes with others under each of the hash orders."""
+        if not self.hashed:
+            return firsts.select("id")
+        kinds = firsts.select("id", F.posexplode("prefixes").alias("nth", "keys"))
+        rows = kinds.select("id", "nth", F.explode("keys").alias("key"))
+        # keys of two orders are told apart by the seed, so the key alone is counted; equal ones of two orders only let more pass
+        counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+        counts = materialize(counts, "ngram-shared")
+        total = counts.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+        shared = attach_groups(rows, counts, "key", "rows", total).groupBy("id", "nth").agg(F.count(F.lit(1)).alias("shared"))
+        passed = shared.join(firsts.select("id", "least"), "id").filter("shared >= least").groupBy("id").agg(F.countDistinct("nth").alias("orders"))
+        return passed.filter(F.col("orders") == self.hashed).select("id")
+
+    def _whole(self, texts: DataFrame) -> DataFrame:
+        """(id, n, tokens, w0, ...): whole sets and their parities."""
+        n = self.n
+
+        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in small_batches(batches, 200):
+                sets = list(shingle_sets(batch.column(1).to_pylist(), n))
+                bits = np.array([parities(s) for s in sets]).reshape(-1, _WORDS)
+                words = [pa.array(bits[:, k], pa.int64()) for k in range(_WORDS)]
+                tokens = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), tokens, *words], names)
+
+        names = ["id", "n", "tokens", *(f"w{k}" for k in range(_WORDS))]
+        return texts.mapInArrow(whole, f"id {self.kind}, n long, tokens array<long>, {', '.join(f'w{k} long' for k in range(_WORDS))}")
+
+    def _buckets(self, whole: DataFrame) -> DataFrame:
+        """(token, node, n, place): the shared tokens of each document's prefix under the order by frequency, and their places."""
+        rows = whole.select("id", F.explode("tokens").alias("token"))
+        counts = materialize(rows.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1"), "ngram-counts")
+        total = counts.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+        # the order: by the count, then by the token, which is a hash; tokens of one document come first. Sets, as rows may be repeated
+        ordered = F.array_sort(F.collect_set(F.struct("rows", "token")))
+        shared = attach_groups(rows, counts, "token", "rows", total).groupBy("id").agg(ordered.alias("ordered"))
+        placed = shared.join(whole.select("id", "n").distinct(), "id").select("id", "n", F.posexplode("ordered").alias("nth", "of"), F.size("ordered").alias("all"))
+        place = F.col("n") - F.col("all") + F.col("nth")
+        length = F.col("n") - F.expr(f"({self.per_hundred} * n + 99) div 100") + 1
+        return placed.select(F.col("of.token").alias("token"), F.col("id").alias("node"), "n", place.alias("place")).filter(F.col("place") < length)
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b, ca, cb) of ids whose sets are near enough; the labels ca and cb are carried along."""
-        rank, per_hundred, n = self.rank, self.per_hundred, self.n
-        pairs = materialize(pairs, "ngram-pairs")
+        """Those of the pairs (a, b) of ids whose sets are near enough; other columns are carried along."""
+        per_hundred = self.per_hundred
+        pairs, columns = materialize(pairs, "ngram-pairs"), pairs.columns
         ends = lambda p: p.select(F.col("a").alias("id")).union(p.select(F.col("b"))).distinct()
-        small = keep_ids(self.sets.select("id", "n", "prefixes"), ends(pairs), "id", "left_semi")
         side = lambda df, s: df.select(*(F.col(c).alias(f"{c}_{s}" if c != "id" else s) for c in df.columns))
 
         @F.arrow_udf("boolean")
@@ -214,37 +237,31 @@ class NgramJoin:
             out = []
             for i, (x, y) in enumerate(zip(na.to_pylist(), nb.to_pylist())):
                 fine = 100 * min(x, y) >= per_hundred * max(x, y)
-                for k in range(rank.orders if fine else 0):
-                    p, q = (np.asarray(side_[i].values[k].values).view(np.uint64) for side_ in (pa_, pb))
-                    most, least = rank.bound(p, x, q, y, k)
-                    if 100 * most < per_hundred * least:
+                for k in range(len(pa_[i]) if fine else 0):
+                    most = bound(_longs(pa_[i].values, k), x, _longs(pb[i].values, k), y)
+                    if 100 * most < per_hundred * (x + y - most):
                         fine = False
                         break
                 out.append(fine)
             return pa.array(out, pa.bool_())
 
-        near = pairs.join(side(small, "a"), "a").join(side(small, "b"), "b")
-        left = materialize(near.filter(possible("n_a", "prefixes_a", "n_b", "prefixes_b")).select("a", "b", "ca", "cb"), "ngram-candidates")
-
-        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                sets = [s.tobytes() for s in shingle_sets(batch.column(1).to_pylist(), n)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "tokens"])
+        if self.hashed:
+            small = keep_ids(self.nodes.select("id", "n", "prefixes"), ends(pairs), "id", "left_semi")
+            near = split_join(split_join(pairs, side(small, "a"), "a"), side(small, "b"), "b", counted=pairs)
+            pairs = materialize(near.filter(possible("n_a", "prefixes_a", "n_b", "prefixes_b")).select(columns), "ngram-candidates")
 
         @F.arrow_udf("boolean")
         def linked(a: pa.Array, b: pa.Array) -> pa.Array:
             out = []
-            for x, y in zip(a, b):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            for i in range(len(a)):
+                x, y = _longs(a, i), _longs(b, i)
                 both = _shared(x, y)
                 out.append(100 * both >= per_hundred * (len(x) + len(y) - both))
             return pa.array(out, pa.bool_())
 
-        kind = self.docs.schema["id"].dataType.simpleString()
-        texts = keep_ids(self.docs, ends(left), "id", "left_semi")
-        sets = materialize(texts.mapInArrow(whole, f"id {kind}, tokens binary"), "ngram-sets")
-        full = left.join(side(sets, "a"), "a").join(side(sets, "b"), "b")
-        return materialize(full.filter(linked("tokens_a", "tokens_b")).select("a", "b", "ca", "cb").distinct(), "ngram-links")
+        sets = keep_ids(self.whole.select("id", "tokens"), ends(pairs), "id", "left_semi")
+        full = split_join(split_join(pairs, side(sets, "a"), "a"), side(sets, "b"), "b", counted=pairs)
+        return materialize(full.filter(linked("tokens_a", "tokens_b")).select(columns).distinct(), "ngram-links")
 
     def _plausible(self, na, nb, shared):
         """Can sets of na and nb tokens be near enough if their prefixes share `shared` tokens?
@@ -256,88 +273,80 @@ class NgramJoin:
         most = F.least(F.greatest(behind(na), behind(nb)) + shared, F.col(na), F.col(nb))
         return 100 * most >= t * (F.col(na) + F.col(nb) - most)
 
-    def _by_size(self, members: DataFrame) -> DataFrame:
-        """(token, node, n, w0, w1, own): buckets divided by bands of set sizes, as sets of very different sizes can't be near enough.
-
-        Sizes that may go together are in one band or in two neighbouring ones. So each node is in its own band (own) and the next,
-        and a pair belongs to the bucket that is the own one of either.
-        """
-        width = math.log(100 / self.per_hundred) * (1 + 1e-6) if self.per_hundred < 100 else 1e-6
-        band = F.floor(F.log("n") / width)
-        bands = F.array(F.struct(band.alias("band"), F.lit(True).alias("own")), F.struct((band + 1).alias("band"), F.lit(False).alias("own")))
-        rows = members.select("token", "node", "n", "w0", "w1", F.inline(bands)).select(F.xxhash64("token", "band").alias("token"), "node", "n", "w0", "w1", "own")
-        rows = materialize(rows, "ngram-bands")
-        shared = rows.groupBy("token").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.bool_or("own").alias("some"))
-        return rows.join(shared.filter("least < most and some").select("token"), "token")
-
     def _round(self, grouped: DataFrame, nth: int) -> DataFrame:
         """Links of documents b to pivots a of another label: in each bucket the member with the smallest hash of the round."""
         entry = F.struct(F.xxhash64(F.lit(nth), "node").alias("hash"), "node", "n", "c")
-        pivots = grouped.groupBy("token").agg(F.min(entry).alias("p"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi")
+        pivots = grouped.groupBy("token").agg(F.min(entry).alias("p"))
         pivots = pivots.select("token", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.c").alias("pivot_c"))
-        votes = grouped.join(pivots, "token").filter("c != pivot_c").groupBy("node", "n", "c", "pivot", "pivot_n", "pivot_c").agg(F.count(F.lit(1)).alias("votes"))
+        votes = split_join(grouped.select("token", "node", "n", "c"), pivots, "token").filter("c != pivot_c")
+        votes = votes.groupBy("node", "n", "c", "pivot", "pivot_n", "pivot_c").agg(F.count(F.lit(1)).alias("votes"))
         # a pivot isn't drawn in every shared bucket: half of the needed tokens are enough here
         likely = votes.filter(self._plausible("n", "pivot_n", 2 * F.col("votes")))
         best = Window.partitionBy("node").orderBy(F.desc("votes"), "pivot")
         likely = likely.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= PIVOTS)
         return self._verified(likely.select(F.col("pivot").alias("a"), F.col("node").alias("b"), F.col("pivot_c").alias("ca"), F.col("c").alias("cb")))
 
-    def _lower_labels(self, links: DataFrame) -> DataFrame:
-        """(c, new): the smallest label linked to the smallest one that is linked to label c, or that one, where it is below c.
+    def _lower(self, labels: DataFrame, links: DataFrame) -> DataFrame:
+        """The labels (node, c), lowered to the smallest one linked to the smallest one that is linked to c, where these are below it.
 
         All documents with label c are connected to some with the new one, so labels go on to mean connected documents.
         """
         ends = links.select(F.col("ca").alias("c"), F.col("cb").alias("d")).unionByName(links.select(F.col("cb").alias("c"), F.col("ca").alias("d")))
-        near = materialize(ends.groupBy("c").agg(F.least("c", F.min("d")).alias("m")), "ngram-labels")
-        two = near.join(near.select(F.col("c").alias("m"), F.col("m").alias("mm")), "m", "left")
-        return two.select("c", F.least("m", "mm").alias("new"))
+        near = materialize(ends.groupBy("c").agg(F.least("c", F.min("d")).alias("m")), "ngram-lower")
+        two = split_join(near, near.select(F.col("c").alias("m"), F.col("m").alias("mm")), "m", "left").select("c", F.least("m", "mm").alias("new"))
+        return split_join(labels, two, "c", "left").select("node", F.least("c", "new").alias("c"))
+
+    def _met(self, grouped: DataFrame) -> DataFrame:
+        """(a, b): pairs of different labels that meet in a bucket, and that sizes, places and parities let be near enough.
+
+        Rows of a bucket of m members are dealt to m / BLOCK blocks, and blocks meet in pairs; a pair of members meets once.
+        """
+        t, words = self.per_hundred, [f"w{k}" for k in range(_WORDS)]
+        sizes = grouped.groupBy("token").agg(F.count(F.lit(1)).alias("rows"))
+        total = sizes.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+        dealt = attach_groups(grouped, sizes, "token", "rows", total).withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int"))
+        dealt = dealt.join(self.whole.select(F.col("id").alias("node"), *words), "node")
+        dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.select("token", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"), "own", "node", "n", "place", "c", *words)
+        side = lambda s: dealt.select("token", "lo", "hi", *(F.col(x).alias(f"{x}_{s}") for x in ("own", "node", "n", "place", "c", *words)))
+        differ = " + ".join(f"bit_count({w}_a ^ {w}_b)" for w in words)
+        could = (
+            f"c_a < c_b and (lo = hi) = (own_a = own_b) and 100 * least(n_a, n_b) >= {t} * greatest(n_a, n_b) "
+            f"and {100 + t} * least(n_a - place_a, n_b - place_b) >= {t} * (n_a + n_b) and {100 + t} * ({differ}) <= {100 - t} * (n_a + n_b)"
+        )
+        pairs = side("a").join(side("b"), ["token", "lo", "hi"]).filter(could)
+        return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
     def components(self) -> DataFrame:
         """(id, n, component) of each row of the table; component is null for rows without an id."""
         classes = materialize(self._classes(), "ngram-members")
         copies = classes.filter("id != first").select("id").distinct()
-        firsts = keep_ids(self.sets.filter("size(prefixes) > 0 and id is not null"), copies, "id", "left_anti")
-        tokens = firsts.select(F.col("id").alias("node"), "n", "w0", "w1", F.explode(F.col("prefixes")[0]).alias("token"))
-        shared = tokens.groupBy("token").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most")
-        members = materialize(self._by_size(tokens.join(shared.select("token"), "token")), "ngram-buckets")
-
-        links, grouped, before = [], members.withColumn("c", F.col("node")), None
-        for nth in range(1, ROUNDS + 1):
-            links.append(self._round(grouped, nth))
-            grouped = grouped.join(self._lower_labels(links[-1]), "c", "left").withColumn("c", F.least("c", "new")).drop("new")
+        firsts = keep_ids(self.sets.filter("least > 0 and id is not null").drop("digest"), copies, "id", "left_anti")
+        passing = materialize(self._passing(firsts), "ngram-passing")
+        self.nodes = materialize(keep_ids(firsts, passing, "id", "left_semi"), "ngram-nodes")
+        self.whole = materialize(self._whole(keep_ids(self.docs, passing, "id", "left_semi")), "ngram-sets")
+        members = materialize(self._buckets(self.whole), "ngram-buckets")
+
+        links, labels, before = [], materialize(members.select("node").distinct().withColumn("c", F.col("node")), "ngram-labels"), None
+        for nth in range(1, ROUNDS + 2):
+            grouped = members.join(labels, "node")
             parts = grouped.groupBy("token", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("token")
             parts = parts.agg(F.sum("m").alias("s"), F.sum(F.col("m") * F.col("m")).alias("q"), F.count(F.lit(1)).alias("labels"))
-            meet = materialize(parts.filter("labels > 1"), "ngram-meetings")
-            grouped = materialize(grouped.join(meet.select("token"), "token"), "ngram-mixed")
-            # pairs of different labels that the complete pass would make, and rows that they come from
+            meet = materialize(parts.filter("labels > 1").select("token", "s", "q"), "ngram-meetings")
+            members = materialize(split_join(members, meet.select("token"), "token"), "ngram-mixed")
+            grouped = materialize(members.join(labels, "node"), "ngram-labelled")
+            # pairs of different labels that the complete pass would look at, and rows that they come from
             pairs, rows = meet.agg(F.coalesce(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2.0), F.lit(0.0)), F.coalesce(F.sum("s"), F.lit(0))).first()
-            if pairs <= rows or (before is not None and pairs > 0.9 * before):
+            if nth > ROUNDS or pairs <= rows or (before is not None and pairs > 0.9 * before):
                 break
             before = pairs
+            links.append(self._round(grouped, nth))
+            labels = materialize(self._lower(labels, links[-1]), "ngram-labels")
+        links.append(self._verified(self._met(grouped)))
 
-        # of the members with one label: the greatest size, and the bits that all (all) or some (any) of them have
-        has = [f(w).alias(f"{name}{w}") for w in ("w0", "w1") for name, f in (("all", F.bit_and), ("any", F.bit_or))]
-        apart = materialize(grouped.groupBy("token", "c").agg(F.max("n").alias("n"), F.min("n").alias("least"), F.bool_or("own").alias("own"), *has), "ngram-apart")
-        end = lambda df, s: df.select("token", *(F.col(x).alias(s if x == "node" else f"{x}{s}") for x in df.columns if x != "token"))
-        differ = lambda w: f"bit_count((all{w}a & ~any{w}b) | (all{w}b & ~any{w}a))"
-        t = self.per_hundred
-        could = f"ca < cb and (owna or ownb) and 100 * na >= {t} * leastb and 100 * nb >= {t} * leasta and {100 + t} * ({differ('w0')} + {differ('w1')}) <= {100 - t} * (na + nb)"
-        left, right = end(apart, "a"), end(apart, "b")
-        met = left.join(right, (left.token == right.token) & F.expr(could)).select(left.token, "ca", "cb", F.col("nb").alias("topb"), "leastb", "allw0b", "anyw0b", "allw1b", "anyw1b")
-        # a member against all of the other label at once, before its pairs are made
-        apart_by = lambda w: f"bit_count(({w}a & ~any{w}b) | (~{w}a & all{w}b))"
-        some = f"100 * na >= {t} * leastb and 100 * topb >= {t} * na and {100 + t} * ({apart_by('w0')} + {apart_by('w1')}) <= {100 - t} * (na + topb)"
-        members = grouped.select("token", "c", "node", "n", "w0", "w1", "own")
-        one, other = end(members, "a"), end(members, "b")
-        near = f"100 * least(na, nb) >= {t} * greatest(na, nb) and (owna or ownb) and {100 + t} * (bit_count(w0a ^ w0b) + bit_count(w1a ^ w1b)) <= {100 - t} * (na + nb)"
-        first = met.join(one, (met.token == one.token) & (met.ca == one.ca) & F.expr(some)).select(met.token, "cb", "a", "na", "w0a", "w1a", "owna")
-        both = first.join(other, (first.token == other.token) & (first.cb == other.cb) & F.expr(near)).drop(other.cb).drop(other.token)
-        counted = both.groupBy("a", "na", "b", "nb").agg(F.count(F.lit(1)).alias("shared"))
-        fine = counted.filter(self._plausible("na", "nb", F.col("shared")))
-        links.append(self._verified(fine.select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb"))))
-
-        final = connected_components(functools.reduce(DataFrame.unionByName, links).select("a", "b")).select(F.col("node").alias("first"), "component")
-        placed = classes.join(final, "first", "left").select("id", "n", F.coalesce("component", "first").alias("component"))
+        found = [p.select("a", "b") for p in links]
+        final = connected_components(functools.reduce(DataFrame.unionByName, found)).select(F.col("node").alias("first"), "component")
+        placed = split_join(classes, final, "first", "left").select("id", "n", F.coalesce("component", "first").alias("component"))
         bare = self.sets.filter("n = 0 or id is null").select("id", "n", F.col("id").alias("component"))
         return placed.unionByName(bare)
 

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StringType
+from pyspark.sql.types import BinaryType, IntegerType, StringType, StructField, StructType
 
 #: A group is hot from this share of all rows on, so there are at most this many hot groups and their broadcast is bounded.
 HOT_GROUPS = 1024
@@ -22,26 +22,34 @@ BROADCAST_BYTES = 32_000_000
 def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, hot: int = HOT_GROUPS) -> DataFrame:
     """Inner join of `rows` with `groups` (one row per `key`, `size` rows of `rows` each, `total` in all).
 
-    Groups with at least total / hot rows are at most `hot` in number: these are broadcast. The rest are shuffled by key, and
-    none of them has more than total / hot rows. Rows whose key is null or in no group are left out. Group rows are taken to be
-    short (keys, ids and counts).
+    Groups with at least total / hot rows are at most `hot` in number: their keys are read by the driver, and they are broadcast. The
+    rest are shuffled by key, and none of them has more than total / hot rows, or half of ROWS_PER_TASK. Rows whose key is null or in no group are left out.
+    Group rows are taken to be short (keys, ids and counts); `groups` is read twice.
     """
-    large = F.col(size) * hot >= F.lit(total)
-    few = F.broadcast(groups.filter(large))
-    rest = rows.join(F.broadcast(groups.filter(large).select(key)), key, "left_anti")
-    return rows.join(few, key).unionByName(rest.join(groups.filter(~large), key))
+    large = (F.col(size) * hot >= F.lit(total)) & (F.col(size) > ROWS_PER_TASK // 2)
+    keys = [r[0] for r in groups.filter(large).select(key).collect()]
+    if not keys:
+        return rows.join(groups, key)
+    few = rows.filter(F.col(key).isin(keys)).join(F.broadcast(groups.filter(large)), key)
+    return few.unionByName(rows.filter(~F.col(key).isin(keys)).join(groups.filter(~large), key))
 
 
 def split_join(rows: DataFrame, side: DataFrame, key: str, how: str = "inner", counted: DataFrame | None = None) -> DataFrame:
     """Join of `rows` with `side` (one row per `key`) in which a hot key's rows are dealt to several tasks.
 
-    A key with more than ROWS_PER_TASK rows (or more than a share of 1 / MOST_SPLIT) has its row of `side` copied once for each task
-    its rows are dealt to. Keys are counted in `counted`, or `rows`, which is then computed twice. `how` is inner or left; a null key matches nothing.
+    A key with more than ROWS_PER_TASK rows has its row of `side` copied once for each task its rows are dealt to. These keys are
+    read by the driver; where they would be more than MOST_SPLIT, only keys with ten times as many rows count as hot, and so on. Keys
+    are counted in `counted`, or `rows`, which is then computed twice. `how` is inner or left; a null key matches nothing.
     """
-    counts = (rows if counted is None else counted).groupBy(key).agg(F.count(F.lit(1)).alias("rows_of_key"))
-    total = counts.agg(F.coalesce(F.sum("rows_of_key"), F.lit(0))).first()[0]
-    most = max(ROWS_PER_TASK, total // MOST_SPLIT)
-    hot = F.broadcast(counts.filter(F.col("rows_of_key") > most).select(key, F.ceil(F.col("rows_of_key") / most).cast("int").alias("deals")))
+    counts = (rows if counted is None else counted).groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col(key).isNotNull())
+    most, keys = ROWS_PER_TASK, None
+    while keys is None or len(keys) > MOST_SPLIT:
+        most = most if keys is None else 10 * most
+        keys = counts.filter(F.col("n") > most).limit(MOST_SPLIT + 1).collect()
+    if not keys:
+        return rows.join(side, key, how)
+    deals = [(k, -(-n // most)) for k, n in keys]
+    hot = F.broadcast(rows.sparkSession.createDataFrame(deals, StructType([counts.schema[key], StructField("deals", IntegerType())])))
     others = [c for c in rows.columns if c != key] or [key]
     dealt = rows.join(hot, key, "left").withColumn("deal", F.coalesce(F.pmod(F.xxhash64(*others), F.col("deals")).cast("int"), F.lit(0))).drop("deals")
     copied = side.join(hot, key, "left").withColumn("deal", F.explode(F.sequence(F.lit(0), F.coalesce("deals", F.lit(1)) - 1))).drop("deals")
