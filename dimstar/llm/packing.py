@@ -21,11 +21,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dimstar.functions.runtime import materialize, ship_code
-from dimstar.llm.skew import small_batches
 from dimstar.llm.bpe import SPLIT, vocabulary
+from dimstar.llm.skew import small_batches
 
 #: Second lengths tried with each first length; bounds the patterns at size * PARTNERS.
 PARTNERS = 12
+#: Shares of the fitted repeats that are tried.
+SHARES = (1.0, 0.75, 0.5, 0.25)
 #: Pieces of one length are ranked in at least this many blocks, and about BLOCK_ROWS pieces of all lengths per block and length.
 BLOCKS, BLOCK_ROWS = 64, 1_000_000
 
@@ -41,7 +43,14 @@ def _library_encoder(path: str):
     if not (np.diff(v.turn[made]) > 0).all() or (len(made) and made[0] < 256):
         return lambda text: next(v.encode_batch([text]))  # ids aren't in the order of merges
     encoding = tiktoken.Encoding("vocabulary", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=v.special)
-    return lambda text: encoding.encode(text, allowed_special="all")
+
+    def encode(text: str) -> list[int]:
+        try:
+            return encoding.encode(text, allowed_special="all")
+        except ValueError:  # its regular expressions give up on a million blanks in a row
+            return next(v.encode_batch([text]))
+
+    return encode
 
 
 def token_pieces(docs: DataFrame, vocabulary_path: str, *, size: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -132,11 +141,9 @@ class Plan:
         return {length: np.array(rows, np.int64) for length, rows in self.places.items()}
 
 
-def make_plan(histogram: dict[int, int], size: int) -> Plan:
-    """Pattern repeats, then best fit decreasing of what is left, by counts."""
-    left = np.zeros(size + 1, np.int64)
-    for length, n in histogram.items():
-        left[length] = n
+def _packed(counts: np.ndarray, size: int, patterns: np.ndarray, repeats: np.ndarray) -> list[_Group]:
+    """Groups of sequences: each pattern as often as `repeats` says, then best fit decreasing of what is left, by counts."""
+    left = counts.copy()
     done: list[_Group] = []
     free: dict[int, list[_Group]] = defaultdict(list)  # by free room
 
@@ -144,15 +151,12 @@ def make_plan(histogram: dict[int, int], size: int) -> Plan:
         room = size - sum(contents)
         (free[room] if room else done).append(_Group(contents, count))
 
-    if left.any():
-        patterns = patterns_for(left, size)
-        repeats = np.floor(fit_repeats(patterns, left.astype(float)) + 1e-6).astype(np.int64)
-        for p in np.argsort(-repeats, kind="stable"):
-            lengths, need = np.unique(patterns[p][patterns[p] > 0], return_counts=True)
-            times = int(min(repeats[p], (left[lengths] // need).min()))
-            if times:
-                left[lengths] -= times * need
-                keep(tuple(sorted(patterns[p][patterns[p] > 0].tolist(), reverse=True)), times)
+    for p in np.argsort(-repeats, kind="stable"):
+        lengths, need = np.unique(patterns[p][patterns[p] > 0], return_counts=True)
+        times = int(min(repeats[p], (left[lengths] // need).min()))
+        if times:
+            left[lengths] -= times * need
+            keep(tuple(sorted(patterns[p][patterns[p] > 0].tolist(), reverse=True)), times)
     for length in range(size, 0, -1):
         n = int(left[length])
         while n:
@@ -170,8 +174,27 @@ def make_plan(histogram: dict[int, int], size: int) -> Plan:
                 free[room].append(_Group(group.contents, group.count - times))
             keep((*group.contents, length), times)
             n -= times
+    return [*done, *(g for room in sorted(free) for g in free[room])]
+
+
+def make_plan(histogram: dict[int, int], size: int) -> Plan:
+    """Pattern repeats, then best fit decreasing of what is left.
+
+    Only patterns that fill a sequence are certain to cost nothing; but all repeats of them may use up the short pieces that the rest
+    needs. So the rest is packed after each of SHARES of their repeats, after those of all patterns, and after none, and the fewest
+    sequences count: the plan never has more than best fit decreasing alone.
+    """
+    counts = np.zeros(size + 1, np.int64)
+    for length, n in histogram.items():
+        counts[length] = n
+    patterns = patterns_for(counts, size)
+    full = patterns[patterns.sum(1) == size]
+    fits = [(some, fit_repeats(some, counts.astype(float)) if len(some) else np.zeros(0)) for some in (full, patterns)]
+    tries = [(full, share * fits[0][1]) for share in SHARES] + [fits[1], (patterns[:0], np.zeros(0))]
+    tried = [_packed(counts, size, some, np.floor(x + 1e-6).astype(np.int64)) for some, x in tries]
+    best = min(tried, key=lambda groups: sum(g.count for g in groups))
     plan, next_rank = Plan(), defaultdict(int)
-    for group in [*done, *(g for room in sorted(free) for g in free[room])]:
+    for group in best:
         at = 0
         for length in sorted(set(group.contents), reverse=True):
             each = group.contents.count(length)
