@@ -77,7 +77,11 @@ class Vocabulary:
         self.split = regex.compile(SPLIT)
         # A token that its own bytes don't merge to can't be part of a result.
         self.known = {t: i for t, i in vocab.items() if len(t) == 1 or self.merged(t) == (i,)}
-        self.longest = max(map(len, self.known))
+        lengths: dict[bytes, set[int]] = {}
+        for token in self.known:
+            lengths.setdefault(token[:2], set()).add(len(token))
+        #: By a word's next two bytes: the lengths of the tokens that begin with them, longest first.
+        self.lengths = {begin: sorted(there, reverse=True) for begin, there in lengths.items()}
         self.ids: dict[str, tuple[int, ...]] = {}
 
     def merged(self, word: bytes) -> tuple[int, ...]:
@@ -126,13 +130,16 @@ class Vocabulary:
     def proposed(self, word: bytes) -> list[int]:
         """Greedy longest match from the left."""
         out, at, n = [], 0, len(word)
-        known, longest = self.known, self.longest
+        known, lengths = self.known, self.lengths
         while at < n:
-            end = min(n, at + longest)
-            while (token := known.get(word[at:end])) is None:
-                end -= 1
+            token = size = None
+            for size in lengths.get(word[at : at + 2], ()):
+                if at + size <= n and (token := known.get(word[at : at + size])) is not None:
+                    break
+            if token is None:
+                token, size = known[word[at : at + 1]], 1
             out.append(token)
-            at = end
+            at += size
         return out
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
