@@ -36,7 +36,7 @@ from dimstar.llm.skew import attach_groups, keep_ids, small_batches, split_join
 from dimstar.llm.wordhash import groups, mix, word_hashes
 
 #: Pivots per document and round, and rounds at most; the complete pass that follows doesn't depend on them.
-PIVOTS, ROUNDS = 3, 3
+PIVOTS, ROUNDS = 8, 3
 
 #: Prefixes under the orders by a hash are longer by this share, so that more than one token has to be shared.
 LONGER = 0.5
@@ -213,7 +213,10 @@ class NgramJoin:
         return texts.mapInArrow(whole, f"id {self.kind}, n long, tokens array<long>, {', '.join(f'w{k} long' for k in range(_WORDS))}")
 
     def _buckets(self, whole: DataFrame) -> DataFrame:
-        """(token, node, n, place): the shared tokens of each document's prefix under the order by frequency, and their places."""
+        """(token, node, n, rare, place): the shared tokens of each document's prefix under the order by frequency, and their places.
+
+        rare is the number of the document's tokens that no other one has.
+        """
         rows = whole.select("id", F.explode("tokens").alias("token"))
         counts = materialize(rows.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1"), "ngram-counts")
         total = counts.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
@@ -221,14 +224,15 @@ class NgramJoin:
         ordered = F.array_sort(F.collect_set(F.struct("rows", "token")))
         shared = attach_groups(rows, counts, "token", "rows", total).groupBy("id").agg(ordered.alias("ordered"))
         placed = shared.join(whole.select("id", "n").distinct(), "id").select("id", "n", F.posexplode("ordered").alias("nth", "of"), F.size("ordered").alias("all"))
-        place = F.col("n") - F.col("all") + F.col("nth")
+        rare = F.col("n") - F.col("all")
+        place = rare + F.col("nth")
         length = F.col("n") - F.expr(f"({self.per_hundred} * n + 99) div 100") + 1
-        return placed.select(F.col("of.token").alias("token"), F.col("id").alias("node"), "n", place.alias("place")).filter(F.col("place") < length)
+        return placed.select(F.col("of.token").alias("token"), F.col("id").alias("node"), "n", rare.alias("rare"), place.alias("place")).filter(F.col("place") < length)
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) of ids whose sets are near enough; other columns are carried along."""
+        """Those of the pairs (a, b) of ids whose sets are near enough."""
         per_hundred = self.per_hundred
-        pairs, columns = materialize(pairs, "ngram-pairs"), pairs.columns
+        pairs = materialize(pairs, "ngram-pairs")
         ends = lambda p: p.select(F.col("a").alias("id")).union(p.select(F.col("b"))).distinct()
         side = lambda df, s: df.select(*(F.col(c).alias(f"{c}_{s}" if c != "id" else s) for c in df.columns))
 
@@ -248,7 +252,7 @@ class NgramJoin:
         if self.hashed:
             small = keep_ids(self.nodes.select("id", "n", "prefixes"), ends(pairs), "id", "left_semi")
             near = split_join(split_join(pairs, side(small, "a"), "a"), side(small, "b"), "b", counted=pairs)
-            pairs = materialize(near.filter(possible("n_a", "prefixes_a", "n_b", "prefixes_b")).select(columns), "ngram-candidates")
+            pairs = materialize(near.filter(possible("n_a", "prefixes_a", "n_b", "prefixes_b")).select("a", "b"), "ngram-candidates")
 
         @F.arrow_udf("boolean")
         def linked(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -261,7 +265,7 @@ class NgramJoin:
 
         sets = keep_ids(self.whole.select("id", "tokens"), ends(pairs), "id", "left_semi")
         full = split_join(split_join(pairs, side(sets, "a"), "a"), side(sets, "b"), "b", counted=pairs)
-        return materialize(full.filter(linked("tokens_a", "tokens_b")).select(columns).distinct(), "ngram-links")
+        return materialize(full.filter(linked("tokens_a", "tokens_b")).select("a", "b").distinct(), "ngram-links")
 
     def _plausible(self, na, nb, shared):
         """Can sets of na and nb tokens be near enough if their prefixes share `shared` tokens?
@@ -274,27 +278,22 @@ class NgramJoin:
         return 100 * most >= t * (F.col(na) + F.col(nb) - most)
 
     def _round(self, grouped: DataFrame, nth: int) -> DataFrame:
-        """Links of documents b to pivots a of another label: in each bucket the member with the smallest hash of the round."""
-        entry = F.struct(F.xxhash64(F.lit(nth), "node").alias("hash"), "node", "n", "c")
+        """Links of documents b to pivots a of another label.
+
+        A pivot is, of each bucket, the member with the fewest tokens of its own in rounds 1 and 3, as in a group of near copies it is
+        near to the original; else, and among equals, the one with the smallest hash of the round.
+        """
+        first = F.col("rare") if nth % 2 else F.lit(0)
+        entry = F.struct(first.alias("rare"), F.xxhash64(F.lit(nth), "node").alias("hash"), "node", "n", "c")
         pivots = grouped.groupBy("token").agg(F.min(entry).alias("p"))
         pivots = pivots.select("token", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.c").alias("pivot_c"))
         votes = split_join(grouped.select("token", "node", "n", "c"), pivots, "token").filter("c != pivot_c")
-        votes = votes.groupBy("node", "n", "c", "pivot", "pivot_n", "pivot_c").agg(F.count(F.lit(1)).alias("votes"))
+        votes = votes.groupBy("node", "n", "pivot", "pivot_n").agg(F.count(F.lit(1)).alias("votes"))
         # a pivot isn't drawn in every shared bucket: half of the needed tokens are enough here
         likely = votes.filter(self._plausible("n", "pivot_n", 2 * F.col("votes")))
         best = Window.partitionBy("node").orderBy(F.desc("votes"), "pivot")
         likely = likely.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= PIVOTS)
-        return self._verified(likely.select(F.col("pivot").alias("a"), F.col("node").alias("b"), F.col("pivot_c").alias("ca"), F.col("c").alias("cb")))
-
-    def _lower(self, labels: DataFrame, links: DataFrame) -> DataFrame:
-        """The labels (node, c), lowered to the smallest one linked to the smallest one that is linked to c, where these are below it.
-
-        All documents with label c are connected to some with the new one, so labels go on to mean connected documents.
-        """
-        ends = links.select(F.col("ca").alias("c"), F.col("cb").alias("d")).unionByName(links.select(F.col("cb").alias("c"), F.col("ca").alias("d")))
-        near = materialize(ends.groupBy("c").agg(F.least("c", F.min("d")).alias("m")), "ngram-lower")
-        two = split_join(near, near.select(F.col("c").alias("m"), F.col("m").alias("mm")), "m", "left").select("c", F.least("m", "mm").alias("new"))
-        return split_join(labels, two, "c", "left").select("node", F.least("c", "new").alias("c"))
+        return self._verified(likely.select(F.col("pivot").alias("a"), F.col("node").alias("b")))
 
     def _met(self, grouped: DataFrame) -> DataFrame:
         """(a, b): pairs of different labels that meet in a bucket, and that sizes, places and parities let be near enough.
@@ -337,15 +336,15 @@ class NgramJoin:
             grouped = materialize(members.join(labels, "node"), "ngram-labelled")
             # pairs of different labels that the complete pass would look at, and rows that they come from
             pairs, rows = meet.agg(F.coalesce(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2.0), F.lit(0.0)), F.coalesce(F.sum("s"), F.lit(0))).first()
-            if nth > ROUNDS or pairs <= rows or (before is not None and pairs > 0.9 * before):
+            if nth > ROUNDS or pairs <= rows or (nth > 2 and pairs > 0.9 * before):
                 break
             before = pairs
             links.append(self._round(grouped, nth))
-            labels = materialize(self._lower(labels, links[-1]), "ngram-labels")
+            known = connected_components(functools.reduce(DataFrame.unionByName, links)).select("node", "component")
+            labels = materialize(labels.select("node").join(known, "node", "left").select("node", F.coalesce("component", "node").alias("c")), "ngram-labels")
         links.append(self._verified(self._met(grouped)))
 
-        found = [p.select("a", "b") for p in links]
-        final = connected_components(functools.reduce(DataFrame.unionByName, found)).select(F.col("node").alias("first"), "component")
+        final = connected_components(functools.reduce(DataFrame.unionByName, links)).select(F.col("node").alias("first"), "component")
         placed = split_join(classes, final, "first", "left").select("id", "n", F.coalesce("component", "first").alias("component"))
         bare = self.sets.filter("n = 0 or id is null").select("id", "n", F.col("id").alias("component"))
         return placed.unionByName(bare)

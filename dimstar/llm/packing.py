@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dimstar.functions.runtime import materialize, ship_code
-from dimstar.llm.bpe import SPLIT, vocabulary
+from dimstar.llm.bpe import SPLIT, Vocabulary, vocabulary
 from dimstar.llm.skew import small_batches
 
 #: Second lengths tried with each first length; bounds the patterns at size * PARTNERS.
@@ -37,18 +37,18 @@ def _library_encoder(path: str):
     """tiktoken over the vocabulary's own ranks: the same ids as the tokenizers library gives, several times as fast."""
     import tiktoken
 
-    v = vocabulary(path)
+    v = Vocabulary(path)  # not kept: a worker would hold it beside the library's own
     ranks = {v.bytes_of[i]: i for i in range(v.size) if v.bytes_of[i] and i not in v.special.values()}
     made = np.flatnonzero(v.turn >= 0)
     if not (np.diff(v.turn[made]) > 0).all() or (len(made) and made[0] < 256):
-        return lambda text: next(v.encode_batch([text]))  # ids aren't in the order of merges
+        return lambda text: next(vocabulary(path).encode_batch([text]))  # ids aren't in the order of merges
     encoding = tiktoken.Encoding("vocabulary", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=v.special)
 
     def encode(text: str) -> list[int]:
         try:
             return encoding.encode(text, allowed_special="all")
         except ValueError:  # its regular expressions give up on a million blanks in a row
-            return next(v.encode_batch([text]))
+            return next(vocabulary(path).encode_batch([text]))
 
     return encode
 
