@@ -27,11 +27,16 @@ def ship_code(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where that is unset (tests), one of our own."""
+    """The folder that the cluster names in spark.checkpoint.dir; where that is unset and the master local (tests), one of our own.
+
+    A cluster without one raises ValueError, as the executors don't see the driver's own folders.
+    """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="dimstar_shared_"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
@@ -42,10 +47,3 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Hand at most `rows` rows at once to Python, as texts can be long; a smaller setting of the user's stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))

@@ -32,10 +32,17 @@ def log_grid(low: float, high: float, n: int) -> list[float]:
 
 
 def split_periods(total: int, spans: list[tuple[float, float]], floors: list[int]) -> list[int]:
-    """Shares of `total` periods by the logarithmic length of each span, but no fewer than its floor."""
+    """Shares of `total` periods by the logarithmic length of each span, but no fewer than its floor.
+
+    The last span gets what the others leave. What the floors add is taken back from the largest share, down to its own floor.
+    """
     logs = [math.log(b / a) if b > a > 0 else 0.0 for a, b in spans]
     whole = sum(logs) or 1.0
-    return [max(floor, round(total * part / whole)) for part, floor in zip(logs, floors)]
+    shares = [round(total * part / whole) for part in logs[:-1]]
+    shares = [max(floor, n) for n, floor in zip([*shares, total - sum(shares)], floors)]
+    largest = max(range(len(shares)), key=lambda i: (shares[i], i))
+    shares[largest] = max(floors[largest], shares[largest] - max(0, sum(shares) - total))
+    return shares
 
 
 def legal_durations(low: float, high: float, n: int, shortest_period: float, share: float = 0.98) -> list[float]:
@@ -120,7 +127,7 @@ def kept_apart(found: np.ndarray, top: int, apart: float = 0.002) -> np.ndarray:
     """Rows by falling power, without those whose period is within `apart` (relative) of a kept one's, up to `top`."""
     kept: list[np.ndarray] = []
     for row in found[np.lexsort((found[:, 0], -found[:, 4]))]:
-        if all(abs(row[0] - k[0]) / max(k[0], 1e-12) >= apart for k in kept):
+        if all(abs(row[0] - k[0]) / max(k[0], 1e-12) > apart for k in kept):
             kept.append(row)
             if len(kept) == top:
                 break
@@ -172,7 +179,7 @@ def merged_passes(found: list[DataFrame], top: int = 24, apart: float = 0.002) -
     entry = F.struct((-F.col("power")).alias("minus"), "period", "t0", "duration", "depth", "power")
     listed = rows.groupBy("target").agg(F.sort_array(F.collect_list(entry)).alias("all"))
     empty = F.slice(F.col("all"), 1, 0)
-    near = lambda kept, x: F.exists(kept, lambda k: F.abs(x["period"] - k["period"]) / F.greatest(k["period"], F.lit(1e-12)) < apart)
+    near = lambda kept, x: F.exists(kept, lambda k: F.abs(x["period"] - k["period"]) / F.greatest(k["period"], F.lit(1e-12)) <= apart)
     scan = F.aggregate("all", empty, lambda kept, x: F.when((F.size(kept) >= top) | near(kept, x), kept).otherwise(F.concat(kept, F.array(x))))
     spread = listed.select("target", F.posexplode(scan).alias("at", "c"))
     return spread.select("target", (F.col("at") + 1).alias("k"), "c.period", "c.t0", "c.duration", "c.depth", "c.power")

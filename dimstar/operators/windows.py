@@ -84,8 +84,10 @@ def window_stats(df: DataFrame, column: str = "w") -> DataFrame:
 
 
 def with_box(w: Column, depth: float = 8.0, half_width: float = 0.03) -> Column:
-    """The window with a box of `depth` around its middle: a winner with it should score otherwise."""
-    return F.transform(w, lambda x, i: F.when(F.abs(i / (F.size(w) - 1) - 0.5) <= half_width, x - depth).otherwise(x))
+    """The window with a box of `depth` population deviations (of 1 if there is none) around phase 0: a winner with it should score otherwise."""
+    sd = lambda m: F.when(m["var"] > 0, F.sqrt(m["var"])).otherwise(1.0)
+    boxed = lambda k: F.transform(w, lambda x, i: F.when(F.abs(i / F.size(w) - 0.5) <= half_width, x - depth * k).otherwise(x))
+    return _moments(w, lambda m: _let(sd(m), boxed))
 
 
 def inject_dips(df: DataFrame) -> DataFrame:

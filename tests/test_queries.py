@@ -43,7 +43,7 @@ def test_merge_reads_all_rows(spark):
         sizes += map(len, passes)
         kept = []
         for w, p in sorted(passes[0][:240] + passes[1][:240]):
-            if len(kept) < 24 and all(abs(p - q) / q >= 0.002 for _, q in kept):
+            if len(kept) < 24 and all(abs(p - q) / q > 0.002 for _, q in kept):
                 kept.append((w, p))
         wanted += [(f"TIC {supplier}", i + 1, round(p, 9), round(-w, 9)) for i, (w, p) in enumerate(kept)]
     found = queries.QUERIES["two_pass_merge_dedupe"](spark, folder).filter("int(substr(target, 5)) < 6").collect()

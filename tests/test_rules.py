@@ -25,7 +25,7 @@ def test_nan_is_missing(spark):
         assert one(spark, rules.score_label(rules.tidy(F.col("x"))), row=(bad,)) == "reject"
 
 
-@pytest.mark.parametrize("p,true,want", [(2.0, 4.0, (True, 2, "divisor")), (8.0, 4.0, (True, 2, "multiple")), (4.0, 4.0, (True, 1, "fundamental")), (12.0, 4.0, (True, 3, "multiple")), (4.084, 4.0, (False, None, None)), (4.08, 4.0, (True, 1, "fundamental")), (4.0, 0.0, (False, None, None)), (None, 4.0, (False, None, None))])
+@pytest.mark.parametrize("p,true,want", [(2.0, 4.0, (True, 2, "divisor")), (8.0, 4.0, (True, 2, "multiple")), (4.0, 4.0, (True, 1, "fundamental")), (12.0, 4.0, (True, 3, "multiple")), (4.084, 4.0, (False, None, None)), (4.08, 4.0, (False, None, None)), (4.079, 4.0, (True, 1, "fundamental")), (4.0, 0.0, (False, None, None)), (None, 4.0, (False, None, None))])
 def test_harmonics(spark, p, true, want):
     m = one(spark, rules.harmonic_match(F.col("p"), F.col("t")), "p double, t double", (p, true))
     assert (m["matched"], m["k"], m["kind"]) == want
@@ -82,6 +82,8 @@ def test_grids():
     assert log_grid(1, 8, 4) == pytest.approx([1, 2, 4, 8])
     assert max(legal_durations(0.02, 0.5, 25, 0.1)) < 0.098 and len(legal_durations(1, 2, 1, 0.1)) == 3
     assert split_periods(100, [(1, 10), (10, 100)], [10, 70]) == [50, 70]
+    assert split_periods(1000, [(1, 10), (10, 10**10)], [400, 600]) == [400, 600]
+    assert split_periods(1000, [(1, 10**8), (10**8, 10**10)], [100, 300]) == [700, 300]
     short, normal = two_pass_plan()
     assert len(short["periods"]) + len(normal["periods"]) == 3000 and len(short["durations"]) == 12 and len(normal["durations"]) == 25
 
@@ -98,7 +100,7 @@ def test_merge_keeps_apart(spark):
 
 
 def chosen(spark, rows, tspan=27.4):
-    df = spark.createDataFrame([("t", k, p, w, c, tspan) for k, (p, w, c) in enumerate(rows, 1)], "target string, k int, period double, power double, cnn double, tspan double")
+    df = spark.createDataFrame([("t", k, p, float(w), c, tspan) for k, (p, w, c) in enumerate(rows, 1)], "target string, k int, period double, power double, cnn double, tspan double")
     r = selection.select_candidates(df).first()
     return r["k"], r["mode"]
 
@@ -107,7 +109,8 @@ def chosen(spark, rows, tspan=27.4):
     ([(3.0, 10, 0.96), (5.0, 99, 0.97)], (2, "high_cnn_override")),
     ([(3.0, 10, 0.90), (5.17, 99, 0.895)], (2, "cnn_qualified_combined")),
     ([(0.07, 50, 0.96), (0.3511, 40, 0.95)], (2, "high_cnn_override+floor_guard")),
-    ([(2.0, 10, 0.90), (4.0, 9.9, 0.895)], (2, "cnn_qualified_combined+alias_promote_longer")),
+    ([(2.0, 10, 0.96), (4.0, 60, 0.951)], (2, "high_cnn_override+alias_promote_longer")),
+    ([(2.0, 10, 0.90), (4.0, 9.9, 0.895)], (1, "cnn_qualified_combined+alias_promote_longer+short_alias_guard")),
     ([(5.0, 10, 0.90), (2.5, 9, 0.88)], (2, "cnn_qualified_combined+short_alias_guard")),
     ([(12.0, 10, 0.90), (3.1, 9, 0.5)], (2, "cnn_qualified_combined+transit_ceil_guard")),
 ])
@@ -125,14 +128,15 @@ def curve(spark, kind):
     rows = []
     for i in range(4000):
         t = i / 4000 * 40
-        p = ((t + 1.0) % 2.0) / 2.0 - 0.5
+        period = 1.0 if kind == "rotation" else 2.0
+        p = ((t + period / 2) % period) / period - 0.5
         f = {
             "box": -2.0 if abs(p) <= 0.025 else 0.0,
             "v": -3.0 * max(0.0, 1 - abs(p) / 0.1),
             "two": -3.0 if abs(p) <= 0.025 else -1.5 if abs(abs(p) - 0.5) <= 0.02 else 0.0,
             "rotation": -math.cos(2 * math.pi * p),
         }[kind] + 0.01 * math.sin(i * 12.9898)
-        rows.append((kind, t, f, 2.0, 0.0, {"v": 0.4, "rotation": 0.7}.get(kind, 0.1)))
+        rows.append((kind, t, f, period, 0.0, {"v": 0.4, "rotation": 0.35}.get(kind, 0.1)))
     df = spark.createDataFrame(rows, "target string, t double, f double, period double, t0 double, duration double")
     return vetting.morphology(df).first()
 
@@ -150,4 +154,9 @@ def test_windows(spark):
     got = [r["z"] for r in w.select(windows.zscored(F.col("w")).alias("z")).collect()]
     assert got[0] == pytest.approx([-1.224744871, 0.0, 0.0, 1.224744871]) and got[1] == [0.0, 0.0] and got[2] == []
     boxed = w.select(windows.with_box(F.array(*map(F.lit, [0.0] * 101))).alias("b")).first()["b"]
-    assert boxed[50] == -8.0 and boxed[0] == 0.0 and sum(x < 0 for x in boxed) == 7
+    assert [i for i, x in enumerate(boxed) if x] == [48, 49, 50, 51, 52, 53] and boxed[50] == -8.0  # abs(i / 101 - 0.5) <= 0.03, deviation 1
+    waves = [math.sin(i) for i in range(301)]
+    mean = sum(waves) / 301
+    sd = (sum((x - mean) ** 2 for x in waves) / 301) ** 0.5
+    got = w.select(windows.with_box(F.array(*map(F.lit, waves))).alias("b")).first()["b"]
+    assert got == pytest.approx([x - 8 * sd if abs(i / 301 - 0.5) <= 0.03 else x for i, x in enumerate(waves)])
