@@ -1,7 +1,7 @@
 """Document fingerprints by spot signatures.
 
 A signature is an anchor (a common word) with the next CHAIN content words after it, in a text's whole sequence of words. A
-fingerprint is the sorted set of a text's signatures, five characters each. Likeness is the Jaccard similarity of two sets; pairs
+fingerprint is the sorted set of a text's signatures, ten characters each. Likeness is the Jaccard similarity of two sets; pairs
 are told apart by the lengths of their sets first, and counting stops once a wanted likeness is out of reach.
 """
 
@@ -28,7 +28,7 @@ ANCHORS = (
 ).split()
 CHAIN = 2
 #: Bits of a signature in a fingerprint, and the characters that write six of them each.
-BITS, DIGITS = 30, "-0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz"
+BITS, DIGITS = 60, "-0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz"
 _CHARS = BITS // 6
 
 

@@ -9,7 +9,7 @@ from cases import DOC, edge_docs, edge_rows, no_docs, prose
 from oracle import same
 from pyspark.sql import functions as F
 
-from dimstar.llm import components, exact_dedup, line_dedup, ngram_join, queries
+from dimstar.llm import components, exact_dedup, line_dedup, ngram_join, queries, skew
 
 
 def rows_of(df) -> Counter:
@@ -108,6 +108,58 @@ def test_ngram_join_of_groups_and_chains(spark, n, per_hundred, orders):
     assert rows_of(found) == linked_classes(rows, n, per_hundred)
 
 
+def test_words_of_one_polynomial_hash_are_told_apart(spark):
+    """The Thue-Morse word and its complement collide in every polynomial hash modulo a power of two."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = word.translate(str.maketrans("ab", "ba"))
+    short = [("abcdefgh" * 3, "abcdefgh" * 4), ("abcdefghi", "abcdefgh i"), ("x" * 64, "x" * 65)]
+    rows = list(enumerate(t for pair in [(f"{word} {word} {word}", f"{other} {other} {other}"), *short] for t in pair))
+    assert rows_of(ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string"), n=3, per_hundred=90)) == linked_classes(rows, 3, 90)
+
+
+@pytest.mark.parametrize("per_hundred", [50, 80, 90, 97])
+def test_longer_prefixes_share_enough(per_hundred):
+    """Of near sets, each longer prefix holds at least least_shared tokens of the other's, under any order."""
+    import random
+
+    rng, met = random.Random(per_hundred), 0
+    for _ in range(4000):
+        n = rng.randrange(1, 60)
+        a = set(rng.sample(range(70), n))
+        b = set(a)
+        for _ in range(rng.randrange(0, 2 + n * (100 - per_hundred) // 100)):
+            (b.discard if rng.random() < 0.5 else b.add)(rng.randrange(70))
+        if not b or 100 * len(a & b) < per_hundred * len(a | b):
+            continue
+        met += 1
+        first = [set(sorted(s)[: ngram_join.longer_prefix(len(s), per_hundred)]) for s in (a, b)]
+        assert len(first[0] & first[1]) >= max(ngram_join.least_shared(len(s), per_hundred) for s in (a, b))
+    assert met > 500
+
+
+def test_hot_keys_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(skew, "ROWS_PER_TASK", 4)
+    rows = [(i, None if i % 50 == 0 else 7 if i % 3 else i) for i in range(200)]
+    left = spark.createDataFrame(rows, "a long, key long")
+    right = spark.createDataFrame([(k, f"v{k}") for k in (7, 9, 12, 500)], "key long, v string")
+    for how in ("inner", "left"):
+        joined = [(a, k, f"v{k}" if k in (7, 9, 12) else None) for a, k in rows]
+        wanted = Counter(r for r in joined if how == "left" or r[2])
+        assert rows_of(skew.split_join(left, right, "key", how).select("a", "key", "v")) == wanted
+    groups = left.filter("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    found = skew.attach_groups(left, groups, "key", "n", 200, hot=10)
+    assert rows_of(found.select("a", "key")) == Counter(r for r in rows if r[1] is not None)
+
+
+def test_blocks_of_large_buckets(spark, monkeypatch):
+    """With blocks of three members, each pair still meets once."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 3)
+    monkeypatch.setattr(ngram_join, "ROUNDS", 0)
+    base = prose(60, 4).split()
+    rows = [(i, " ".join([*base[: i % 30], f"new{i}", *base[i % 30 + 1 :]])) for i in range(40)]
+    assert rows_of(ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string"), n=2, per_hundred=92)) == linked_classes(rows, 2, 92)
+
+
 def test_op3_over_the_table(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     assert rows_of(queries.op3_ngram_jaccard_join(spark, sf)) == linked_classes(rows, 3, 90)
