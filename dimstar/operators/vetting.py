@@ -197,3 +197,14 @@ def morphology_or_default(results: DataFrame, morph: DataFrame) -> DataFrame:
     """`results` with its target's flags; n_flags is -1 and flag_summary morph_unavailable where nothing could be measured."""
     found = results.join(morph.select("target", "n_flags", "flag_summary"), "target", "left")
     return found.withColumns({"n_flags": F.coalesce("n_flags", F.lit(-1)), "flag_summary": F.coalesce("flag_summary", F.lit("morph_unavailable"))})
+
+
+def min_abs_phase(folded: DataFrame) -> DataFrame:
+    """(target, min_abs_phase): how near the middle of the dip the nearest point of a folded series lies."""
+    return folded.groupBy("target").agg(F.min(F.abs("phase")).alias("min_abs_phase"))
+
+
+def clean_or_flagged(vetted: DataFrame) -> DataFrame:
+    """(verdict, n): rows whose flags are "none" (clean) and others (flagged); missing flags count as flagged."""
+    clean = F.coalesce(F.col("flags") == "none", F.lit(False))
+    return vetted.groupBy(F.when(clean, "clean").otherwise("flagged").alias("verdict")).agg(F.count(F.lit(1)).alias("n"))

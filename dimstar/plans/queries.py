@@ -208,15 +208,19 @@ def observation_filter(s, d):
         FROM orders) WHERE nth = 1""")
 def preferred_products(s, d):
     rows = v.table(s, d, "orders").selectExpr(
-        "o_custkey", "o_custkey AS target", "month(o_orderdate) AS sector", "o_orderkey",
-        "CASE WHEN o_orderstatus = 'F' THEN 'SPOC' ELSE o_orderstatus END AS author", "struct(CASE WHEN o_orderpriority = '1-URGENT' THEN 0 ELSE 1 END AS r, o_orderstatus, o_orderpriority, o_orderkey) AS full_order",
-        "CASE WHEN o_orderpriority = '1-URGENT' THEN 120 ELSE 0 END AS exptime",
+        "o_custkey AS target", "month(o_orderdate) AS sector", "o_orderkey", "o_orderpriority",
+        "CASE WHEN o_orderstatus = 'F' THEN 'SPOC' ELSE o_orderstatus END AS author",
+        "CASE WHEN o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' THEN 120 ELSE 0 END AS exptime",
     )
-    rank = F.when((F.col("author") == "SPOC") & (F.col("exptime") == 120), 0).when(F.col("author") == "SPOC", 1).otherwise(2)
-    best = rows.groupBy("target", "sector").agg(F.min_by("o_orderkey", F.struct(rank, F.col("full_order.o_orderstatus"), F.col("full_order.o_orderpriority"), F.col("o_orderkey"))).alias("o_orderkey"))
+    best = readers.preferred_products(rows, ties=("o_orderpriority", "o_orderkey"))
     return best.select(F.col("target").alias("o_custkey"), F.col("sector").cast("int").alias("sector"), "o_orderkey")
 
 
+@query("SELECT doc_id, quality FROM labels WHERE quality = 0")
+def background_rows(s, d):
+    return readers.background(v.table(s, d, "labels"), "quality").select("doc_id", "quality")
+
+
 # Series
 
 
@@ -314,6 +318,11 @@ def _folded(s, d) -> DataFrame:
     return vetting.folded(v.with_ephemeris(v.series(s, d)))
 
 
+@query(f"SELECT target, round(min(abs(phase)), 6) AS min_abs_phase FROM ({v.FOLDED}) GROUP BY target")
+def min_abs_phase(s, d):
+    return rounded(vetting.min_abs_phase(_folded(s, d)), "min_abs_phase")
+
+
 @query(f"SELECT target, round(t, 6) AS t, round(phase, 6) AS phase, transit FROM ({v.FOLDED})")
 def phase_fold(s, d):
     return rounded(_folded(s, d).select("target", "t", "phase", "transit"), "t", "phase")
@@ -373,6 +382,13 @@ def vetting_flags(s, d):
     return rounded(found.select("target", "odd_even_ratio", "duty_cycle", "flags"), "odd_even_ratio", "duty_cycle")
 
 
+def clean_or_flagged(s, d):
+    return vetting.clean_or_flagged(vetting_flags(s, d))
+
+
+query(f"SELECT CASE WHEN flags = 'none' THEN 'clean' ELSE 'flagged' END AS verdict, count(*) AS n FROM ({SQL['vetting_flags']}) GROUP BY 1")(clean_or_flagged)
+
+
 @query(f"""
     SELECT target, n, round(t0 + n * period, 6) AS time FROM (
         SELECT target, period, t0, unnest(range(ceil((min(t) - t0) / period)::BIGINT, floor((max(t) - t0) / period)::BIGINT + 1)) AS n FROM ({v.EPHEMERIS}) GROUP BY target, period, t0)""")
@@ -697,11 +713,30 @@ def augmentations(s, d):
     return rounded(windows.augmentations(v.user_series(s, d)), "period", "t0", "duration", "mult")
 
 
-@query()
+@query(f"""
+    WITH p AS (SELECT target, phase AS x, avg(f) AS f FROM ({v.FOLDED}) GROUP BY ALL),
+    turned AS (SELECT * FROM p UNION ALL SELECT target, max(x) - 1, arg_max(f, x) FROM p GROUP BY target UNION ALL SELECT target, min(x) + 1, arg_min(f, x) FROM p GROUP BY target),
+    n AS (SELECT *, lead(x) OVER w AS x1, lead(f) OVER w AS f1 FROM turned WINDOW w AS (PARTITION BY target ORDER BY x)),
+    g AS (SELECT target, j, -0.5::DOUBLE + j * (1.0::DOUBLE / {windows.LENGTH - 1}) AS tick FROM (SELECT DISTINCT target FROM p), range({windows.LENGTH}) r(j))
+    SELECT g.target, j::INTEGER AS j, round(n.f + coalesce((tick - n.x) / (n.x1 - n.x) * (n.f1 - n.f), 0), 6) AS level, true AS valid
+    FROM g ASOF JOIN n ON g.target = n.target AND g.tick >= n.x""")
 def fold_windows(s, d):
     rows = v.with_ephemeris(v.series(s, d)).withColumn("k", F.lit(1))
     found = windows.folded_windows(rows)
-    return found.select("target", F.posexplode("w").alias("j", "level"), windows.valid_window(F.col("w")).alias("valid"))
+    return rounded(found.select("target", F.posexplode("w").alias("j", "level"), windows.valid_window(F.col("w")).alias("valid")), "level")
+
+
+@query("""
+    WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i, len(embedding) AS n FROM embeddings),
+    y AS (SELECT *, abs(i::DOUBLE / n - 0.5::DOUBLE) <= 0.03::DOUBLE AS inside, stddev_pop(x) OVER (PARTITION BY vec_id) AS sd FROM x)
+    SELECT vec_id, count(*) FILTER (inside) AS boxed, round(sum(CASE WHEN inside THEN x - 8 * CASE WHEN sd > 0 THEN sd ELSE 1 END ELSE x END), 5) AS total
+    FROM y GROUP BY vec_id""")
+def injected_box(s, d):
+    w = F.col("embedding").cast("array<double>")
+    rows = v.table(s, d, "embeddings").select("vec_id", w.alias("w"), windows.with_box(w).alias("b"))
+    total = F.aggregate("b", F.lit(0.0), lambda a, x: a + x)
+    boxed = F.size(F.filter(F.arrays_zip("w", "b"), lambda p: p["w"] != p["b"])).cast("long")
+    return rows.select("vec_id", boxed.alias("boxed"), F.round(total, 5).alias("total"))
 
 
 @query()

@@ -128,10 +128,11 @@ def searched_ids(found: DataFrame, columns: list[str]) -> DataFrame:
     return found.select(simple_id(F.col(first).cast("string")).alias("tic_id")).filter("tic_id is not null").distinct()
 
 
-def preferred_products(products: DataFrame) -> DataFrame:
-    """One product per (target, sector): the pipeline's with the wanted exposure first, then the pipeline's, then any; then by author."""
+def preferred_products(products: DataFrame, ties: tuple[str, ...] = ()) -> DataFrame:
+    """One product per (target, sector): the pipeline's with the wanted exposure first, then the pipeline's, then any; then by author,
+    exposure and the columns `ties`, which should tell all products apart."""
     rank = F.when((F.col("author") == "SPOC") & (F.col("exptime") == 120), 0).when(F.col("author") == "SPOC", 1).otherwise(2)
-    w = Window.partitionBy("target", "sector").orderBy(rank, "author", "exptime")
+    w = Window.partitionBy("target", "sector").orderBy(rank, "author", "exptime", *ties)
     return products.withColumn("nth", F.row_number().over(w)).filter("nth = 1").drop("nth")
 
 
@@ -142,3 +143,8 @@ def patch_pool(patches: list[DataFrame], needed: int, per_patch: int, seed: int
         part = p.select("target").limit(per_patch)
         rows = part if rows is None else rows.unionByName(part)
     return rows.distinct().orderBy(F.xxhash64("target", F.lit(seed)), "target").limit(needed)
+
+
+def background(rows: DataFrame, label: str = "label") -> DataFrame:
+    """The rows without a signal (label 0); a missing label isn't one."""
+    return rows.filter(F.col(label) == 0)
