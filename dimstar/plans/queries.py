@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from dimstar.functions import rules
 from dimstar.functions.runtime import shared_folder
-from dimstar.operators import batch, evaluation, search, selection, series, vetting, windows
+from dimstar.operators import batch, evaluation, search, selection, series, target_sweep, vetting, windows
 from dimstar.plans import views as v
 from dimstar.sources import readers, schemas
 from dimstar.streaming import sweep
@@ -746,6 +746,12 @@ def cnn_score(s, d):
     return selection.polarity(scored).select(F.col("target").alias("vec_id"), "y", "score_dip", "score_bump", "score_used", "polarity_flipped")
 
 
+@query()
+def sweep_targets(s, d):
+    """The whole sweep over the dense series, with a network trained on dips put into them."""
+    return target_sweep.sweep_targets(v.series(s, d))
+
+
 # Streams
 
 
