@@ -176,3 +176,13 @@ def failure_streaks(attempts: DataFrame, group: str, order: str, failed: str) ->
     island = F.sum((~F.col(failed)).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
     inside = Window.partitionBy(group, "island").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return attempts.withColumn("island", island).withColumn("streak", F.sum(F.col(failed).cast("int")).over(inside)).drop("island")
+
+
+def candidate_lines(priority: DataFrame, top: int = 10) -> DataFrame:
+    """(line): the first `top` rows by score as records to paste into the list of candidates to vet; missing numbers are 0."""
+    first = priority.orderBy(F.col("score").desc_nulls_last(), "target", "sector").limit(top)
+    number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    tic = F.coalesce(F.regexp_replace(F.col("target"), "TIC ", ""), F.lit(""))
+    form = '{"tic": %s, "period": %.4f, "t0": %.4f, "dur": %.4f, "score": %.4f, "sector": %d},'
+    sector = F.coalesce(F.col("sector").cast("int"), F.lit(0))
+    return first.select(F.format_string(form, tic, number("bls_period"), number("bls_t0"), number("bls_duration"), number("score"), sector).alias("line"))

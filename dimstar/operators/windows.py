@@ -13,6 +13,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from dimstar.functions.rules import phase, seeded_uniform
 from dimstar.functions.runtime import ship_code
 from dimstar.operators.series import interpolate
+from dimstar.operators.window_net import WindowNet
 
 LENGTH = 301
 
@@ -115,56 +116,11 @@ def recovery_error(found: Column, injected: Column) -> Column:
     return F.try_divide(F.abs(found - injected), injected)
 
 
-class WindowNet:
-    """A 1-D convolutional network in numpy: blocks of convolution, ReLU and halving, global mean, dense layer, logistic output.
-
-    Kernel sizes 9, 7 and 5; the numbers of filters are parameters. Weights come from `trained` or are given.
-    """
-
-    KERNELS = (9, 7, 5)
-
-    def __init__(self, filters: tuple[int, int, int] = (8, 12, 16), dense: int = 16, seed: int = 7):
-        rng = np.random.default_rng(seed)
-        sizes = [1, *filters]
-        self.conv = [(rng.normal(0, np.sqrt(2 / (k * a)), (k * a, b)), np.zeros(b)) for k, a, b in zip(self.KERNELS, sizes, filters)]
-        self.hidden = (rng.normal(0, np.sqrt(2 / filters[-1]), (filters[-1], dense)), np.zeros(dense))
-        self.out = (rng.normal(0, np.sqrt(1 / dense), dense), 0.0)
-
-    def features(self, x: np.ndarray) -> np.ndarray:
-        """The dense layer's output for windows (n, length)."""
-        a = x[:, :, None]
-        for (weight, bias), k in zip(self.conv, self.KERNELS):
-            padded = np.pad(a, ((0, 0), (k // 2, k // 2), (0, 0)))
-            stacked = np.concatenate([padded[:, i : i + a.shape[1]] for i in range(k)], 2)
-            a = np.maximum(stacked @ weight + bias, 0)
-            if a.shape[1] >= 2:
-                even = a.shape[1] // 2 * 2
-                a = np.maximum(a[:, 0:even:2], a[:, 1:even:2])
-        return np.maximum(a.mean(1) @ self.hidden[0] + self.hidden[1], 0)
-
-    def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.features(x) @ self.out[0] + self.out[1], -30, 30)))
-
-    def trained(self, x: np.ndarray, y: np.ndarray, rounds: int = 200, ridge: float = 1e-2) -> WindowNet:
-        """The output layer fitted by iteratively reweighted least squares on fixed random filters, with balanced classes."""
-        f = np.concatenate([self.features(x), np.ones((len(x), 1))], 1)
-        w = np.zeros(f.shape[1])
-        weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
-        for _ in range(rounds):
-            p = 1 / (1 + np.exp(-np.clip(f @ w, -30, 30)))
-            step = np.linalg.solve((f * (weight * p * (1 - p))[:, None]).T @ f + ridge * np.eye(len(w)), f.T @ (weight * (p - y)) + ridge * w)
-            w -= step
-            if np.abs(step).max() < 1e-8:
-                break
-        self.out = (w[:-1], float(w[-1]))
-        return self
-
-
 def train_windows(df: DataFrame, column: str = "w", label: str = "y", key: str = "target", max_rows: int = 5_000, seed: int = 7) -> WindowNet:
-    """A network fitted on at most `max_rows` labelled windows (the smallest seeded hashes)."""
+    """A network fitted on at most `max_rows` labelled windows (the smallest seeded hashes), held-out rows of its report included."""
     rows = df.select(F.col(column).cast("array<double>").alias("w"), F.col(label).alias("y"), seeded_uniform(seed, key).alias("u"))
     found = rows.orderBy("u").limit(max_rows).collect()
-    return WindowNet(seed=seed).trained(np.array([r["w"] for r in found], float), np.array([r["y"] for r in found], float))
+    return WindowNet(seed=seed).trained(np.array([r["w"] for r in found], float), np.array([r["y"] for r in found], float), seed=seed)
 
 
 def score_windows(df: DataFrame, net: WindowNet, column: str = "w") -> DataFrame:

@@ -137,12 +137,23 @@ def preferred_products(products: DataFrame, ties: tuple[str, ...] = ()) -> DataF
 
 
 def patch_pool(patches: list[DataFrame], needed: int, per_patch: int, seed: int = 42) -> DataFrame:
-    """At most `needed` distinct targets from several searches, at most `per_patch` of each, in a seeded order."""
+    """At most `needed` distinct targets from several searches, in a seeded order.
+
+    At most `per_patch` of each search count, those with the smallest seeded hashes, and no search after the one that completes the
+    pool. A target belongs to the first search that has it; null targets are left out.
+    """
+    if not patches:
+        raise ValueError("no patches")
+    place = F.xxhash64("target", F.lit(seed))
     rows = None
-    for p in patches:
-        part = p.select("target").limit(per_patch)
+    for i, p in enumerate(patches):
+        part = p.select("target").filter("target is not null").distinct().orderBy(place, "target").limit(per_patch).withColumn("patch", F.lit(i))
         rows = part if rows is None else rows.unionByName(part)
-    return rows.distinct().orderBy(F.xxhash64("target", F.lit(seed)), "target").limit(needed)
+    own = rows.groupBy("target").agg(F.min("patch").alias("patch"))
+    counts = own.groupBy("patch").agg(F.count(F.lit(1)).alias("n"))  # a row for each search
+    before = F.coalesce(F.sum("n").over(Window.orderBy("patch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    asked = counts.withColumn("before", before).filter(F.col("before") < needed).select("patch")
+    return own.join(F.broadcast(asked), "patch").select("target").orderBy(place, "target").limit(needed)
 
 
 def background(rows: DataFrame, label: str = "label") -> DataFrame:

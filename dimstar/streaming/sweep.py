@@ -47,6 +47,12 @@ def sweep(stream: DataFrame, process: Callable[[DataFrame], DataFrame], results:
     return bool(done)
 
 
+def progress(df: DataFrame) -> DataFrame:
+    """`df` (done, total, elapsed seconds) with rate (targets a second) and eta_s (seconds left at that rate)."""
+    rate = F.col("done") / F.greatest(F.col("elapsed"), F.lit(1.0))
+    return df.withColumns({"rate": rate, "eta_s": (F.col("total") - F.col("done")) / F.greatest(rate, F.lit(1e-9))})
+
+
 def windowed_levels(stream: DataFrame, late: str = "10 minutes", width: str = "1 hour", slide: str | None = None) -> DataFrame:
     """Count and mean flux per target and event-time window; rows later than `late` are left out."""
     window = F.window("ts", width, slide) if slide else F.window("ts", width)
