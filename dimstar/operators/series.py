@@ -7,10 +7,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from dimstar.functions.rules import ensure_odd, tidy
+from dimstar.functions.runtime import ship_code
+
 
 def _all():
     return Window.partitionBy("target")
@@ -59,10 +63,50 @@ def sigma_clip(df: DataFrame, width: float = 7.0) -> DataFrame:
     return stats.filter(F.abs(F.col("f") - F.col("med")) < width * F.col("sd")).drop("med", "sd")
 
 
-def moving_median(df: DataFrame, window: int = 101, out: str = "trend") -> DataFrame:
-    """The median of the `window` (made odd) points around each, cut off at the ends of the series."""
-    half = ensure_odd(window) // 2
-    return df.withColumn(out, F.percentile("f", 0.5).over(_by_time().rowsBetween(-half, half)))
+def _sliding_medians(values: np.ndarray, there: np.ndarray, half: int) -> list[float | None]:
+    """The median of the values that are there among those up to `half` places away, for each place; NaN counts as the largest value."""
+    width, n = 2 * half + 1, len(values)
+    out: list[float | None] = [None] * n
+    clean = there & ~np.isnan(values)
+    inner = np.zeros(n, bool)
+    if n >= width:
+        inner[half : n - half] = np.lib.stride_tricks.sliding_window_view(clean, width).all(1)
+        frames = np.lib.stride_tricks.sliding_window_view(values, width)
+        places = np.flatnonzero(inner)
+        step = max(1, 2_000_000 // width)
+        for i in range(0, len(places), step):
+            for place, level in zip(places[i : i + step].tolist(), np.median(frames[places[i : i + step] - half], 1).tolist()):
+                out[place] = level
+    for place in np.flatnonzero(~inner).tolist():
+        near = slice(max(0, place - half), place + half + 1)
+        found = np.sort(values[near][there[near]])
+        if len(found):
+            out[place] = float((found[(len(found) - 1) // 2] + found[len(found) // 2]) / 2)
+    return out
+
+
+def moving_median(df: DataFrame, window: int = 101, out: str = "trend", block: int = 8192) -> DataFrame:
+    """The median of the `window` (made odd) points around each, cut off at the ends of the series.
+
+    A long series is many groups: blocks of `block` points, with the points of half a window on either side added.
+    """
+    ship_code(df.sparkSession)
+    half, kept = ensure_odd(window) // 2, df.drop(out)
+    names = kept.columns
+    rows = kept.withColumn("_place", F.row_number().over(_by_time()) - 1)
+    near = F.sequence(F.greatest(F.lit(0), F.floor((F.col("_place") - half) / block)), F.floor((F.col("_place") + half) / block))
+    dealt = rows.withColumn("_block", F.explode(near))
+
+    def medians(group: pa.Table) -> pa.Table:
+        group = group.sort_by("_place")
+        f = group.column("f").cast(pa.float64())
+        levels = _sliding_medians(f.to_numpy(), np.array(f.is_valid()), half)
+        own = group.column("_place").to_numpy() // block == group.column("_block")[0].as_py()
+        found = group.select(names).append_column(out, pa.array(levels, pa.float64()))
+        return found.filter(pa.array(own))
+
+    schema = StructType([*kept.schema.fields, StructField(out, DoubleType())])
+    return dealt.groupBy("target", "_block").applyInArrow(medians, schema)
 
 
 def detrend(df: DataFrame, window: int = 101, clip: float = 8.0) -> DataFrame:

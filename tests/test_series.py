@@ -22,6 +22,23 @@ def of(df, target, *columns):
     return [np.array([r[c] for r in rows], float) for c in columns]
 
 
+def test_moving_median_over_blocks(spark):
+    rng = np.random.default_rng(6)
+    f = [None if u < 0.1 else float("nan") if u < 0.13 else float(x) for u, x in zip(rng.random(70), rng.normal(0, 1, 70))]
+    f[20:32] = [None] * 12
+    rows = [("a", float(i), x, f"n{i}") for i, x in enumerate(f)] + [("b", 1.0, 5.0, "one"), (None, 1.0, 2.0, "no target")]
+    df = spark.createDataFrame(rows, "target string, t double, f double, note string").withColumn("trend", F.lit("old"))
+    found = series.moving_median(df, 7, block=16)
+    got = {(r["target"], r["t"]): r for r in found.collect()}
+    assert found.columns == ["target", "t", "f", "note", "trend"] and len(got) == 72 and got[("b", 1.0)]["trend"] == 5.0 and got[(None, 1.0)]["trend"] == 2.0
+    for i in range(70):
+        near = sorted((x for x in f[max(0, i - 3) : i + 4] if x is not None), key=lambda x: (x != x, x))
+        want = (near[(len(near) - 1) // 2] + near[len(near) // 2]) / 2 if near else None
+        row = got[("a", float(i))]
+        assert row["note"] == f"n{i}" and (row["trend"] is None if want is None else row["trend"] == pytest.approx(want, nan_ok=True))
+    assert series.moving_median(df.limit(0)).count() == 0
+
+
 def test_moving_median(spark, points):
     got = of(series.moving_median(frame(spark, points), 20), "a", "trend")[0]
     f = points["a"][1]
