@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add, or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,29 +46,31 @@ def tier_rule(df: DataFrame) -> DataFrame:
     secondary, duty, v, duration = zero("morph_secondary_dip"), zero("morph_duty_cycle"), zero("morph_v_score"), zero("bls_duration")
     flags, n_flags = F.coalesce(F.col("morph_flags"), F.lit("")), F.coalesce(F.col("morph_n_flags"), F.lit(0))
     bump = F.coalesce(F.col("polarity_flipped"), F.lit(True))
-    reasons = F.array(
-        F.when(secondary < -0.30, F.format_string("secondary_dip=%.3f", secondary)),
-        F.when(duty >= 0.25, F.concat(F.lit("high_duty="), percent(duty))),
-        F.when(v > 1.2, F.format_string("v_score=%.2f", v)),
-        F.when(flags.contains("SECONDARY_DIP") & ~(secondary < -0.30), "secondary_flag"),
-        F.when(duration >= 0.499, "duration_at_ceiling"),
-    )
     elevated = (duty >= 0.15) & (duty < 0.25)
-    warnings = F.array(
-        F.when(elevated, F.concat(F.lit("elevated_duty="), percent(duty))),
-        F.when((n_flags == 1) & ~flags.contains("HIGH_DUTY"), "one_flag"),
-    )
-    kept = lambda a: F.filter(a, lambda x: x.isNotNull())
-    bad, warn = F.size(kept(reasons)), F.size(kept(warnings))
+    # conditions and texts apart: a query that reads only the tier formats nothing
+    reasons = [
+        (secondary < -0.30, F.format_string("secondary_dip=%.3f", secondary)),
+        (duty >= 0.25, F.concat(F.lit("high_duty="), percent(duty))),
+        (v > 1.2, F.format_string("v_score=%.2f", v)),
+        (flags.contains("SECONDARY_DIP") & ~(secondary < -0.30), F.lit("secondary_flag")),
+        (duration >= 0.499, F.lit("duration_at_ceiling")),
+    ]
+    warnings = [
+        (elevated, F.concat(F.lit("elevated_duty="), percent(duty))),
+        ((n_flags == 1) & ~flags.contains("HIGH_DUTY"), F.lit("one_flag")),
+    ]
+    bad = reduce(or_, (met for met, _ in reasons))
+    warn = reduce(add, (met.cast("int") for met, _ in warnings))
     tier = (
         F.when(bump, "bump")
-        .when(bad > 0, "C")
+        .when(bad, "C")
         .when(warn >= 2, "D")
         .when((warn == 1) & elevated & (duty < 0.20), "A*")
         .when(warn == 1, "B")
         .otherwise("A")
     )
-    why = F.when(bump, "bump").when(bad > 0, F.array_join(kept(reasons), FLAG_SEPARATOR)).when(warn > 0, F.array_join(kept(warnings), FLAG_SEPARATOR)).otherwise("clean")
+    joined = lambda pairs: F.concat_ws(FLAG_SEPARATOR, *(F.when(met, text) for met, text in pairs))
+    why = F.when(bump, "bump").when(bad, joined(reasons)).when(warn > 0, joined(warnings)).otherwise("clean")
     return df.withColumns({"tier": tier, "tier_reasons": why})
 
 
