@@ -184,8 +184,11 @@ def failure_streaks(attempts: DataFrame, group: str, order: str, failed: str) ->
 
 
 def candidate_lines(priority: DataFrame, top: int = 10) -> DataFrame:
-    """(line): the first `top` rows by score as records to paste into the list of candidates to vet; missing numbers are 0."""
-    first = priority.orderBy(F.col("score").desc_nulls_last(), "target", "sector").limit(top)
+    """(line): the first `top` rows by score as records to paste into the list of candidates to vet; missing numbers are 0.
+
+    Equal scores go by target, sector and the numbers of the line.
+    """
+    first = priority.orderBy(F.col("score").desc_nulls_last(), "target", "sector", "bls_period", "bls_t0", "bls_duration").limit(top)
     number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
     tic = F.coalesce(F.regexp_replace(F.col("target"), "TIC ", ""), F.lit(""))
     form = '{"tic": %s, "period": %.4f, "t0": %.4f, "dur": %.4f, "score": %.4f, "sector": %d},'

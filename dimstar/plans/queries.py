@@ -95,6 +95,15 @@ def priority_topn(s, d):
     return batch.existing(top, ["l_orderkey", "l_linenumber", "l_partkey", "target", "score", "tier", "not_there"])
 
 
+@query(f"""
+    SELECT printf('{{"tic": %s, "period": %.4f, "t0": %.4f, "dur": %.4f, "score": %.4f, "sector": %d}},', replace(target, 'TIC ', ''), bls_period, 0.0::DOUBLE, bls_duration, score, sector) AS line
+    FROM ({v.TIERED}) WHERE tier IN ('A', 'A*', 'B') ORDER BY score DESC, target, sector, bls_period, bls_duration LIMIT 10""")
+def candidate_lines(s, d):
+    """The ten best of the rows to vet as records to paste: a report."""
+    rows = batch.tier_rule(v.scored(s, d)).filter(F.col("tier").isin(*batch.PRIORITY_TIERS))
+    return batch.candidate_lines(rows.withColumn("bls_t0", F.lit(0.0)))
+
+
 @query(f"""
     SELECT *, round(100.0::DOUBLE * n_candidates / greatest(n_rows, 1), 4) AS pct_candidates,
            round(100.0::DOUBLE * n_dips / greatest(n_candidates, 1), 4) AS pct_dips,
