@@ -481,20 +481,29 @@ def morphology(s, d):
 
 # Search and selection
 
-_PERIODS, _DURATIONS = [0.7, 0.9, 1.3, 1.7, 2.3, 3.1, 4.3], [0.25, 0.5]
-
-
-@query(f"""
-    WITH centred AS (SELECT target, t - min(t) OVER w AS dt, min(t) OVER w AS start, f - median(f) OVER w AS y FROM ({v.SERIES}) WINDOW w AS (PARTITION BY target)),
-    sums AS (SELECT target, start, period, floor((dt - period * floor(dt / period)) / 0.05::DOUBLE)::INTEGER AS bin, sum(y) AS y, count(*) AS n, ceil(period / 0.05::DOUBLE)::INTEGER AS bins
-             FROM centred, (SELECT unnest({_PERIODS}::DOUBLE[]) AS period) GROUP BY ALL),
-    cover AS (SELECT target, start, period, duration, k, ((bin - back) % bins + bins) % bins AS box, all_y, all_n, sum(y) AS y, sum(n) AS n
-              FROM (SELECT *, sum(y) OVER w AS all_y, sum(n) OVER w AS all_n FROM sums WINDOW w AS (PARTITION BY target, period)),
-                   (SELECT * FROM (VALUES (0.25::DOUBLE, 5), (0.5::DOUBLE, 10)) x(duration, k)), (SELECT unnest(range(10))::INTEGER AS back)
-              WHERE back < k AND k < bins GROUP BY ALL),
-    boxes AS (SELECT *, (all_y - y) / (all_n - n) - y / n AS depth FROM cover WHERE n < all_n),
-    best AS (SELECT *, row_number() OVER (PARTITION BY target, period ORDER BY round(0.5::DOUBLE * n * depth * depth, 9) DESC, duration, box) AS nth FROM boxes WHERE depth > 0)
-    SELECT target, period, round(start + (box + k / 2.0::DOUBLE) * 0.05::DOUBLE, 6) AS t0, duration, round(depth, 6) AS depth, round(0.5::DOUBLE * n * depth * depth, 4) AS power
+_PERIODS, _DURATIONS = search.log_grid(0.6, 6.0, 200), search.legal_durations(0.1, 0.5, 25, 0.6)
+_WIDTH = min(_DURATIONS) / 5
+_SIZES = [max(1, round(x / _WIDTH)) for x in _DURATIONS]
+_doubles = lambda xs: f"{[repr(x) for x in xs]}::DOUBLE[]"  # noqa: E731  read from text, as decimal literals would be rounded
+
+
+@query(f"""
+    WITH centred AS (SELECT target, t - min(t) OVER w AS dt, min(t) OVER w AS start, count(*) OVER w AS n, round_even((f - median(f) OVER w) * 1048576, 0)::BIGINT AS y
+                     FROM ({v.SERIES}) WINDOW w AS (PARTITION BY target)),
+    grid AS (SELECT period, ceil(period / '{_WIDTH!r}'::DOUBLE)::INTEGER AS bins FROM (SELECT unnest({_doubles(_PERIODS)}) AS period)),
+    sums AS (SELECT target, period, (floor((dt - period * floor(dt / period)) / '{_WIDTH!r}'::DOUBLE)::INTEGER % bins)::INTEGER AS bin, sum(y)::BIGINT AS y, count(*) AS m
+             FROM centred, grid GROUP BY ALL),
+    spine AS (SELECT target, start, n, all_y, period, bins, unnest(range(bins + {max(_SIZES)} - 1))::INTEGER AS slot
+              FROM (SELECT target, start, n, sum(y)::BIGINT AS all_y FROM centred GROUP BY ALL), grid),
+    slots AS (SELECT s.*, coalesce(y, 0) AS y, coalesce(m, 0) AS m, sum(coalesce(y, 0)) OVER w AS to_y, sum(coalesce(m, 0)) OVER w AS to_m
+              FROM spine s LEFT JOIN sums x ON x.target = s.target AND x.period = s.period AND x.bin = s.slot % s.bins
+              WINDOW w AS (PARTITION BY s.target, s.period ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+    boxes AS (SELECT a.target, a.period, a.start, a.n, a.all_y, a.slot, duration, k, (b.to_y - a.to_y + a.y)::BIGINT AS y, (b.to_m - a.to_m + a.m)::BIGINT AS m
+              FROM slots a JOIN (SELECT unnest({_doubles(_DURATIONS)}) AS duration, unnest({_SIZES}) AS k) ON k < a.bins AND a.slot < a.bins
+              JOIN slots b ON b.target = a.target AND b.period = a.period AND b.slot = a.slot + k - 1),
+    rated AS (SELECT *, ((all_y - y)::DOUBLE / (n - m) - y::DOUBLE / m) / 1048576.0::DOUBLE AS depth FROM boxes WHERE m > 0 AND m < n),
+    best AS (SELECT *, row_number() OVER (PARTITION BY target, period ORDER BY 0.5::DOUBLE * m * depth * depth DESC, duration, slot) AS nth FROM rated WHERE depth > 0)
+    SELECT target, period, round(start + (slot + k / 2.0::DOUBLE) * '{_WIDTH!r}'::DOUBLE, 6) AS t0, duration, round(depth, 6) AS depth, round(0.5::DOUBLE * m * depth * depth, 4) AS power
     FROM best WHERE nth = 1""")
 def box_search(s, d):
     return rounded(rounded(search.box_search(v.series(s, d), _PERIODS, _DURATIONS), "t0", "depth"), "power", digits=4)

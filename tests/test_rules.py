@@ -2,12 +2,13 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from dimstar.functions import rules
 from dimstar.operators import batch, selection, vetting, windows
-from dimstar.operators.search import kept_apart, legal_durations, log_grid, merged_passes, split_periods, two_pass_plan
+from dimstar.operators.search import legal_durations, log_grid, merged_passes, split_periods, two_pass_plan
 
 
 def one(spark, expression, schema="x double", row=(None,)):
@@ -88,9 +89,18 @@ def test_grids():
     assert len(short["periods"]) + len(normal["periods"]) == 3000 and len(short["durations"]) == 12 and len(normal["durations"]) == 25
 
 
-def test_merge_keeps_apart(spark):
-    import numpy as np
+def kept_apart(found: np.ndarray, top: int, apart: float = 0.002) -> np.ndarray:
+    """Rows by falling power, without those whose period is within `apart` (relative) of a kept one's, up to `top`."""
+    kept: list[np.ndarray] = []
+    for row in found[np.lexsort((found[:, 0], -found[:, 4]))]:
+        if all(abs(row[0] - k[0]) / max(k[0], 1e-12) > apart for k in kept):
+            kept.append(row)
+            if len(kept) == top:
+                break
+    return np.array(kept).reshape(-1, 5)
+
 
+def test_merge_keeps_apart(spark):
     rng = np.random.default_rng(3)
     rows = [("a", float(p), 0.0, 0.1, 1.0, float(w)) for p, w in zip(np.repeat(rng.uniform(1, 2, 40), 2) * rng.uniform(0.999, 1.001, 80), rng.integers(1, 20, 80))]
     df = spark.createDataFrame(rows, "target string, period double, t0 double, duration double, depth double, power double")

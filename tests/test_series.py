@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from dimstar.operators import evaluation, search, series, windows
+from dimstar.operators import evaluation, order_stats, search, series, windows
 
 
 @pytest.fixture(scope="module")
@@ -88,6 +88,64 @@ def test_box_search_forms_agree(spark, points):
     assert np.array([[r[c] for c in ("period", "t0", "duration", "depth", "power")] for r in got]) == pytest.approx(want, rel=1e-6)
 
 
+def boxes(df):
+    return {(r["target"], r["k"]): tuple(r[c] for c in ("period", "t0", "duration", "depth", "power")) for r in df.collect()}
+
+
+def test_long_series_are_searched_in_blocks(spark):
+    rng = np.random.default_rng(4)
+    t = np.sort(rng.uniform(3, 23, 20_000))
+    f = rng.normal(0, 1, 20_000) - 2.0 * ((t - 0.4) % 2.5 < 0.15)
+    long = {"long": (t, f), "short": (t[::40], f[::40])}
+    passes = [{"periods": search.log_grid(0.5, 6.0, 40), "durations": [0.08, 0.15, 0.3]}, {"periods": [7.0, 9.0, 50.0], "durations": [0.5]}]
+    # 20 blocks, with a median found over ranges, against one task a series
+    got = boxes(search.box_search_series(frame(spark, long), passes, top=10, block=900, chunks=3))
+    whole = boxes(search.box_search_series(frame(spark, long), passes, top=10, chunks=1))
+    assert got == whole and len(got) == 20
+    rows = np.concatenate([search.best_boxes(t, f, [p for p in x["periods"] if p <= np.ptp(t) / 2], x["durations"]) for x in passes])
+    assert got["long", 1] == tuple(rows[rows[:, 4].argmax()])
+    definition = search.box_search(frame(spark, long), passes[0]["periods"], passes[0]["durations"])
+    assert {(r.target, r.period): tuple(r)[2:] for r in definition.collect()}[("long", got["long", 1][0])] == got["long", 1][1:]
+
+
+def test_a_failing_search_is_one_row(spark, points, monkeypatch):
+    passes = [{"periods": search.log_grid(0.6, 9.0, 15), "durations": [0.1, 0.2]}]
+    fine = boxes(search.box_search_series(frame(spark, points), passes, top=5))
+
+    def broken(dt, y, period, width):
+        if len(y) == 251:
+            raise RuntimeError("no such\nperiod " + "x" * 500)
+        return sums(dt, y, period, width)
+
+    sums = search.bin_sums
+    monkeypatch.setattr(search, "bin_sums", broken)
+    for block in (50_000, 260):  # 300 points are two blocks of the second
+        found = search.box_search_series(frame(spark, points), passes, top=5, block=block, isolate=True)
+        assert found.columns == ["target", "k", *search.BOX, "error"]
+        bad = found.filter("error is not null").collect()
+        assert [(r.target, r.k) for r in bad] == [("b", None)] and bad[0].error.startswith("RuntimeError: no such period x") and len(bad[0].error) == 120
+        assert boxes(found.filter("error is null")) == {k: x for k, x in fine.items() if k[0] != "b"}
+    with pytest.raises(Exception, match="no such"):
+        search.box_search_series(frame(spark, points), passes, top=5).collect()
+
+
+@pytest.mark.parametrize("by", [None, "g"])
+def test_percentiles_over_ranges(spark, by):
+    rng = np.random.default_rng(8)
+    rows = [("a", float(round(x, 1))) for x in rng.normal(0, 2, 3000)] + [("b", 1.0), ("c", 2.0), ("c", None), (None, 3.0), (None, 4.0), ("d", None)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(5)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = {r["g"] if by else None: (r["n"], r["p0"], r["p1"], r["p2"]) for r in order_stats.exact_percentiles(df, "x", [0.05, 0.5, 1.0], by).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    for g in {r[0] for r in rows if r[1] is not None} if by else [None]:
+        values = [x for k, x in rows if x is not None and (not by or k == g)]
+        assert found[g] == pytest.approx((len(values), *np.quantile(values, [0.05, 0.5, 1.0])))
+    assert order_stats.exact_percentiles(df.limit(0), "x", [0.5], by).count() == 0
+
+
 def test_injected_period_is_found(spark):
     rng = np.random.default_rng(11)
     t = np.arange(2001) * 27.4 / 2001
