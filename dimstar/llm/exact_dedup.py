@@ -74,10 +74,21 @@ def exact_groups(
 
 
 def drop_exact_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", salts: int = 16) -> DataFrame:
-    """`docs` without the rows that `exact_groups` doesn't keep; columns as they were.
+    """One row of `docs` for each text, with the id that `exact_groups` keeps; columns as they were.
 
-    Ids are taken as unique: a row with a null id, or a repeated row, stays.
+    Of repeated rows (same id and text) one stays, whichever; a row with a null id stays only if no row of its text has an id, and then
+    one of them. Rows of one id with different texts are told apart. Null counts as the empty text; an empty table gives no rows.
     """
     groups = exact_groups(docs, id_col=id_col, text_col=text_col, keep=keep, salts=salts)
-    dropped = materialize(groups.filter("not kept").select(id_col).distinct(), "exact-dropped")
-    return keep_ids(docs, dropped, id_col, "left_anti")
+    mark = lambda sha: F.unhex(F.sha2(F.concat(F.coalesce(F.concat(F.lit("0"), F.col(id_col).cast("string")), F.lit("1")), F.lit(":"), sha), 256))
+    own = "_row_of_exact_dedup"
+    # rows that go, and those that are there several times
+    rows = groups.select(mark(F.col("text_sha256")).alias(own), "kept").groupBy(own).agg(F.bool_and("kept").alias("kept"), F.count(F.lit(1)).alias("rows"))
+    found = materialize(rows.filter("not kept or rows > 1"), "exact-dropped")
+    marked = docs.withColumn(own, mark(_sha256(F.coalesce(F.col(text_col), F.lit("")))))
+    left = keep_ids(marked, found.filter("not kept").select(own), own, "left_anti")
+    again = found.filter("kept").select(own)
+    if again.limit(1).count():
+        once = keep_ids(left, again, own, "left_semi").dropDuplicates([own])
+        left = keep_ids(left, again, own, "left_anti").unionByName(once)
+    return left.drop(own)

@@ -23,7 +23,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -135,14 +135,22 @@ def _longs(array: pa.Array, i: int) -> np.ndarray:
 
 
 class NgramJoin:
-    """The join over one table; `per_hundred` is the similarity in hundredths, `orders` the number of orders, frequency among them."""
+    """The join over one table; `per_hundred` is the similarity in hundredths, `orders` the number of orders, frequency among them.
 
-    def __init__(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, per_hundred: int = 80, orders: int = 2):
+    Sets are word n-grams, or what `make` makes of a list of texts (sorted distinct 64-bit numbers of each). With `ranges`, buckets are
+    divided by the lengths of the sets: a set is in its own range of lengths and in the next, and sets two ranges apart never meet.
+    """
+
+    def __init__(
+        self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, per_hundred: int = 80, orders: int = 2,
+        make: Callable[[list[str | None]], Iterator[np.ndarray]] | None = None, ranges: bool = False,
+    ):
         self.spark = docs.sparkSession
         ship_code(self.spark)
         self.docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
         self.kind = self.docs.schema["id"].dataType.simpleString()
-        self.n, self.per_hundred, self.hashed = n, per_hundred, orders - 1
+        self.make = make or functools.partial(shingle_sets, n=n)
+        self.per_hundred, self.hashed, self.ranges = per_hundred, orders - 1, ranges
         self.sets = materialize(self._measured(), "ngram-prefixes")
 
     def _measured(self) -> DataFrame:
@@ -151,12 +159,12 @@ class NgramJoin:
         digest is BLAKE2b over the whole sorted set, so that equal digests mean equal sets. Keys of a hash order are the tokens'
         hashes: a bijection, so they stand for the tokens.
         """
-        n, per_hundred, hashed = self.n, self.per_hundred, self.hashed
+        make, per_hundred, hashed = self.make, self.per_hundred, self.hashed
 
         def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in small_batches(batches):
                 sizes, digests, least, prefixes = [], [], [], []
-                for s in shingle_sets(batch.column(1).to_pylist(), n):
+                for s in make(batch.column(1).to_pylist()):
                     size = len(s)
                     sizes.append(size)
                     digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
@@ -199,11 +207,11 @@ class NgramJoin:
 
     def _whole(self, texts: DataFrame) -> DataFrame:
         """(id, n, tokens, w0, ...): whole sets and their parities."""
-        n = self.n
+        make = self.make
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in small_batches(batches, 200):
-                sets = list(shingle_sets(batch.column(1).to_pylist(), n))
+                sets = list(make(batch.column(1).to_pylist()))
                 bits = np.array([parities(s) for s in sets]).reshape(-1, _WORDS)
                 words = [pa.array(bits[:, k], pa.int64()) for k in range(_WORDS)]
                 tokens = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
@@ -227,7 +235,12 @@ class NgramJoin:
         rare = F.col("n") - F.col("all")
         place = rare + F.col("nth")
         length = F.col("n") - F.expr(f"({self.per_hundred} * n + 99) div 100") + 1
-        return placed.select(F.col("of.token").alias("token"), F.col("id").alias("node"), "n", rare.alias("rare"), place.alias("place")).filter(F.col("place") < length)
+        found = placed.select(F.col("of.token").alias("token"), F.col("id").alias("node"), "n", rare.alias("rare"), place.alias("place")).filter(F.col("place") < length)
+        if not self.ranges:
+            return found
+        # lengths of one range differ by less than two linked sets may; the last place of a quotient is rounded off
+        own = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / self.per_hundred) + 1e-9) if self.per_hundred < 100 else F.col("n")
+        return found.withColumn("range", F.explode(F.array(own, own + 1))).withColumn("token", F.xxhash64("token", "range")).drop("range")
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) of ids whose sets are near enough."""
@@ -363,7 +376,25 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def keep_one_per_component(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, per_hundred: int = 80) -> DataFrame:
-    """`docs` with only the smallest id of each component; rows with a null id stay; columns as they were."""
-    found = ngram_components(docs, id_col=id_col, text_col=text_col, n=n, per_hundred=per_hundred)
-    gone = materialize(found.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), "ngram-dropped")
-    return keep_ids(docs, gone, id_col, "left_anti")
+    """`docs` with only the row of the smallest id of each component; columns as they were.
+
+    Null, empty and blank texts have no set, so all their rows stay. A row with a null id stays only if no row of its component has
+    an id, and of repeated rows one stays: a table that has such rows is written to the shared folder with numbers of its own as ids.
+    An empty table gives no rows.
+    """
+    sizes = docs.agg(F.count(F.lit(1)), F.count(id_col)).first()
+    regular = sizes[0] == sizes[1] and not docs.groupBy(id_col).count().filter("count > 1").limit(1).count()
+    if regular:
+        found = ngram_components(docs, id_col=id_col, text_col=text_col, n=n, per_hundred=per_hundred)
+        gone = materialize(found.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), "ngram-dropped")
+        return keep_ids(docs, gone, id_col, "left_anti")
+    own = "_row_of_ngram_join"
+    numbered = materialize(docs.withColumn(own, F.monotonically_increasing_id()), "ngram-numbered")
+    found = ngram_components(numbered.select(own, text_col), id_col=own, text_col=text_col, n=n, per_hundred=per_hundred)
+    found = materialize(found.filter("n_shingles > 0").select(own, "component_id"), "ngram-numbers")
+    rows = split_join(numbered.select(own, F.col(id_col).alias("id")), found, own)
+    # null ids last, as a struct orders nulls first
+    first = rows.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", own)).alias("first"))
+    kept = materialize(first.select(F.col(f"first.{own}").alias(own)), "ngram-firsts")
+    gone = materialize(found.select(own).join(kept, own, "left_anti"), "ngram-dropped")
+    return keep_ids(numbered, gone, own, "left_anti").drop(own)

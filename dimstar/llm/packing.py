@@ -54,7 +54,11 @@ def _library_encoder(path: str):
 
 
 def token_pieces(docs: DataFrame, vocabulary_path: str, *, size: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, piece, start, length, ids_crc32 of each piece: ids of the text, then end_id, cut to `size` with the short piece first."""
+    """id, piece, start, length, ids_crc32 of each piece: ids of the text, then end_id, cut to `size` with the short piece first.
+
+    Null counts as empty: one piece of one id. Rows with a null id and repeated rows are cut like any other; other columns aren't read;
+    an empty table gives no rows.
+    """
     spark = docs.sparkSession
     ship_code(spark)
 

@@ -170,7 +170,8 @@ def held_out(id_col: str = "doc_id"):
 def train_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 20_000) -> AdditiveModel:
     """Fit on at most `max_rows` labelled rows that aren't held out (those with the smallest id hashes), on the driver.
 
-    Labels other than 0 and 1, and rows without an id, are left out; of repeated labels of an id the largest counts.
+    Labels other than 0 and 1, and rows without an id, are left out; of repeated labels of an id the largest counts, of repeated texts
+    the least. Without labelled rows every text scores one half.
     """
     ship_code(docs.sparkSession)
     fit = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter(~held_out("id") & F.col("y").isin(0, 1))
@@ -181,9 +182,10 @@ def train_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
             rows = [list(text_features(t)) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(rows, pa.list_(pa.float64()))], ["y", "x"])
 
-    # max_rows rows of 12 bytes: the bound of this broadcast
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("text", "y")
-    found = rows.limit(max_rows).mapInArrow(measure, "y int, x array<double>").collect()
+    # max_rows rows of an id and a label: the bound of this broadcast; of several texts of an id the least counts
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "id")
+    rows = rows.groupBy("id", "y").agg(F.min("text").alias("text")).select("text", "y")
+    found = rows.mapInArrow(measure, "y int, x array<double>").collect()
     x = np.array([r["x"] for r in found], float).reshape(len(found), len(FEATURES))
     y = np.array([r["y"] for r in found], float)
     order = np.lexsort((*x.T, y))
@@ -213,5 +215,9 @@ def quality_score(docs: DataFrame, model: AdditiveModel, text_col: str = "text")
 
 
 def keep_good(docs: DataFrame, model: AdditiveModel, *, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """Rows of `docs` whose text scores at least `least`; columns as they were."""
+    """Rows of `docs` whose text scores at least `least`; columns as they were.
+
+    Null and empty texts have the score of an empty text, repeated rows go or stay together, ids aren't read; an empty table gives no
+    rows.
+    """
     return docs.filter(quality_score(docs, model, text_col) >= least)

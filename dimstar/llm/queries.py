@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import importlib.util
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,9 +14,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def public_vocabulary(name: str = "byte_bpe_50k.json") -> str:
     """Path of a vocabulary of the installed collection of public tokenizers (the same on the driver and the executors)."""
-    found = importlib.util.find_spec("public_tokenizers")
-    if found is None:
-        return f"/opt/tokenizers/{name}"
     import public_tokenizers
 
     return public_tokenizers.path(name)

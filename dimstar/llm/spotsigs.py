@@ -3,6 +3,9 @@
 A signature is an anchor (a common word) with the next CHAIN content words after it, in a text's whole sequence of words. A
 fingerprint is the sorted set of a text's signatures, ten characters each. Likeness is the Jaccard similarity of two sets; pairs
 are told apart by the lengths of their sets first, and counting stops once a wanted likeness is out of reach.
+
+`near_classes` searches for near texts: sets are divided by ranges of their lengths and meet only sets of lengths near enough, by their
+rarest signatures first, at places that leave room for a large enough intersection. `fingerprint_documents` compares given pairs.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dimstar.functions.runtime import ship_code
+from dimstar.llm.ngram_join import NgramJoin
 from dimstar.llm.skew import small_batches
 from dimstar.llm.wordhash import groups, mix, word_hashes
 
@@ -189,3 +193,18 @@ def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col:
 
     columns = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return _in_order(docs, id_col, text_col).mapInArrow(walk, columns).withColumnRenamed("id", id_col)
+
+
+def _sets(texts: list[str | None]) -> Iterator[np.ndarray]:
+    return (s.view(np.uint64) for s in signature_sets(texts))
+
+
+def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", per_hundred: int = 80) -> DataFrame:
+    """One row per row of `docs`: id_col, n_signatures, component_id (the smallest id reachable by links, itself included).
+
+    Two texts are linked if 100 * intersection >= per_hundred * union of their signatures. Null and empty texts have no signature and no
+    links, a row with a null id has component_id null; repeated rows share a component. Other columns aren't read; an empty table gives
+    no rows. Groups of thousands of near texts don't become all pairs: see `ngram_join`.
+    """
+    join = NgramJoin(docs, id_col=id_col, text_col=text_col, per_hundred=per_hundred, orders=1, make=_sets, ranges=True)
+    return join.components().select(F.col("id").alias(id_col), F.col("n").alias("n_signatures"), F.col("component").alias("component_id"))

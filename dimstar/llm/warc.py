@@ -226,7 +226,8 @@ def write_archives(
 def save_files(archives: DataFrame, folder: str) -> DataFrame:
     """Write each archive as a file of `folder`, a path that driver and executors share; returns (path, bytes).
 
-    A file is written beside its place and renamed, so a repeated task leaves the same file.
+    A file is written beside its place and renamed, so a repeated task leaves the same file. Archives have names of their own, which
+    aren't null; no archives give no files and no rows.
     """
     os.makedirs(folder, exist_ok=True)
 

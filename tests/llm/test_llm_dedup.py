@@ -5,11 +5,11 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
-from cases import DOC, edge_docs, edge_rows, no_docs, prose
+from cases import DOC, edge_docs, edge_rows, no_docs, prose, with_clashes
 from oracle import same
 from pyspark.sql import functions as F
 
-from dimstar.llm import components, exact_dedup, line_dedup, ngram_join, queries, skew
+from dimstar.llm import components, exact_dedup, line_dedup, ngram_join, queries, skew, spotsigs
 
 
 def rows_of(df) -> Counter:
@@ -52,19 +52,71 @@ def test_exact_dedup_keeps_columns_and_takes_empty_tables(spark):
     docs = edge_docs(spark)
     left = exact_dedup.drop_exact_copies(docs)
     assert left.columns == docs.columns
-    wanted = {k[0] for k in equal_texts(edge_rows(), max) if k[3] or k[0] is None}
-    assert {r.doc_id for r in left.collect()} == wanted
+    wanted = {k[0] for k in equal_texts(edge_rows(), max) if k[3]}
+    assert sorted(r.doc_id for r in left.collect()) == sorted(wanted)
     assert exact_dedup.exact_groups(no_docs(spark)).count() == 0
     assert exact_dedup.drop_exact_copies(no_docs(spark)).count() == 0
 
 
+def test_one_row_of_each_text_stays(spark):
+    """Null ids, repeated rows, one id with several texts, and a hot repeated row."""
+    rows = [(None, "a"), (None, "a"), (1, "a"), (2, "a"), (2, "a"), (None, "b"), (None, "b"), (None, None), (3, ""), (2, "c"), (9, "c")] + [(7, "hot")] * 500
+    docs = spark.createDataFrame([(*r, "s", None) for r in rows], DOC).repartition(5)
+    left = exact_dedup.drop_exact_copies(docs)
+    assert sorted((r.text or "", r.doc_id) for r in left.collect()) == [("", 3), ("a", 2), ("b", None), ("c", 9), ("hot", 7)]
+    again = ngram_join.keep_one_per_component(docs.filter("text is not null"))
+    assert sorted(((r.text, r.doc_id) for r in again.collect()), key=repr) == [("", 3), ("a", 1), ("b", None), ("c", 2), ("hot", 7)] and again.columns == docs.columns
+
+
+def test_near_copies_without_ids(spark):
+    base = prose(120, 3).split()
+    near = [" ".join([*base[: len(base) - k], *["z"] * k]) for k in range(3)]
+    rows = [(None, near[0]), (4, near[1]), (3, near[2]), (3, near[2]), (None, prose(50, 8)), (None, prose(50, 8)), (5, "")]
+    left = ngram_join.keep_one_per_component(spark.createDataFrame([(*r, None, None) for r in rows], DOC)).collect()
+    assert sorted(((r.doc_id, r.text) for r in left), key=repr) == sorted([(3, near[2]), (None, prose(50, 8)), (5, "")], key=repr)
+
+
+def plain_near_classes(rows, per_hundred):
+    sets = [(r[0], frozenset(s.tolist())) for r, s in zip(rows, spotsigs.signature_sets([r[1] for r in rows]))]
+    return classes_of(sets, per_hundred)
+
+
+@pytest.mark.parametrize("per_hundred", [80])
+def test_near_classes_against_all_pairs(spark, per_hundred):
+    """Groups of near copies of many lengths, so that linked sets are in one range of lengths and in neighbours."""
+    rows, words = [], prose(900, 5).split()
+    for k in range(60):
+        part = words[k * 3 : k * 3 + 40 * (k % 20 + 1)]
+        rows += [(10 * k + j, " ".join([*part[: len(part) - j * len(part) // 12], *(f"tail{k} the {j} more" for _ in range(j))]), None, None) for j in range(4)]
+    rows += [(r[0] + 5000 if r[0] else None, *r[1:]) for r in edge_rows()]
+    docs = with_clashes(spark.createDataFrame(rows, DOC))
+    found = spotsigs.near_classes(docs, per_hundred=per_hundred)
+    assert rows_of(found) == plain_near_classes(rows, per_hundred)
+    assert spotsigs.near_classes(no_docs(spark)).count() == 0
+    if per_hundred == 80:
+        assert any(a != c for a, _, c in plain_near_classes(rows, 80))
+
+
+def test_lengths_and_rare_signatures_leave_few_pairs(spark):
+    """Sets of all lengths share one signature: pairs that are compared stay far below all."""
+    rows = [(k, f"the shared words {prose(20 + 6 * k, 100 + k, 3000)}", None, None) for k in range(200)]
+    join = ngram_join.NgramJoin(spark.createDataFrame(rows, DOC), orders=1, make=spotsigs._sets, ranges=True)
+    compared = []
+    verified = join._verified
+    join._verified = lambda pairs: (compared.append(pairs.count()), verified(pairs))[1]
+    assert join.components().count() == 200 and sum(compared) < 200
+
+
 def shingles(text, n) -> frozenset:
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return frozenset(tuple(words[i : i + n]) for i in range(len(words) - n + 1)) if len(words) >= n else frozenset([tuple(words)] if words else [])
 
 
 def linked_classes(rows, n, per_hundred) -> Counter:
-    sets = [(r[0], shingles(r[1], n)) for r in rows]
+    return classes_of([(r[0], shingles(r[1], n)) for r in rows], per_hundred)
+
+
+def classes_of(sets, per_hundred) -> Counter:
     root = {i: i for i, _ in sets if i is not None}
 
     def find(i):
@@ -199,3 +251,18 @@ def test_lines_of_many_sites(spark):
     for least in (2, 3, 10, 31):
         assert rows_of(line_dedup.drop_common_lines(spark.createDataFrame(rows, DOC), least_sites=least)) == common_lines_gone(rows, least)
     assert line_dedup.drop_common_lines(no_docs(spark)).count() == 0
+
+
+def test_long_texts_of_common_lines(spark):
+    """Six texts of 20,000 common lines each, some of them repeated, with lines of their own between."""
+    shared = [f"shared line {k % 15_000}" for k in range(20_000)]
+    rows = [(i, "\n".join(f"own {i} {k}" if k % 1000 == i else line for k, line in enumerate(shared)), f"s{i}", None) for i in range(6)]
+    assert rows_of(line_dedup.drop_common_lines(spark.createDataFrame(rows, DOC), least_sites=3)) == common_lines_gone(rows, 3)
+
+
+def test_lines_of_thousands_of_sites(spark):
+    """On both sides of the least number of sites, within the band that is counted exactly and far from it."""
+    sites = {"far below": 1500, "below": 1999, "at": 2000, "above": 2001, "far above": 3000, "one": 1}
+    rows = [(i, "\n".join(x for x, n in sites.items() if i < n), f"site{i}", None) for i in range(3000)]
+    found = rows_of(line_dedup.drop_common_lines(spark.createDataFrame(rows, DOC).repartition(6), least_sites=2000))
+    assert found == common_lines_gone(rows, 2000)
