@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from dimstar.functions.isolation import apply_isolated
 from dimstar.functions.rules import ensure_odd, tidy
-from dimstar.functions.runtime import ship_code
+from dimstar.functions.runtime import materialize, ship_code
 
 
 def _all():
@@ -85,16 +86,38 @@ def _sliding_medians(values: np.ndarray, there: np.ndarray, half: int) -> list[f
     return out
 
 
-def moving_median(df: DataFrame, window: int = 101, out: str = "trend", block: int = 8192) -> DataFrame:
+def _placed(df: DataFrame, ranged: bool) -> DataFrame:
+    """`df` with _place, the 0-based position of each point by (t, f) in its series, and _n, the points of the series.
+
+    With `ranged`, points are dealt to ranges of (target, t, f), and the sizes of the ranges before give the offset of each: no task
+    sorts a whole series. Else one window does.
+    """
+    if not ranged:
+        return df.withColumns({"_place": F.row_number().over(_all().orderBy("t", "f")) - 1, "_n": F.count(F.lit(1)).over(_all())})
+    dealt = materialize(df.repartitionByRange("target", "t", "f").withColumn("_part", F.spark_partition_id()), "series-ranges")
+    sizes = dealt.groupBy("target", "_part").agg(F.count(F.lit(1)).alias("_inside"))  # a row for each range of a series
+    before = _all().orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(
+        F.col("target").alias("_own"), F.col("_part").alias("_range"), F.coalesce(F.sum("_inside").over(before), F.lit(0)).alias("_before"), F.sum("_inside").over(_all()).alias("_n")
+    )
+    rows = dealt.join(sizes, F.col("target").eqNullSafe(F.col("_own")) & (F.col("_part") == F.col("_range")))
+    place = F.col("_before") + F.row_number().over(Window.partitionBy("target", "_part").orderBy("t", "f")) - 1
+    return rows.withColumn("_place", place).drop("_part", "_own", "_range", "_before")
+
+
+def moving_median(df: DataFrame, window: int = 101, out: str = "trend", block: int = 8192, ranged: bool = False, isolate: bool = False) -> DataFrame:
     """The median of the `window` (made odd) points around each, cut off at the ends of the series.
 
-    A long series is many groups: blocks of `block` points, with the points of half a window on either side added.
+    A long series is many groups: blocks of `block` points, with the points of half a window on either side added; with `ranged`, its
+    points are numbered over ranges, too. With `isolate`, the result has the column error: a block that fails is one row with the
+    target and the error's text.
     """
     ship_code(df.sparkSession)
     half, kept = ensure_odd(window) // 2, df.drop(out)
     names = kept.columns
-    rows = kept.withColumn("_place", F.row_number().over(_by_time()) - 1)
-    near = F.sequence(F.greatest(F.lit(0), F.floor((F.col("_place") - half) / block)), F.floor((F.col("_place") + half) / block))
+    rows = _placed(kept, ranged)
+    last = F.floor((F.col("_n") - 1) / block)
+    near = F.sequence(F.greatest(F.lit(0), F.floor((F.col("_place") - half) / block)), F.least(last, F.floor((F.col("_place") + half) / block)))
     dealt = rows.withColumn("_block", F.explode(near))
 
     def medians(group: pa.Table) -> pa.Table:
@@ -106,34 +129,62 @@ def moving_median(df: DataFrame, window: int = 101, out: str = "trend", block: i
         return found.filter(pa.array(own))
 
     schema = StructType([*kept.schema.fields, StructField(out, DoubleType())])
-    return dealt.groupBy("target", "_block").applyInArrow(medians, schema)
+    return apply_isolated(dealt.groupBy("target", "_block"), ["target"], medians, schema, isolate)
 
 
-def detrend(df: DataFrame, window: int = 101, clip: float = 8.0) -> DataFrame:
-    """f minus its moving median, divided by the population deviation (1 if that is 0), limited to +-clip."""
-    flat = moving_median(df, window).withColumn("f", F.col("f") - F.col("trend"))
-    scaled = flat.withColumn("sd", F.stddev_pop("f").over(_all()))
-    f = F.col("f") / F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0)
-    return scaled.withColumn("f", F.greatest(F.lit(-clip), F.least(F.lit(clip), f))).drop("trend", "sd")
+def filled_gaps(df: DataFrame, share: float = 0.9) -> DataFrame:
+    """f without missing values where a series has too few: below a `share` of finite values, the others become their median (0 if there are none)."""
+    f = tidy(F.col("f"))
+    known = F.count(f).over(_all()) / F.count(F.lit(1)).over(_all())
+    level = F.coalesce(F.median(f).over(_all()), F.lit(0.0))
+    return df.withColumns({"_known": known, "_level": level}).withColumn("f", F.when((F.col("_known") < share) & f.isNull(), F.col("_level")).otherwise(F.col("f"))).drop("_known", "_level")
 
 
-def detrend_reflected(df: DataFrame, share: float = 0.05) -> DataFrame:
-    """f minus a moving median as wide as a share of the series (at least 11, odd), mirrored at its ends, over the deviation.
+def detrend(df: DataFrame, window: int = 101, clip: float = 8.0, ranged: bool = False, isolate: bool = False, fill: float | None = None) -> DataFrame:
+    """f minus its moving median, divided by the population deviation (1 if that is 0), limited to +-clip.
 
-    The width differs between series, so whole series go to a grouped pandas function; a series is one light curve.
+    With `fill`, series with a smaller share of finite values have the others filled first (see `filled_gaps`). `ranged` and `isolate`
+    as in `moving_median`; the deviation is that of the finite values.
     """
+    rows = df if fill is None else filled_gaps(df, fill)
+    flat = moving_median(rows, window, ranged=ranged, isolate=isolate).withColumn("f", F.col("f") - F.col("trend"))
+    scaled = flat.withColumn("sd", F.stddev_pop(tidy(F.col("f"))).over(_all()))
+    f = F.col("f") / F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0)
+    return scaled.withColumn("f", F.when(f.isNotNull(), F.greatest(F.lit(-clip), F.least(F.lit(clip), f)))).drop("trend", "sd")
 
-    def flat(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "f"])
-        f = pdf["f"].to_numpy(float)
-        width = max(11, int(share * len(f)) | 1)
-        half = width // 2
-        reach = np.pad(f, half, mode="symmetric")
-        rest = f - np.median(np.lib.stride_tricks.sliding_window_view(reach, width), axis=1)
-        sd = rest.std()
-        return pdf.assign(f=rest / sd if sd > 0 else rest)
 
-    return df.select("target", "t", "f").groupBy("target").applyInPandas(flat, df.select("target", "t", "f").schema)
+def detrend_reflected(df: DataFrame, share: float = 0.05, block: int = 8192, ranged: bool = False, isolate: bool = False) -> DataFrame:
+    """f minus a moving median as wide as a share of the series (at least 11, odd), mirrored at its ends, over the deviation.
+
+    Points go to blocks of `block` places, or of one width if that is more, together with half a width on either side; at the ends of
+    the series the places beyond are mirror images of those inside. So no task holds a long series, whatever its width.
+    """
+    ship_code(df.sparkSession)
+    rows = _placed(df.select("target", "t", "f"), ranged)
+    rows = rows.withColumn("_half", F.expr(f"greatest(11, cast({share}D * _n as bigint) | 1) div 2"))
+    rows = rows.withColumn("_size", F.greatest(F.lit(block), 2 * F.col("_half") + 1))
+    # the images of a place in a series mirrored again and again; series of fewer than half a width have several
+    images = F.concat(*(F.array(F.col("_place") + 2 * k * F.col("_n"), -F.col("_place") - 1 + 2 * k * F.col("_n")) for k in range(-3, 4)))
+    reach = F.filter(images, lambda q: (q >= -F.col("_half")) & (q < F.col("_n") + F.col("_half")))
+    seen = rows.withColumn("_at", F.explode(reach))
+    last = F.floor((F.col("_n") - 1) / F.col("_size"))
+    first_block = F.greatest(F.lit(0), F.floor((F.col("_at") - F.col("_half")) / F.col("_size")))
+    last_block = F.least(last, F.floor((F.col("_at") + F.col("_half")) / F.col("_size")))
+    dealt = seen.filter(first_block <= last_block).withColumn("_block", F.explode(F.sequence(first_block, last_block)))
+
+    def flat(group: pa.Table) -> pa.Table:
+        group = group.sort_by("_at")
+        at, f = group.column("_at").to_numpy(), group.column("f").to_numpy().astype(float)
+        n, half, size, own = (group.column(c)[0].as_py() for c in ("_n", "_half", "_size", "_block"))
+        levels = pd.Series(f).rolling(2 * half + 1).median().to_numpy()
+        low, high = own * size, min(n, (own + 1) * size)
+        mine = np.searchsorted(at, low) + np.arange(high - low)
+        return group.select(["target", "t"]).take(mine).append_column("f", pa.array(f[mine] - levels[mine + half]))
+
+    schema = StructType([df.schema["target"], StructField("t", DoubleType()), StructField("f", DoubleType())])
+    found = apply_isolated(dealt.withColumn("t", F.col("t").cast("double")).groupBy("target", "_block"), ["target"], flat, schema, isolate)
+    scaled = found.withColumn("_sd", F.stddev_pop("f").over(_all()))
+    return scaled.withColumn("f", F.col("f") / F.when(F.col("_sd") > 0, F.col("_sd")).otherwise(1.0)).drop("_sd")
 
 
 def numbered(df: DataFrame) -> DataFrame:
@@ -176,8 +227,12 @@ def interpolate(df: DataFrame, length: int, extra: list[str] | None = None) -> D
     return spread.select("target", *(extra or []), "j", at.alias("t"), f.alias("f"))
 
 
-def series_status(df: DataFrame, least: int = 200) -> DataFrame:
-    """(target, status, n_points, tspan_days, median_dt_days): why a series can't be used, or ok. The first reason counts."""
+def series_status(df: DataFrame, least: int = 200, length: int = 2001) -> DataFrame:
+    """(target, status, n_points, tspan_days, median_dt_days): why a series can't be used, or ok. The first reason counts.
+
+    bad_resample_time: the steps of `length` equal ones over its span vanish in single precision. bad_resample: it can't have that
+    many, as `length` is below two.
+    """
     rows = df.withColumns({"t": tidy(F.col("t")), "f": tidy(F.col("f"))})
     gaps = rows.withColumn("gap", F.when(F.col("f").isNotNull(), F.col("t") - F.lag("t").over(_by_time())))
     stats = gaps.groupBy("target").agg(
@@ -193,6 +248,8 @@ def series_status(df: DataFrame, least: int = 200) -> DataFrame:
         .when(F.col("n_points") < least, "too_short")
         .when(F.coalesce(F.col("tspan_days"), F.lit(0.0)) <= 0, "bad_time")
         .when(F.coalesce(F.col("sd"), F.lit(0.0)) <= 0, "bad_std")
+        .when(F.lit(length < 2), "bad_resample")
+        .when((F.col("tspan_days") / max(1, length - 1)).cast("float") <= 0, "bad_resample_time")
         .otherwise("ok")
     )
     return stats.select("target", status.alias("status"), "n_points", "tspan_days", "median_dt_days")

@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from dimstar.functions.isolation import error_text, with_error
 from dimstar.functions.rules import phase, seeded_uniform
 from dimstar.functions.runtime import ship_code
-from dimstar.operators.series import interpolate
 from dimstar.operators.window_net import WindowNet
 
 LENGTH = 301
@@ -123,26 +123,43 @@ def train_windows(df: DataFrame, column: str = "w", label: str = "y", key: str =
     return WindowNet(seed=seed).trained(np.array([r["w"] for r in found], float), np.array([r["y"] for r in found], float), seed=seed)
 
 
-def score_windows(df: DataFrame, net: WindowNet, column: str = "w") -> DataFrame:
-    """`df` with score_dip and score_bump, the network's scores of each window and of its negative. Missing windows have none."""
+def score_windows(df: DataFrame, net: WindowNet, column: str = "w", isolate: bool = False) -> DataFrame:
+    """`df` with score_dip and score_bump, the network's scores of each window and of its negative. Missing windows have none.
+
+    With `isolate`, the column error is added: a row whose scoring raises has the error's text and no scores.
+    """
     ship_code(df.sparkSession)
 
-    names = [*df.columns, "score_dip", "score_bump"]
+    names = [*df.columns, "score_dip", "score_bump", *(["error"] if isolate else [])]
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            windows = batch.column(column)
-            there = np.array(windows.is_valid())
+    def both(windows: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        there = np.array(windows.is_valid())
+        dip, bump = np.full(len(windows), np.nan), np.full(len(windows), np.nan)
+        if there.any():
             rows = np.array(windows.drop_null().to_pylist(), float)
-            dip, bump = np.full(len(windows), np.nan), np.full(len(windows), np.nan)
-            if len(rows):
-                dip[there], bump[there] = net.score(rows), net.score(-rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(dip, from_pandas=True), pa.array(bump, from_pandas=True)], names)
+            dip[there], bump[there] = net.score(rows), net.score(-rows)
+        return dip, bump
+
+    def one_by_one(windows: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str | None]]:
+        dip, bump, errors = np.full(len(windows), np.nan), np.full(len(windows), np.nan), [None] * len(windows)
+        for i in range(len(windows)):
+            try:
+                dip[i : i + 1], bump[i : i + 1] = both(windows.slice(i, 1))
+            except Exception as error:  # this row's own result
+                errors[i] = error_text(error)
+        return dip, bump, errors
 
-    schema = StructType([*df.schema.fields, StructField("score_dip", DoubleType()), StructField("score_bump", DoubleType())])
-    return df.mapInArrow(score, schema)
-
-
-def resampled(df: DataFrame, length: int = 2001) -> DataFrame:
-    """Long series at `length` equal steps; see series.interpolate."""
-    return interpolate(df, length)
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            windows, errors = batch.column(column), [None] * batch.num_rows
+            try:
+                dip, bump = both(windows)
+            except Exception:
+                if not isolate:
+                    raise
+                dip, bump, errors = one_by_one(windows)
+            more = [pa.array(dip, from_pandas=True), pa.array(bump, from_pandas=True), *([pa.array(errors, pa.string())] if isolate else [])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names)
+
+    fields = [*df.schema.fields, StructField("score_dip", DoubleType()), StructField("score_bump", DoubleType())]
+    return df.mapInArrow(score, with_error(StructType(fields)) if isolate else StructType(fields))
