@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dimstar.functions.rules import harmonic_match, score_label, seeded_uniform
+from dimstar.operators.order_stats import exact_percentiles
 
 _TINY = 1e-12
 
@@ -100,7 +101,7 @@ def class_weights(df: DataFrame) -> DataFrame:
 
 
 def classification_report(df: DataFrame, threshold: float) -> DataFrame:
-    """(y, precision, recall, f1, support) of both classes."""
+    """(y, precision, recall, f1, support) of both classes; see `report_averages` for the lines below them."""
     predicted = (F.col("score") >= threshold).cast("int")
     n = df.withColumn("h", predicted).agg(*(F.count_if((F.col("h") == h) & (F.col("y") == y)).alias(f"h{h}y{y}") for h in (0, 1) for y in (0, 1)))
     rows = F.array(*(F.struct(F.lit(y).alias("y"), F.col(f"h{y}y{y}").alias("tp"), F.col(f"h{y}y{1 - y}").alias("fp"), F.col(f"h{1 - y}y{y}").alias("fn")) for y in (0, 1)))
@@ -108,6 +109,23 @@ def classification_report(df: DataFrame, threshold: float) -> DataFrame:
     return n.select(F.inline(rows)).select("y", p.alias("precision"), r.alias("recall"), f.alias("f1"), (F.col("tp") + F.col("fn")).alias("support"))
 
 
+def report_averages(df: DataFrame, threshold: float) -> DataFrame:
+    """(name, precision, recall, f1, support): accuracy (in all three), the mean of both classes, and the mean weighted by their sizes."""
+    classes = classification_report(df, threshold)
+    whole = classes.agg(
+        F.sum("support").alias("support"), F.sum(F.col("recall") * F.col("support")).alias("right"),
+        *(F.avg(c).alias(f"macro_{c}") for c in ("precision", "recall", "f1")), *(F.sum(F.col(c) * F.col("support")).alias(f"sum_{c}") for c in ("precision", "recall", "f1")),
+    )
+    n = F.greatest("support", F.lit(1))
+    line = lambda name, *values: F.struct(F.lit(name).alias("name"), *(x.alias(c) for x, c in zip(values, ("precision", "recall", "f1"))), F.col("support").alias("support"))
+    accuracy = F.col("right") / n
+    rows = F.array(
+        line("accuracy", accuracy, accuracy, accuracy), line("macro avg", *(F.col(f"macro_{c}") for c in ("precision", "recall", "f1"))),
+        line("weighted avg", *(F.col(f"sum_{c}") / n for c in ("precision", "recall", "f1"))),
+    )
+    return whole.select(F.inline(rows))
+
+
 def label_counts(df: DataFrame) -> DataFrame:
     return df.groupBy(score_label(F.col("score")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -173,13 +191,20 @@ def known_answers(candidates: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def known_answer_summary(answers: DataFrame, threshold: float = 0.86) -> DataFrame:
-    """One row: detection rate, shares of matches among detections, percentiles of scores, promotions."""
+    """One row: detection rate, shares of matches among detections, percentiles of scores, promotions.
+
+    Rows without a score, or with a `status` other than ok, where there is one, don't count. Percentiles are exact, and no task holds all
+    scores.
+    """
     detected = F.col("score") >= threshold
     share = lambda c: F.avg(F.when(detected, F.col(c).cast("int")))
-    p = F.percentile("score", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    found = answers.filter("score is not null").agg(
+    scored = answers.filter("score is not null")
+    if "status" in answers.columns:
+        scored = scored.filter("status = 'ok'")
+    found = scored.agg(
         F.count(F.lit(1)).alias("n"), F.count_if(detected).alias("n_detected"), F.avg(detected.cast("int")).alias("detection_rate"),
         share("match_best").alias("best_rate"), share("match_any").alias("any_rate"), share("match_oracle").alias("oracle_rate"),
-        p.alias("p"), F.count_if(F.col("promoted")).alias("n_promoted"),
+        F.count_if(F.col("promoted")).alias("n_promoted"),
     )
-    return found.select("*", F.get("p", F.lit(0)).alias("p05"), F.get("p", F.lit(1)).alias("p50"), F.get("p", F.lit(2)).alias("p95")).drop("p")
+    levels = exact_percentiles(scored, "score", [0.05, 0.5, 0.95]).select(F.col("p0").alias("p05"), F.col("p1").alias("p50"), F.col("p2").alias("p95"))
+    return found.join(levels, F.lit(True), "left")  # one row each

@@ -13,7 +13,7 @@ from dimstar.functions import rules
 from dimstar.functions.runtime import shared_folder
 from dimstar.operators import batch, evaluation, search, selection, series, target_sweep, vetting, windows
 from dimstar.plans import views as v
-from dimstar.sources import readers, schemas
+from dimstar.sources import datasets, readers, schemas
 from dimstar.streaming import sweep
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,11 +137,11 @@ def frequent_targets(s, d):
     return batch.frequent_values(batch.repeated_targets(v.scored(s, d)), "target", 20)
 
 
-@query("SELECT c_custkey, 'TIC ' || c_custkey AS target FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT o_orderkey, 'TIC ' || o_orderkey AS target FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
 def resume_anti_join(s, d):
-    done = v.table(s, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    rest = batch.not_done(v.table(s, d, "customer").select("c_custkey"), done, ["c_custkey"])
-    return rest.select("c_custkey", rules.target_name(F.col("c_custkey")).alias("target"))
+    done = v.table(s, d, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    rest = batch.not_done(v.table(s, d, "orders").select("o_orderkey"), done, ["o_orderkey"])
+    return rest.select("o_orderkey", rules.target_name(F.col("o_orderkey")).alias("target"))
 
 
 @query("""
@@ -204,10 +204,10 @@ def tic_extract(s, d):
 
 @query("""
     SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders
-    WHERE month(o_orderdate) = 5 AND o_orderpriority IN ('1-URGENT', '2-HIGH') AND round_even(o_totalprice / 1000, 0)::BIGINT IN (20, 120)""")
+    WHERE month(o_orderdate) = 5 AND o_orderpriority IN ('1-URGENT', '2-HIGH') AND round_even(o_totalprice / 20000, 0)::BIGINT IN (5, 10)""")
 def observation_filter(s, d):
-    rows = v.table(s, d, "orders").selectExpr("o_orderkey", "o_orderpriority", "o_totalprice", "month(o_orderdate) AS sequence_number", "o_orderpriority AS provenance_name", "o_totalprice / 1000 AS t_exptime")
-    return readers.wanted_observations(rows, sector=5, authors=("1-URGENT", "2-HIGH")).select("o_orderkey", "o_orderpriority", "o_totalprice")
+    rows = v.table(s, d, "orders").selectExpr("o_orderkey", "o_orderpriority", "o_totalprice", "month(o_orderdate) AS sequence_number", "o_orderpriority AS provenance_name", "o_totalprice / 20000 AS t_exptime")
+    return readers.wanted_observations(rows, sector=5, exposures=(5, 10), authors=("1-URGENT", "2-HIGH")).select("o_orderkey", "o_orderpriority", "o_totalprice")
 
 
 @query("""
@@ -269,9 +269,16 @@ def detrend(s, d):
     return rounded(series.detrend(v.series(s, d)), "t", "f")
 
 
-@query()
+@query(f"""
+    WITH s AS (SELECT *, greatest(11, floor(0.05::DOUBLE * n)::BIGINT | 1) // 2 AS half
+               FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY t, f) - 1 AS p, count(*) OVER (PARTITION BY target) AS n FROM ({v.SERIES}))),
+    images AS (SELECT *, unnest([p + 2 * k * n, -p - 1 + 2 * k * n]) AS q FROM s, (SELECT unnest(range(-3, 4)) AS k)),
+    levels AS (SELECT *, quantile_cont(f, 0.5) OVER (PARTITION BY target ORDER BY q ROWS BETWEEN half PRECEDING AND half FOLLOWING) AS level
+               FROM images WHERE q BETWEEN -half AND n - 1 + half)
+    SELECT target, round(t, 6) AS t, round(y / CASE WHEN sd > 0 THEN sd ELSE 1 END, 6) AS f
+    FROM (SELECT *, stddev_pop(y) OVER (PARTITION BY target) AS sd FROM (SELECT target, t, f - level AS y FROM levels WHERE q = p))""")
 def detrend_reflected(s, d):
-    return series.detrend_reflected(v.series(s, d))
+    return rounded(series.detrend_reflected(v.series(s, d)), "t", "f")
 
 
 @query(f"""
@@ -474,7 +481,17 @@ def morph_composite(s, d):
     return vetting.shape_flags(_shape(s, d)).select("target", "n_flags", "is_strong_fp")
 
 
-@query()
+@query(f"""
+    SELECT target, period, t0, duration, round(v_score, 4) AS v_score, round(asymmetry, 4) AS asymmetry, round(secondary_depth, 4) AS secondary_depth,
+           round(grazing_ratio, 4) AS grazing_ratio, round(duty_cycle, 4) AS duty_cycle, two AS two_dip_flag, high AS high_duty_flag, graze AS grazing_flag, vf AS v_flag,
+           asym AS asymm_flag, false AS depth_cv_flag, (two::INTEGER + high::INTEGER + graze::INTEGER + vf::INTEGER + asym::INTEGER)::INTEGER AS n_flags, two OR high OR graze AS is_strong_fp,
+           coalesce(nullif(array_to_string(list_filter([
+               CASE WHEN two THEN printf('SECONDARY_DIP=%.3f', secondary_depth) END, CASE WHEN high THEN 'HIGH_DUTY=' || printf('%.1f%%', duty_cycle * 100) END,
+               CASE WHEN graze THEN printf('GRAZING_V_SHAPE(ratio=%.2f)', grazing_ratio) END, CASE WHEN vf THEN printf('V_SCORE=%.2f>1.5', v_score) END,
+               CASE WHEN asym THEN printf('ASYMM=%.2f', asymmetry) END], lambda x: x IS NOT NULL), ' | '), ''), 'none') AS flag_summary
+    FROM (SELECT *, 0.3::DOUBLE AS t0, coalesce(secondary_depth < -0.80::DOUBLE, false) AS two, coalesce(duty_cycle > 0.30::DOUBLE AND duration < 0.499::DOUBLE, false) AS high,
+                 coalesce(grazing_ratio < 0.50::DOUBLE, false) AS graze, coalesce(v_score > 1.5::DOUBLE, false) AS vf, coalesce(asymmetry > 0.60::DOUBLE, false) AS asym
+          FROM ({_SHAPE.replace(v.binned_sql(50), v.binned_sql(200))}))""")
 def morphology(s, d):
     return vetting.morphology(v.with_ephemeris(v.series(s, d)))
 
@@ -514,7 +531,15 @@ def box_search_series(s, d):
     return search.box_search_series(v.series(s, d), search.two_pass_plan(), top=24)
 
 
-@query()
+@query(f"""
+    WITH ranked AS (SELECT target, period, 0.0::DOUBLE AS t0, 0.1::DOUBLE AS duration, cnn AS depth, power,
+                           row_number() OVER (PARTITION BY target, period < 3 ORDER BY power DESC, period, cnn) AS nth FROM ({v.CANDIDATE_ROWS})),
+    listed AS (SELECT target, list({{'period': period, 't0': t0, 'duration': duration, 'depth': depth, 'power': power}} ORDER BY power DESC, period, depth) AS l
+               FROM ranked WHERE nth <= 240 GROUP BY target),
+    kept AS (SELECT target, list_reduce(l, lambda a, x: CASE WHEN len(a) >= 24 OR len(list_filter(a, lambda k: abs(x.period - k.period) / greatest(k.period, 1e-12::DOUBLE) <= 0.002::DOUBLE)) > 0
+                                                        THEN a ELSE a || [x] END, l[1:0]) AS c FROM listed)
+    SELECT target, k::INTEGER AS k, c[k].period AS period, c[k].t0 AS t0, c[k].duration AS duration, c[k].depth AS depth, c[k].power AS power
+    FROM (SELECT target, c, unnest(range(1, len(c) + 1)) AS k FROM kept)""")
 def two_pass_merge_dedupe(s, d):
     rows = v.candidate_rows(s, d).select("target", "period", F.lit(0.0).alias("t0"), F.lit(0.1).alias("duration"), F.col("cnn").alias("depth"), "power")
     return search.merged_passes([rows.filter("period < 3"), rows.filter("period >= 3")])
@@ -651,7 +676,13 @@ def roc_auc(s, d):
     return rounded(evaluation.roc_auc(evaluation.score_curve(v.labelled_scores(s, d))), "auc")
 
 
-@query()
+@query(f"""
+    WITH points AS (SELECT 'best_f1' AS name, threshold FROM ({SQL['pr_curve_best_f1']}) UNION ALL SELECT 'best_youden_j', threshold FROM ({SQL['roc_youden']})
+                    UNION ALL SELECT 'precision_ge_0.70', threshold FROM ({SQL['precision_threshold']}) UNION ALL SELECT 'default_0.5', 0.5::DOUBLE),
+    counts AS (SELECT name, threshold, count(*) FILTER (score < threshold AND y = 0) AS tn, count(*) FILTER (score >= threshold AND y = 0) AS fp,
+                      count(*) FILTER (score < threshold AND y = 1) AS fn, count(*) FILTER (score >= threshold AND y = 1) AS tp FROM ({v.LABELLED_SCORES}), points GROUP BY ALL),
+    rates AS (SELECT *, tp / (tp + fp + 1e-12::DOUBLE) AS p, tp / (tp + fn + 1e-12::DOUBLE) AS r FROM counts)
+    SELECT name, threshold, tn, fp, fn, tp, p AS precision, r AS recall, 2 * p * r / (p + r + 1e-12::DOUBLE) AS f1 FROM rates""")
 def threshold_report(s, d):
     return evaluation.threshold_report(v.labelled_scores(s, d), 0.70)
 
@@ -669,6 +700,20 @@ def classification_report(s, d):
     return rounded(evaluation.classification_report(v.labelled_scores(s, d), 0.5), "precision", "recall", "f1")
 
 
+@query(f"""
+    WITH hits AS ({_HITS}), c AS (
+        SELECT y, tp / (tp + fp + 1e-12::DOUBLE) AS p, tp / (tp + fn + 1e-12::DOUBLE) AS r, tp + fn AS n
+        FROM (SELECT c.y, count(*) FILTER (h.y = c.y AND h.hit::INTEGER = c.y) AS tp, count(*) FILTER (h.y <> c.y AND h.hit::INTEGER = c.y) AS fp, count(*) FILTER (h.y = c.y AND h.hit::INTEGER <> c.y) AS fn
+              FROM hits h, (VALUES (0), (1)) c(y) GROUP BY c.y)),
+    f AS (SELECT *, 2 * p * r / (p + r + 1e-12::DOUBLE) AS f FROM c),
+    a AS (SELECT avg((hit::INTEGER = y)::INTEGER) AS right FROM hits)
+    SELECT 'accuracy' AS name, round(a.right, 6) AS precision, round(a.right, 6) AS recall, round(a.right, 6) AS f1, (SELECT sum(n)::BIGINT FROM f) AS support FROM a
+    UNION ALL SELECT 'macro avg', round(avg(p), 6), round(avg(r), 6), round(avg(f), 6), sum(n)::BIGINT FROM f
+    UNION ALL SELECT 'weighted avg', round(sum(p * n) / sum(n), 6), round(sum(r * n) / sum(n), 6), round(sum(f * n) / sum(n), 6), sum(n)::BIGINT FROM f""")
+def report_averages(s, d):
+    return rounded(evaluation.report_averages(v.labelled_scores(s, d), 0.5), "precision", "recall", "f1")
+
+
 @query(f"""
     SELECT CASE WHEN score >= 0.895::DOUBLE THEN 'high_confidence_planet' WHEN score >= 0.88::DOUBLE THEN 'likely_planet' WHEN score >= 0.86::DOUBLE THEN 'candidate' ELSE 'reject' END AS label, count(*) AS n
     FROM ({v.LABELLED_SCORES}) GROUP BY label""")
@@ -785,6 +830,35 @@ def stream_sweep(s, d):
     return done.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("target").alias("n_targets"), F.round(F.sum("f"), 2).alias("total"))
 
 
+@query(f"SELECT target, count(*) AS n, round(sum(f), 2) AS total FROM ({v.SERIES}) GROUP BY target")
+def complete_targets(s, d):
+    """All events through a stream that collects each target's points in its state until they are complete; then they are read."""
+    folder = f"{shared_folder(s)}/targets-{uuid.uuid4().hex}"
+    sizes = v.series(s, d).groupBy("target").agg(F.count(F.lit(1)).alias("expected"))
+    events = sweep.events_stream(s, f"{d}/events.parquet*", schemas.EVENTS)
+    sweep.collect_targets(v.series_of(events).join(sizes, "target"), f"{folder}/points", f"{folder}/state")
+    found = s.read.schema("target string, t double, f double").parquet(f"{folder}/points/batch=*")
+    return found.groupBy("target").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("f"), 2).alias("total"))
+
+
+@query()
+def recovery_errors(s, d):
+    """How well the search finds dips put into the dense series: the copies that windows to train on are made of."""
+    found = target_sweep.searched_windows(target_sweep.prepared(v.series(s, d)))
+    return found.select("target", "aug", "y", "p_injected", "bls_period", "bls_power", "recovery_error")
+
+
+@query("""
+    WITH tried AS (SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 8000)
+    SELECT c_custkey FROM tried WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 200000) ORDER BY c_custkey LIMIT 1500""")
+def probe_waves(s, d):
+    """The first 1,500 customers with a large urgent order, tried in waves: a target that downloads, of 8,000 at most."""
+    orders = v.table(s, d, "orders").filter("o_orderpriority = '1-URGENT' and o_totalprice > 200000").select(F.col("o_custkey").alias("target")).distinct().withColumn("ok", F.lit(True))
+    targets = v.table(s, d, "customer").selectExpr("c_custkey AS target", "c_custkey AS place")
+    found = datasets.probe_in_waves(targets, lambda wave: wave.join(orders, "target"), f"{shared_folder(s)}/attempts-{uuid.uuid4().hex}")
+    return found.select(F.col("target").alias("c_custkey"))
+
+
 @query("""
     SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type AS target, count(*) AS n, round(avg(value), 6) AS level FROM events GROUP BY ALL""")
 def hourly_levels(s, d):

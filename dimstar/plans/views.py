@@ -19,7 +19,11 @@ _DAYS = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts) / 86
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(target, t, f) of the dense series."""
-    return table(spark, sf_dir, "events").selectExpr("concat(event_type, '-', user_id % 4) AS target", f"{_DAYS} AS t", "value AS f")
+    return series_of(table(spark, sf_dir, "events"))
+
+
+def series_of(events: DataFrame) -> DataFrame:
+    return events.selectExpr("concat(event_type, '-', user_id % 4) AS target", f"{_DAYS} AS t", "value AS f")
 
 
 def user_series(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from typing import Any
 
@@ -9,9 +10,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dimstar.functions.runtime import materialize
+from dimstar.operators.batch import not_done
 from dimstar.operators.series import decimate, finite_points, normalize, series_status
 from dimstar.operators.window_net import WindowNet
-from dimstar.sources.readers import exists
+from dimstar.sources.readers import background, exists
 
 
 def read_through(spark: SparkSession, path: str, fetch: Callable[[], DataFrame]) -> DataFrame:
@@ -55,6 +58,35 @@ def read_attempts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).groupBy("target").agg(F.coalesce(F.bool_or("ok"), F.lit(False)).alias("ok"))
 
 
+def probe_in_waves(
+    targets: DataFrame, attempt: Callable[[DataFrame], DataFrame], path: str, want: int = 1500, limit: int = 8000, least: int = 25, spare: float = 1.5
+) -> DataFrame:
+    """(target, place) of the first `want` targets that succeed, in order of (place, target), of which at most `limit` are tried.
+
+    targets: (target, place). `attempt` takes a wave of them and returns (target, ok); a target that it doesn't return has failed. Each
+    wave has as many untried targets as the share of successes so far lets expect to be enough, times `spare`, and at least `least`. What
+    was tried is added to the table at `path` after each wave, so a run that broke off goes on after its last one. Null targets are
+    left out, of repeated ones the first counts.
+    """
+    spark = targets.sparkSession
+    each = materialize(targets.filter("target is not null").groupBy("target").agg(F.min("place").alias("place")), "probe-targets")
+    order = (F.col("place").asc_nulls_last(), "target")
+    kind = each.schema["target"].dataType
+    while True:
+        tried = read_attempts(spark, path).withColumn("target", F.col("target").cast(kind))
+        n, good = tried.agg(F.count(F.lit(1)), F.count_if("ok")).first()
+        if good >= want or n >= limit:
+            break
+        wave = math.ceil(spare * (want - good) / max(good / n if n else 1.0, 0.02))
+        todo = materialize(not_done(each, tried, ["target"]).orderBy(*order).limit(min(limit - n, max(least, wave))), "probe-wave")
+        if not todo.limit(1).count():
+            break
+        ok = attempt(todo).groupBy("target").agg(F.coalesce(F.bool_or("ok"), F.lit(False)).alias("ok"))
+        record_attempts(todo.join(ok, "target", "left").select(F.col("target").cast("string").alias("target"), F.coalesce("ok", F.lit(False)).alias("ok")), path)
+    found = read_attempts(spark, path).filter("ok").select(F.col("target").cast(kind).alias("target"))
+    return each.join(found, "target", "left_semi").orderBy(*order).limit(want)
+
+
 def write_bundle(samples: DataFrame, constants: dict[str, Any], path: str) -> None:
     """Samples with a label, divided by it, and beside them one row with the constants of the run."""
     samples.write.mode("overwrite").partitionBy("label").parquet(f"{path}/samples")
@@ -74,9 +106,9 @@ def read_bundle(spark: SparkSession, path: str, column: str = "w", size: str = "
 
 
 def read_backgrounds(spark: SparkSession, path: str) -> DataFrame:
-    """The samples without a signal: those with label 0, or all of a table that has no label."""
+    """The samples without a signal: those with label 0 (see `readers.background`), or all of a table that has no label."""
     rows = spark.read.parquet(path)
-    return rows.filter("label = 0") if "label" in rows.columns else rows
+    return background(rows) if "label" in rows.columns else rows
 
 
 def save_network(spark: SparkSession, net: WindowNet, path: str) -> None:

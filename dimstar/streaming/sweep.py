@@ -104,6 +104,11 @@ def complete_targets(stream: DataFrame) -> DataFrame:
     return rows.groupBy("target").transformWithStateInPandas(_Collector(), "target string, t double, f double", "append", "none")
 
 
+def collect_targets(stream: DataFrame, results: str, state: str, seconds: float | None = None) -> bool:
+    """Write the points of each target of `stream` to a folder of `results` once they are complete, each target once."""
+    return _run(complete_targets(stream), lambda batch, number: batch.write.mode("overwrite").parquet(f"{results}/batch={number}"), state, seconds)
+
+
 def sweep_stream(stream: DataFrame, net: WindowNet, results: str, state: str, seconds: float | None = None, **options) -> bool:
     """`sweep_targets` over a stream of points (target, t, f, expected): a target is swept in the batch that completes it.
 

@@ -35,4 +35,5 @@ def rows(frame) -> list[tuple]:
 def same(query, sql: str, spark, folder: str) -> None:
     got, wanted = query(spark, folder).toPandas(), connection(folder).sql(sql).df()
     assert sorted(got.columns) == sorted(wanted.columns)
+    assert len(got) > 0
     assert rows(got) == rows(wanted)
