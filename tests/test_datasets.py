@@ -40,6 +40,31 @@ def test_attempts_add_up(spark, tmp_path):
     assert {(r["target"], r["ok"]) for r in datasets.read_attempts(spark, path).collect()} == {("x", True), ("y", True), ("z", False)}
 
 
+def test_probing_in_waves(spark, tmp_path):
+    """As one after the other would: the first ones that succeed, and after a break only what wasn't tried."""
+    targets = spark.createDataFrame([(f"t{k}", k) for k in range(300)] + [("t5", 400), (None, 1)], "target string, place int")
+    good = {f"t{k}" for k in range(300) if k % 3 == 0}
+    waves = []
+
+    def attempt(wave):
+        names = [r.target for r in wave.collect()]
+        waves.append(names)
+        return spark.createDataFrame([(n, n in good) for n in names if not n.endswith("1")], "target string, ok boolean")  # some aren't returned
+
+    def probe(path, **options):
+        return [r.target for r in datasets.probe_in_waves(targets, attempt, f"{tmp_path}/{path}", least=7, **options).orderBy("place").collect()]
+
+    wanted = [f"t{k}" for k in range(300) if k % 3 == 0 and k % 10 != 1]
+    assert probe("a", want=20) == wanted[:20] and len(waves) > 1
+    tried = [n for w in waves for n in w]
+    assert len(tried) == len(set(tried)) < 150
+    waves.clear()
+    assert probe("a", want=20) == wanted[:20] and not waves
+    assert probe("a", want=30) == wanted[:30] and not {n for w in waves for n in w} & set(tried)
+    assert probe("b", want=1000, limit=50) == [n for n in wanted if int(n[1:]) < 50]
+    assert probe("c", want=1000) == wanted and probe("d", want=0) == []
+
+
 def test_bundle_round_trip(spark, tmp_path):
     rows = datasets.literal_rows(spark, [{"target": "a", "label": 0, "w": [1.0, 2.0]}, {"target": "b", "label": 1, "w": [3.0, None]}], "target string, label int, w array<double>, note string")
     datasets.write_bundle(rows, {"window_len": 2, "seed": 42}, f"{tmp_path}/b")

@@ -54,6 +54,40 @@ def test_reflected_detrend(spark, points):
     assert got == pytest.approx(rest / rest.std())
 
 
+@pytest.mark.parametrize("ranged", [False, True])
+def test_reflected_detrend_in_blocks(spark, ranged):
+    """Series of all lengths, also shorter than half a width, in blocks of a few points, against mirrored padding."""
+    rng = np.random.default_rng(9)
+    series_of = {f"s{n}": (np.sort(rng.uniform(0, 9, n)), rng.normal(0, 1, n)) for n in (1, 2, 3, 5, 6, 11, 12, 40, 700)}
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = series.detrend_reflected(frame(spark, series_of), block=13, ranged=ranged).collect()
+        level = series.moving_median(frame(spark, series_of), 7, block=13, ranged=ranged).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert len(found) == len(level) == sum(len(t) for t, _ in series_of.values())
+    for name, (_, f) in series_of.items():
+        half = max(11, int(0.05 * len(f)) | 1) // 2
+        padded = np.pad(f, half, mode="symmetric")
+        rest = f - np.array([np.median(padded[i : i + 2 * half + 1]) for i in range(len(f))])
+        got = [r.f for r in sorted((r for r in found if r.target == name), key=lambda r: r.t)]
+        assert got == pytest.approx(rest / (rest.std() or 1))
+        trend = [r.trend for r in sorted((r for r in level if r.target == name), key=lambda r: r.t)]
+        assert trend == pytest.approx([np.median(f[max(0, i - 3) : i + 4]) for i in range(len(f))])
+
+
+def test_missing_values_are_filled(spark):
+    rows = [("few", float(i), None if i % 10 == 0 else float(i % 7)) for i in range(100)] + [("most", float(i), None if i == 5 else float(i % 7)) for i in range(100)]
+    rows += [("none", float(i), float("nan")) for i in range(20)]
+    df = spark.createDataFrame(rows, "target string, t double, f double")
+    got = {(r.target, r.t): r.f for r in series.filled_gaps(df, 0.98).collect()}
+    level = float(np.median([i % 7 for i in range(100) if i % 10]))
+    assert all(got["few", float(i)] == (level if i % 10 == 0 else i % 7) for i in range(100)) and got["most", 5.0] is None and got["none", 3.0] == 0.0
+    flat = series.detrend(df, 5, fill=0.98).collect()
+    assert all(r.f is not None for r in flat if r.target == "few") and len(flat) == 220
+
+
 def test_interpolation(spark, points):
     df = series.interpolate(frame(spark, points), 57)
     t, f = of(df, "a", "t", "f")

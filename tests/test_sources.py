@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from dimstar.sources import readers, schemas, writers
+from dimstar.functions import rules
+from dimstar.sources import http
 from dimstar.sources.http import HttpCsv
 from dimstar.streaming import sweep
 
@@ -116,3 +118,59 @@ def test_failure_alarm(spark, tmp_path):
     query.stop()
     got = [(r["streak"], r["alarm"]) for r in spark.sql("SELECT * FROM alarms").collect()]
     assert got == [(2, False), (0, True)]
+
+
+def serving(answer):
+    """A server that calls answer(path) for each request, and the paths it was asked for."""
+    asked = []
+
+    class Answer(BaseHTTPRequestHandler):
+        def do_GET(self):
+            asked.append(self.path)
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(answer(self.path).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Answer)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    return server, f"http://127.0.0.1:{server.server_port}", asked
+
+
+def test_http_fields_and_filters(spark):
+    rows = "id,period,name,ok,day,more\n1,2.5,a,true,2024-01-02,x\n2,bad,,F,,y\n3.0,7,c,maybe,nonsense,z\n9999999999,nan,d,1,2024-02-30,\n"
+    server, base, asked = serving(lambda path: rows)
+    spark.dataSource.register(HttpCsv)
+    before = spark.conf.get("spark.sql.python.filterPushdown.enabled")
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        read = spark.read.format("http_csv").options(urls=f"{base}/q?table=toi", columns="select", where="where")
+        found = read.schema("id int, period double, name string, ok boolean, day date").load()
+        got = {r.id: (r.period, r.name, r.ok, str(r.day)) for r in found.filter("id is not null").collect()}
+        assert got == {1: (2.5, "a", True, "2024-01-02"), 2: (None, None, False, "None"), 3: (7.0, "c", None, "None")}
+        assert asked[-1] == "/q?table=toi&select=id%2Cperiod%2Cname%2Cok%2Cday"
+        assert [r.id for r in found.filter("period >= 3.5 and name = 'c' and id in (1, 3)").collect()] == [3]
+        assert "where=period+%3E%3D+3.5+and+name+%3D+%27c%27" in asked[-1] or "where=name+%3D+%27c%27+and+period+%3E%3D+3.5" in asked[-1]
+        with pytest.raises(Exception, match="no text becomes"):
+            read.schema("id int, parts array<int>").load().collect()
+    finally:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", before)
+        server.shutdown()
+
+
+def test_no_more_patches_than_needed(spark, tmp_path):
+    server, base, asked = serving(lambda path: "target_name\n" + "".join(f"TIC {k}\n" for k in range(10 * int(path[1:]), 10 * int(path[1:]) + 15)))
+    spark.dataSource.register(HttpCsv)
+    key = lambda rows: rows.select(rules.target_number(F.col("target_name")).alias("target"))
+    try:
+        options = (key, f"{tmp_path}/patches", "target_name string")
+        urls = [f"{base}/{k}" for k in range(6)]
+        first = http.patches_until(spark, urls, 20, *options)
+        assert first.count() == 25 and sorted(set(asked)) == ["/0", "/1"]
+        again = http.patches_until(spark, urls, 40, *options)
+        assert sorted(set(asked)) == ["/0", "/1", "/2", "/3"] and again.count() == 45 and len(asked) == 4
+        assert {r.patch: r["count"] for r in again.groupBy("patch").count().collect()} == {0: 15, 1: 10, 2: 10, 3: 10}
+    finally:
+        server.shutdown()
