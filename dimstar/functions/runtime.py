@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _PACKAGE = Path(__file__).resolve().parents[1]
 _shipped: set[str] = set()
+_run: contextvars.ContextVar[str | None] = contextvars.ContextVar("run", default=None)
 
 
 def ship_code(spark: SparkSession) -> None:
@@ -41,9 +45,31 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+@contextlib.contextmanager
+def run_folder(spark: SparkSession) -> Iterator[str]:
+    """Tables that operators write for themselves inside go to a folder of this run, which is removed at the end.
+
+    Results are read from such tables, so what is wanted of them has to be written, or brought to the driver, before the end:
+
+        with run_folder(spark):
+            operator(df).write.parquet(path)
+    """
+    path = f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
+    token = _run.set(path)
+    try:
+        yield path
+    finally:
+        _run.reset(token)
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` as a Parquet table in the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write `df` as a Parquet table in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    Within `run_folder` the table goes with the run; else it stays for the folder's owner to clear.
+    """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{_run.get() or shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

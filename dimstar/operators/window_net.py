@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 KERNELS = (9, 7, 5)
@@ -156,12 +158,13 @@ class WindowNet:
         return grads
 
     def trained(
-        self, x: np.ndarray, y: np.ndarray, *, epochs: int = 100, batch: int = 128, rate: float = 1e-3, patience: int = 12, halve: int = 6, least_rate: float = 1e-6, seed: int = 42
-    ) -> WindowNet:
+        self, x: np.ndarray, y: np.ndarray, *, epochs: int = 100, batch: int = 128, rate: float = 1e-3, patience: int = 12, halve: int = 6, least_rate: float = 1e-6, seed: int = 42,
+        on_best: Callable[[WindowNet], None] | None = None,
+    ) -> WindowNet:
         """Fitted by Adam with balanced classes; a fifth of each class is kept for `report`, a fifth of the rest for stopping.
 
         After `halve` epochs without a better validation AUC the rate is halved, after `patience` training stops; the best epoch's
-        weights stay. Of equal AUCs, usual with few rows, the one with the smaller cross-entropy is better. Where a class is too rare to be split, all rows stand in for the missing part. Without rows nothing is fitted.
+        weights stay. `on_best` is called with the network after each better one, to store it while training goes on. Of equal AUCs, usual with few rows, the one with the smaller cross-entropy is better. Where a class is too rare to be split, all rows stand in for the missing part. Without rows nothing is fitted.
         """
         if not len(y):
             return self
@@ -190,6 +193,8 @@ class WindowNet:
             reached = (float(np.nan_to_num(rank_auc(score, y[valid]))), float(np.average(right, weights=weight[valid])))
             if reached > best:
                 best, kept, since = reached, dict(self.weights), 0
+                if on_best:
+                    on_best(self)
                 continue
             since += 1
             if since % halve == 0:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -116,11 +116,16 @@ def recovery_error(found: Column, injected: Column) -> Column:
     return F.try_divide(F.abs(found - injected), injected)
 
 
-def train_windows(df: DataFrame, column: str = "w", label: str = "y", key: str = "target", max_rows: int = 5_000, seed: int = 7) -> WindowNet:
-    """A network fitted on at most `max_rows` labelled windows (the smallest seeded hashes), held-out rows of its report included."""
+def train_windows(
+    df: DataFrame, column: str = "w", label: str = "y", key: str = "target", max_rows: int = 5_000, seed: int = 7, on_best: Callable[[WindowNet], None] | None = None
+) -> WindowNet:
+    """A network fitted on at most `max_rows` labelled windows (the smallest seeded hashes), held-out rows of its report included.
+
+    `on_best` is called with the network after each better epoch, for example to write it with `save_network`.
+    """
     rows = df.select(F.col(column).cast("array<double>").alias("w"), F.col(label).alias("y"), seeded_uniform(seed, key).alias("u"))
     found = rows.orderBy("u").limit(max_rows).collect()
-    return WindowNet(seed=seed).trained(np.array([r["w"] for r in found], float), np.array([r["y"] for r in found], float), seed=seed)
+    return WindowNet(seed=seed).trained(np.array([r["w"] for r in found], float), np.array([r["y"] for r in found], float), seed=seed, on_best=on_best)
 
 
 def score_windows(df: DataFrame, net: WindowNet, column: str = "w", isolate: bool = False) -> DataFrame:

@@ -1,9 +1,12 @@
 """Data sets, bundles, stored networks, and the classifier's arithmetic."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from dimstar.functions import runtime
 from dimstar.operators import batch, window_net
 from dimstar.operators.window_net import WindowNet, rank_auc, split_rows
 from dimstar.sources import datasets
@@ -112,6 +115,9 @@ def test_network_is_stored(spark, tmp_path):
     x[y == 1, 12:19] -= 4
     net = WindowNet((6, 8, 8), (8, 6)).trained(x, y.astype(float), epochs=40)
     assert net.report["test_auc"] > 0.9 and net.report["epochs"] <= 40
+    best = []
+    again = WindowNet((6, 8, 8), (8, 6)).trained(x, y.astype(float), epochs=40, on_best=lambda n: best.append(dict(n.weights)))
+    assert 1 <= len(best) <= 40 and all(np.array_equal(best[-1][k], w) for k, w in again.weights.items())
     datasets.save_network(spark, net, f"{tmp_path}/n")
     back = datasets.load_network(spark, f"{tmp_path}/n")
     assert np.array_equal(back.score(x), net.score(x)) and back.report == net.report
@@ -129,3 +135,17 @@ def test_progress(spark):
     rows = spark.createDataFrame([(10, 100, 5.0), (0, 10, 0.2), (10, 10, 4.0)], "done int, total int, elapsed double")
     got = [(r["rate"], r["eta_s"]) for r in sweep.progress(rows).collect()]
     assert got[0] == pytest.approx((2.0, 45.0)) and got[1] == pytest.approx((0.0, 1e10)) and got[2] == pytest.approx((2.5, 0.0))
+
+
+def test_tables_of_a_run_are_removed(spark):
+    with runtime.run_folder(spark) as folder:
+        kept = runtime.materialize(spark.range(5), "kept")
+        assert kept.count() == 5 and Path(folder.removeprefix("file:")).is_dir()
+        outer = folder
+    assert not Path(outer.removeprefix("file:")).exists()
+    table = runtime.materialize(spark.range(3), "kept")
+    assert table.count() == 3 and outer not in table.inputFiles()[0]
+    with pytest.raises(ZeroDivisionError), runtime.run_folder(spark) as folder:
+        runtime.materialize(spark.range(5), "kept")
+        1 / 0
+    assert not Path(folder.removeprefix("file:")).exists()

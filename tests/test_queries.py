@@ -23,14 +23,23 @@ def test_contract(spark):
     assert entry.entry(spark).count() > 0
 
 
-def test_rest_stands_without_the_text_part():
-    """Nothing outside the subpackage and its pipeline imports it."""
+def test_rest_stands_without_the_text_part(tmp_path):
+    """A copy without the subpackage and its pipeline registers all other queries, and nothing in it asks for them."""
+    import shutil
+    import subprocess
+    import sys
     from pathlib import Path
 
     root = Path(__file__).resolve().parents[1]
     for path in (root / "dimstar").rglob("*.py"):
         if "llm" not in path.relative_to(root).parts:
             assert "dimstar.llm" not in path.read_text()
+    shutil.copytree(root / "dimstar", tmp_path / "dimstar", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; print(sorted(e.queries()) == sorted(e.plans.QUERIES), sorted(e.oracle_sql()) == sorted(e.plans.SQL), len(e.queries()))"
+    env = {"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, check=True).stdout.split()
+    assert out[:2] == ["True", "True"] and int(out[2]) == len(queries.QUERIES)
 
 
 def test_merge_reads_all_rows(spark):
