@@ -8,7 +8,7 @@ from operator import add, or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dimstar.functions.rules import FLAG_SEPARATOR, percent
+from dimstar.functions.rules import percent
 
 # Tiers in the order of reports, and the edges of the period histogram (right-closed).
 TIERS = ("A", "A*", "B", "C", "D", "bump")
@@ -47,17 +47,17 @@ def tier_rule(df: DataFrame) -> DataFrame:
     flags, n_flags = F.coalesce(F.col("morph_flags"), F.lit("")), F.coalesce(F.col("morph_n_flags"), F.lit(0))
     bump = F.coalesce(F.col("polarity_flipped"), F.lit(True))
     elevated = (duty >= 0.15) & (duty < 0.25)
-    # conditions and texts apart: a query that reads only the tier formats nothing
+    # The texts of the reasons. Conditions and texts apart: a query that reads only the tier formats nothing.
     reasons = [
-        (secondary < -0.30, F.format_string("secondary_dip=%.3f", secondary)),
-        (duty >= 0.25, F.concat(F.lit("high_duty="), percent(duty))),
-        (v > 1.2, F.format_string("v_score=%.2f", v)),
-        (flags.contains("SECONDARY_DIP") & ~(secondary < -0.30), F.lit("secondary_flag")),
-        (duration >= 0.499, F.lit("duration_at_ceiling")),
+        (secondary < -0.30, F.format_string("secondary dip %.2fσ", secondary)),
+        (duty >= 0.25, F.concat(F.lit("high duty cycle "), percent(duty))),
+        (v > 1.2, F.format_string("V-shaped fold (v_score=%.2f)", v)),
+        (flags.contains("SECONDARY_DIP") & ~(secondary < -0.30), F.lit("secondary dip (morph flag)")),
+        (duration >= 0.499, F.lit("duration at search ceiling")),
     ]
     warnings = [
-        (elevated, F.concat(F.lit("elevated_duty="), percent(duty))),
-        ((n_flags == 1) & ~flags.contains("HIGH_DUTY"), F.lit("one_flag")),
+        (elevated, F.concat(F.lit("elevated duty "), percent(duty))),
+        ((n_flags == 1) & ~flags.contains("HIGH_DUTY"), F.concat(F.lit("1 morph flag: "), F.substring(flags, 1, 50))),
     ]
     bad = reduce(or_, (met for met, _ in reasons))
     warn = reduce(add, (met.cast("int") for met, _ in warnings))
@@ -69,8 +69,8 @@ def tier_rule(df: DataFrame) -> DataFrame:
         .when(warn == 1, "B")
         .otherwise("A")
     )
-    joined = lambda pairs: F.concat_ws(FLAG_SEPARATOR, *(F.when(met, text) for met, text in pairs))
-    why = F.when(bump, "bump").when(bad, joined(reasons)).when(warn > 0, joined(warnings)).otherwise("clean")
+    joined = lambda pairs: F.concat_ws("; ", *(F.when(met, text) for met, text in pairs))
+    why = F.when(bump, "polarity=bump (EB/flare)").when(bad, joined(reasons)).when(warn > 0, joined(warnings)).otherwise("clean")
     return df.withColumns({"tier": tier, "tier_reasons": why})
 
 

@@ -74,12 +74,14 @@ def vetting_flags(df: DataFrame) -> DataFrame:
     """`df` with odd_even_ratio, duty_cycle and flags, from odd_depth, even_depth, phase05_level, dip_centroid and the ephemeris."""
     ratio = F.when(F.abs("odd_depth") > 0, F.abs(F.col("even_depth") / F.col("odd_depth")))
     duty = duty_cycle(F.col("duration"), F.col("period"))
+    # fixed values: the texts of the flags
     flags = joined_flags(
-        F.when((ratio < 0.6) | (ratio > 1.7), F.format_string("ODD/EVEN DEPTH RATIO=%.2f", ratio)),
-        F.when(F.col("phase05_level") < -0.3, F.format_string("SECONDARY DIP at phase 0.5 (%.3f)", F.col("phase05_level"))),
+        F.when((ratio < 0.6) | (ratio > 1.7), F.format_string("ODD/EVEN DEPTH RATIO=%.2f ⚠ possible EB", ratio)),
+        F.when(F.col("phase05_level") < -0.3, F.format_string("SECONDARY DIP at phase 0.5 (%.3fσ) ⚠ possible EB", F.col("phase05_level"))),
         F.when(F.col("duration") >= CEILING, "DURATION AT SEARCH CEILING"),
-        F.when(duty > 0.25, F.concat(F.lit("HIGH DUTY CYCLE="), percent(duty))).when(duty > 0.15, F.concat(F.lit("ELEVATED DUTY CYCLE="), percent(duty))),
-        F.when(F.abs("dip_centroid") > 0.15, F.format_string("DIP CENTROID OFFSET=%+.3f", F.col("dip_centroid"))),
+        F.when(duty > 0.25, F.concat(F.lit("HIGH DUTY CYCLE="), percent(duty), F.lit(" ⚠ likely stellar rotation or EB (transit duration is "), percent(duty, 0), F.lit(" of orbit)")))
+        .when(duty > 0.15, F.concat(F.lit("ELEVATED DUTY CYCLE="), percent(duty), F.lit(" — verify transit shape"))),
+        F.when(F.abs("dip_centroid") > 0.15, F.format_string("DIP CENTROID OFFSET=%+.3f phase units ⚠ possible non-transit morphology (rotation / EB / artifact)", F.col("dip_centroid"))),
     )
     return df.withColumns({"odd_even_ratio": ratio, "duty_cycle": duty, "flags": flags})
 
@@ -169,11 +171,12 @@ def shape_flags(scores: DataFrame) -> DataFrame:
     grazing = no(F.col("grazing_ratio") < GRAZING)
     v, asymmetric, uneven = no(F.col("v_score") > V_SCORE), no(F.col("asymmetry") > ASYMMETRY), no(cv > DEPTH_CV)
     number = lambda *flags: sum((f.cast("int") for f in flags), F.lit(0))
+    # fixed values: the texts of the flags, those that decide first
     summary = joined_flags(
-        F.when(secondary, F.format_string("SECONDARY_DIP=%.3f", F.col("secondary_depth"))),
+        F.when(secondary, F.format_string("SECONDARY_DIP=%.3fσ", F.col("secondary_depth"))),
         F.when(duty, F.concat(F.lit("HIGH_DUTY="), percent(F.col("duty_cycle")))),
         F.when(grazing, F.format_string("GRAZING_V_SHAPE(ratio=%.2f)", F.col("grazing_ratio"))),
-        F.when(v, F.format_string("V_SCORE=%.2f>1.5", F.col("v_score"))),
+        F.when(v, F.format_string("V_SCORE=%.2f>1.5 (V-shaped, EB/rotation)", F.col("v_score"))),
         F.when(asymmetric, F.format_string("ASYMM=%.2f", F.col("asymmetry"))),
         F.when(uneven, F.format_string("DEPTH_CV=%.2f", cv)),
     )

@@ -387,11 +387,11 @@ def depth_consistency(s, d):
     joined AS (SELECT *, CASE WHEN abs(odd_depth) > 0 THEN abs(even_depth / odd_depth) END AS ratio, duration / period AS duty FROM level LEFT JOIN depth USING (target) LEFT JOIN dip USING (target))
     SELECT target, round(ratio, 6) AS odd_even_ratio, round(duty, 6) AS duty_cycle,
            coalesce(nullif(array_to_string(list_filter([
-               CASE WHEN ratio < 0.6::DOUBLE OR ratio > 1.7::DOUBLE THEN printf('ODD/EVEN DEPTH RATIO=%.2f', ratio) END,
-               CASE WHEN p05 < -0.3::DOUBLE THEN printf('SECONDARY DIP at phase 0.5 (%.3f)', p05) END,
+               CASE WHEN ratio < 0.6::DOUBLE OR ratio > 1.7::DOUBLE THEN printf('ODD/EVEN DEPTH RATIO=%.2f ⚠ possible EB', ratio) END,
+               CASE WHEN p05 < -0.3::DOUBLE THEN printf('SECONDARY DIP at phase 0.5 (%.3fσ) ⚠ possible EB', p05) END,
                CASE WHEN duration >= 0.499::DOUBLE THEN 'DURATION AT SEARCH CEILING' END,
-               CASE WHEN duty > 0.25::DOUBLE THEN 'HIGH DUTY CYCLE=' || printf('%.1f%%', duty * 100) WHEN duty > 0.15::DOUBLE THEN 'ELEVATED DUTY CYCLE=' || printf('%.1f%%', duty * 100) END,
-               CASE WHEN abs(center) > 0.15::DOUBLE THEN printf('DIP CENTROID OFFSET=%+.3f', center) END], lambda x: x IS NOT NULL), ' | '), ''), 'none') AS flags
+               CASE WHEN duty > 0.25::DOUBLE THEN 'HIGH DUTY CYCLE=' || printf('%.1f%%', duty * 100) || ' ⚠ likely stellar rotation or EB (transit duration is ' || printf('%.0f%%', duty * 100) || ' of orbit)' WHEN duty > 0.15::DOUBLE THEN 'ELEVATED DUTY CYCLE=' || printf('%.1f%%', duty * 100) || ' — verify transit shape' END,
+               CASE WHEN abs(center) > 0.15::DOUBLE THEN printf('DIP CENTROID OFFSET=%+.3f phase units ⚠ possible non-transit morphology (rotation / EB / artifact)', center) END], lambda x: x IS NOT NULL), ' | '), ''), 'none') AS flags
     FROM joined""")
 def vetting_flags(s, d):
     found = vetting.vetted(v.with_ephemeris(v.series(s, d)), 50)
@@ -486,8 +486,8 @@ def morph_composite(s, d):
            round(grazing_ratio, 4) AS grazing_ratio, round(duty_cycle, 4) AS duty_cycle, two AS two_dip_flag, high AS high_duty_flag, graze AS grazing_flag, vf AS v_flag,
            asym AS asymm_flag, false AS depth_cv_flag, (two::INTEGER + high::INTEGER + graze::INTEGER + vf::INTEGER + asym::INTEGER)::INTEGER AS n_flags, two OR high OR graze AS is_strong_fp,
            coalesce(nullif(array_to_string(list_filter([
-               CASE WHEN two THEN printf('SECONDARY_DIP=%.3f', secondary_depth) END, CASE WHEN high THEN 'HIGH_DUTY=' || printf('%.1f%%', duty_cycle * 100) END,
-               CASE WHEN graze THEN printf('GRAZING_V_SHAPE(ratio=%.2f)', grazing_ratio) END, CASE WHEN vf THEN printf('V_SCORE=%.2f>1.5', v_score) END,
+               CASE WHEN two THEN printf('SECONDARY_DIP=%.3fσ', secondary_depth) END, CASE WHEN high THEN 'HIGH_DUTY=' || printf('%.1f%%', duty_cycle * 100) END,
+               CASE WHEN graze THEN printf('GRAZING_V_SHAPE(ratio=%.2f)', grazing_ratio) END, CASE WHEN vf THEN printf('V_SCORE=%.2f>1.5 (V-shaped, EB/rotation)', v_score) END,
                CASE WHEN asym THEN printf('ASYMM=%.2f', asymmetry) END], lambda x: x IS NOT NULL), ' | '), ''), 'none') AS flag_summary
     FROM (SELECT *, 0.3::DOUBLE AS t0, coalesce(secondary_depth < -0.80::DOUBLE, false) AS two, coalesce(duty_cycle > 0.30::DOUBLE AND duration < 0.499::DOUBLE, false) AS high,
                  coalesce(grazing_ratio < 0.50::DOUBLE, false) AS graze, coalesce(v_score > 1.5::DOUBLE, false) AS vf, coalesce(asymmetry > 0.60::DOUBLE, false) AS asym

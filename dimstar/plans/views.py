@@ -89,16 +89,16 @@ TIERED = f"""
     SELECT *,
         CASE WHEN bump THEN 'bump' WHEN len(reasons) > 0 THEN 'C' WHEN len(warns) >= 2 THEN 'D'
              WHEN len(warns) = 1 AND elevated AND duty < 0.20::DOUBLE THEN 'A*' WHEN len(warns) = 1 THEN 'B' ELSE 'A' END AS tier,
-        CASE WHEN bump THEN 'bump' WHEN len(reasons) > 0 THEN array_to_string(reasons, ' | ')
-             WHEN len(warns) > 0 THEN array_to_string(warns, ' | ') ELSE 'clean' END AS tier_reasons
+        CASE WHEN bump THEN 'polarity=bump (EB/flare)' WHEN len(reasons) > 0 THEN array_to_string(reasons, '; ')
+             WHEN len(warns) > 0 THEN array_to_string(warns, '; ') ELSE 'clean' END AS tier_reasons
     FROM (SELECT *,
-            list_filter([CASE WHEN sec < -0.30::DOUBLE THEN printf('secondary_dip=%.3f', sec) END,
-                         CASE WHEN duty >= 0.25::DOUBLE THEN 'high_duty=' || printf('%.1f%%', duty * 100) END,
-                         CASE WHEN v > 1.2::DOUBLE THEN printf('v_score=%.2f', v) END,
-                         CASE WHEN contains(flags, 'SECONDARY_DIP') AND NOT sec < -0.30::DOUBLE THEN 'secondary_flag' END,
-                         CASE WHEN dur >= 0.499::DOUBLE THEN 'duration_at_ceiling' END], lambda x: x IS NOT NULL) AS reasons,
-            list_filter([CASE WHEN elevated THEN 'elevated_duty=' || printf('%.1f%%', duty * 100) END,
-                         CASE WHEN n = 1 AND NOT contains(flags, 'HIGH_DUTY') THEN 'one_flag' END], lambda x: x IS NOT NULL) AS warns
+            list_filter([CASE WHEN sec < -0.30::DOUBLE THEN printf('secondary dip %.2fσ', sec) END,
+                         CASE WHEN duty >= 0.25::DOUBLE THEN 'high duty cycle ' || printf('%.1f%%', duty * 100) END,
+                         CASE WHEN v > 1.2::DOUBLE THEN printf('V-shaped fold (v_score=%.2f)', v) END,
+                         CASE WHEN contains(flags, 'SECONDARY_DIP') AND NOT sec < -0.30::DOUBLE THEN 'secondary dip (morph flag)' END,
+                         CASE WHEN dur >= 0.499::DOUBLE THEN 'duration at search ceiling' END], lambda x: x IS NOT NULL) AS reasons,
+            list_filter([CASE WHEN elevated THEN 'elevated duty ' || printf('%.1f%%', duty * 100) END,
+                         CASE WHEN n = 1 AND NOT contains(flags, 'HIGH_DUTY') THEN '1 morph flag: ' || flags[1:50] END], lambda x: x IS NOT NULL) AS warns
           FROM (SELECT *, coalesce(morph_secondary_dip, 0) AS sec, coalesce(morph_duty_cycle, 0) AS duty, coalesce(morph_v_score, 0) AS v,
                        coalesce(bls_duration, 0) AS dur, coalesce(morph_flags, '') AS flags, coalesce(morph_n_flags, 0) AS n,
                        coalesce(polarity_flipped, true) AS bump,
