@@ -116,7 +116,7 @@ def plain_reports(rows, null=""):
     """(id, gaps, blank, duplicate, truncated, illegal, cost, audit, sha) of each conversation."""
     by = defaultdict(list)
     for i, turn, role, text in rows:
-        by[i].append((turn, role or null, text or null))
+        by[i].append((turn, *(null if x is None else x for x in (role, text))))
     out = Counter()
     for i, turns in by.items():
         digest = lambda r: hashlib.sha256(f"{len(r[1])}:{r[1]}{r[2]}".encode()).digest()
