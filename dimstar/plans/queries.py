@@ -624,10 +624,64 @@ def combined_objective_all_rows(s, d):
     return _combined(v.candidate_rows(s, d))
 
 
-@query()
+def _first_sql(items: str, value: str) -> str:
+    """SQL for the item of the largest value in a list of candidates, the first by k of equal ones; null for an empty list."""
+    return f"(list_sort(list_transform({items}, lambda x: {{'minus': -(x.{value}), 'k': x.k, 'item': x}}))[1]).item"
+
+
+def _step_sql(before: str, new: str, suffix: str) -> str:
+    """SQL for one rule over the choices `before`: the list `new` may give another candidate, then the mode gets the suffix."""
+    return f"""(SELECT target, tspan, l, CASE WHEN new.k <> pick.k THEN mode || '{suffix}' ELSE mode END AS mode, CASE WHEN new.k <> pick.k THEN new ELSE pick END AS pick
+                FROM (SELECT *, {new} AS new FROM {before}))"""
+
+
+def _near_sql(ratio: str, near: float) -> str:
+    return f"round_even({ratio}, 0) BETWEEN 2 AND 20 AND abs({ratio} - round_even({ratio}, 0)) < {near}::DOUBLE"
+
+
+_TINY = "1e-12::DOUBLE"
+_GUARD = _first_sql(
+    f"list_filter(l, lambda x: x.period >= 0.15::DOUBLE AND x.cnn >= pick.cnn - 0.03::DOUBLE AND x.power >= 0.25::DOUBLE * greatest(pick.power, {_TINY}) AND x.combined >= 0.85::DOUBLE * greatest(pick.combined, {_TINY}))",
+    "combined",
+)
+# the scans keep the choice of the moment as their state
+_PROMOTE = f"""list_reduce(l, lambda a, x: CASE
+    WHEN a.stopped OR (x.period > a.now.period AND x.cnn < a.now.cnn - 0.01::DOUBLE) THEN {{'now': a.now, 'stopped': true}}
+    WHEN x.period > a.now.period AND (coalesce(tspan, 0) <= 0 OR x.period <= tspan / 3) AND x.power >= 0.55::DOUBLE * greatest(a.now.power, {_TINY})
+         AND {_near_sql(f"(x.period / greatest(a.now.period, {_TINY}))", 0.05)} AND x.combined >= 0.98::DOUBLE * a.now.combined THEN {{'now': x, 'stopped': false}}
+    ELSE a END, {{'now': pick, 'stopped': false}}).now"""
+_STEP_DOWN = f"""list_reduce(l, lambda a, x: CASE
+    WHEN x.period < a.period AND x.period >= 0.08::DOUBLE AND x.cnn >= a.cnn - 0.03::DOUBLE AND x.power >= 0.25::DOUBLE * greatest(a.power, {_TINY})
+         AND {_near_sql(f"(a.period / greatest(x.period, {_TINY}))", 0.03)} THEN x ELSE a END, pick)"""
+
+
+def selection_sql(candidates: str) -> str:
+    """SQL of `select_candidate` over a relation (target, k, period, power, cnn, tspan)."""
+    found = f"""(SELECT target, tspan, l, CASE WHEN l[1].cnn >= 0.95::DOUBLE THEN 'high_cnn_override' ELSE 'cnn_qualified_combined' END AS mode,
+                        CASE WHEN l[1].cnn >= 0.95::DOUBLE THEN l[1] ELSE {_first_sql("list_filter(l, lambda x: x.cnn * x.penalty >= gate - 0.02::DOUBLE)", "combined")} END AS pick FROM listed)"""
+    found = _step_sql(found, f"CASE WHEN pick.period < 0.10::DOUBLE THEN {_GUARD} END", "+floor_guard")
+    found = _step_sql(found, _PROMOTE, "+alias_promote_longer")
+    found = _step_sql(found, _STEP_DOWN, "+short_alias_guard")
+    within = _first_sql("list_filter(l, lambda x: x.period <= tspan / 3)", "combined")
+    found = _step_sql(found, f"CASE WHEN tspan > 0 AND pick.period > tspan / 3 THEN {within} END", "+transit_ceil_guard")
+    return f"""
+    WITH rated AS (SELECT *, max(lp) OVER (PARTITION BY target) AS top FROM (
+        SELECT target, tspan, k, period, power, cnn, greatest(0.0::DOUBLE, least(1.0::DOUBLE, cnn)) AS c, ln(1 + greatest(power, 0.0::DOUBLE)) AS lp,
+               CASE WHEN period < 0.10::DOUBLE THEN 0.40::DOUBLE ELSE 1.0::DOUBLE END AS penalty FROM ({candidates}))),
+    listed AS (SELECT target, max(tspan) AS tspan, max(cnn * penalty) AS gate, list({{'k': k, 'period': period, 'power': power, 'cnn': cnn, 'penalty': penalty,
+                   'hybrid': (0.7::DOUBLE * c + 0.3::DOUBLE * CASE WHEN top > 1e-9::DOUBLE THEN lp / top ELSE 1 END) * penalty,
+                   'combined': pow(c + 1e-9::DOUBLE, 2) * pow(lp + 1e-9::DOUBLE, 0.1::DOUBLE) * penalty}} ORDER BY cnn DESC, k) AS l FROM rated GROUP BY target)
+    SELECT target, pick.k AS k, pick.period AS period, pick.cnn AS cnn, mode,
+           array_to_string(list_transform(list_sort(list_transform(l, lambda x: {{'minus': -(x.hybrid), 'k': x.k, 'period': x.period, 'cnn': x.cnn}}))[1:5],
+                                          lambda x: printf('%d:%.6f:%.6f:%.6f', x.k, x.period, x.cnn, -x.minus)), ' ') AS top5
+    FROM {found}"""
+
+
+@query(selection_sql(v.CANDIDATE_LISTS))
 def select_candidate(s, d):
     found = selection.select_candidates(v.candidate_lists(s, d))
-    return found.select("target", "k", "period", "cnn", "mode", F.to_json("top5").alias("top5"))
+    entry = lambda x: F.format_string("%d:%.6f:%.6f:%.6f", -x["minus_k"], x["period"], x["cnn"], x["hybrid"])
+    return found.select("target", "k", "period", "cnn", "mode", F.array_join(F.transform("top5", entry), " ").alias("top5"))
 
 
 # Evaluation

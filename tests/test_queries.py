@@ -1,7 +1,8 @@
 """Every query against its SQL, and the driver's contract."""
 
+import numpy as np
 import pytest
-from oracle import same
+from oracle import rows, same
 
 from dimstar.plans import queries
 
@@ -68,8 +69,6 @@ def test_rules_on_all_rows(name, spark, sf):
 
 def test_registered_search_is_the_whole_one(spark, monkeypatch):
     """A short dip below the normal pass's periods is found; all of the grid's lists against the definition in DataFrames."""
-    import numpy as np
-
     rng = np.random.default_rng(5)
     t = np.sort(rng.uniform(0, 27.4, 1500))
     f = rng.normal(0, 0.1, 1500) - 1.0 * ((t - 0.05) % 0.3137 < 0.02)
@@ -86,5 +85,29 @@ def test_registered_search_is_the_whole_one(spark, monkeypatch):
         assert a.k == b.k and np.allclose([a.period, a.t0, a.duration, a.depth, a.power], [b.period, b.t0, b.duration, b.depth, b.power])
 
 
+def test_selection_sql_takes_every_branch(spark, monkeypatch):
+    """Random lists with periods below the floor, aliases, ties and unknown spans: the fold over arrays against its SQL."""
+    import duckdb
+    import pandas as pd
+
+    rng, listed = np.random.default_rng(11), []
+    for target in range(600):
+        base, n = float(rng.choice([0.04, 0.09, 0.2, 1.3, 4.0, 11.0])), int(rng.integers(1, 25))
+        most, spread = (1.0, 0.08) if target % 3 else (0.949, 0.03)
+        span = [27.4, 27.4, 0.0, None, 12.0][target % 5]
+        for k in range(1, n + 1):
+            period = base * float(rng.choice([1, 2, 3, 5, 0.5, 1 / 3, 1.37])) * float(rng.choice([1, 1.004, 1.02]))
+            listed.append((f"t{target}", k, period, float(rng.choice([0, 1, 5, 20, 24.5, 60])), round(most - spread * float(rng.integers(0, 9)) / 8, 4), span))
+    schema = "target string, k int, period double, power double, cnn double, tspan double"
+    monkeypatch.setattr(queries.v, "candidate_lists", lambda s, d: spark.createDataFrame(listed, schema))
+    got = queries.QUERIES["select_candidate"](spark, "").toPandas()
+    con = duckdb.connect()
+    con.register("frame", pd.DataFrame(listed, columns=[c.split()[0] for c in schema.split(", ")]))
+    con.sql("CREATE VIEW listed_rows AS SELECT target, k::INTEGER AS k, period, power, cnn, CASE WHEN isnan(tspan) THEN NULL ELSE tspan END AS tspan FROM frame")
+    assert rows(got) == rows(con.sql(queries.selection_sql("SELECT * FROM listed_rows")).df()) and len(got) == 600
+    for part in ("high_cnn_override", "cnn_qualified_combined", "+floor_guard", "+alias_promote_longer", "+short_alias_guard", "+transit_ceil_guard"):
+        assert got["mode"].str.contains(part, regex=False).sum() >= 5, part
+
+
 def test_registered_windows_have_their_whole_length(spark):
     assert queries.QUERIES["fold_windows"](spark, "/root/testdata/sf0.01").groupBy("target").count().filter("count <> 301").count() == 0
