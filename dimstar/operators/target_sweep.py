@@ -145,10 +145,10 @@ def sweep_targets(
     score = F.col("score_used")
     rows = rows.withColumns({"score": score, "label": failure_label(F.col("status"), score), "score_delta_injected": F.col("score_injected") - score})
     # fixed values: the columns of a results table, and error
-    return vetting.morphology_or_default(rows, shapes).select(
+    return vetting.morphology_or_default(rows, shapes, vetting.ephemeris_errors(places)).select(
         "target", "score", "label", F.col("status").alias("download_status"), "tspan_days", "median_dt_days",
         F.col("period").alias("bls_period"), F.col("t0").alias("bls_t0"), F.col("duration").alias("bls_duration"), F.col("depth").alias("bls_depth"),
         F.col("power").alias("bls_power"), "mode", "polarity_flipped", "score_dip", "score_bump", "score_used", "score_injected", "score_delta_injected",
         F.col("missing").alias("w_nan_frac"), F.col("deviation").alias("w_std"), "min_abs_phase",
-        F.col("n_flags").alias("morph_n_flags"), F.col("flag_summary").alias("morph_flags"), "error",
+        *vetting.SHAPE_COLUMNS, "error",
     )

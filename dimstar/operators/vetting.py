@@ -7,8 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from dimstar.functions.rules import duty_cycle, joined_flags, odd, percent, phase, transit_number
+from dimstar.functions.rules import duty_cycle, joined_flags, odd, percent, phase, tidy, transit_number
 
 _EPHEMERIS = ["target", "period", "t0", "duration"]
 
@@ -16,6 +17,13 @@ _EPHEMERIS = ["target", "period", "t0", "duration"]
 V_SCORE, ASYMMETRY, SECONDARY, DEPTH_CV, DUTY, GRAZING = 1.5, 0.60, -0.80, 0.80, 0.30, 0.50
 CEILING = 0.499
 
+# The shape columns of a results table, and what they hold.
+SHAPE_COLUMNS = {
+    "morph_v_score": "v_score", "morph_asymmetry": "asymmetry", "morph_secondary_dip": "secondary_depth", "morph_depth_cv": "depth_cv",
+    "morph_duty_cycle": "duty_cycle", "morph_grazing_ratio": "grazing_ratio", "morph_grazing_flag": "grazing_flag",
+    "morph_n_flags": "n_flags", "morph_is_strong_fp": "is_strong_fp", "morph_flags": "flag_summary",
+}
+
 
 def folded(df: DataFrame) -> DataFrame:
     """`df` with phase, transit (its number) and dur_phase; rows without a positive period are dropped."""
@@ -189,17 +197,44 @@ def shape_flags(scores: DataFrame) -> DataFrame:
     )
 
 
-def morphology(df: DataFrame, bins: int = 200) -> DataFrame:
-    """One row per target: shape scores rounded to 4 places, and flags."""
-    scores = shape_flags(shape_scores(binned(folded(df), bins)))
-    rounded = {c: F.round(c, 4) for c in ("v_score", "asymmetry", "secondary_depth", "grazing_ratio", "duty_cycle")}
-    return scores.withColumns(rounded)
+def ephemeris_errors(df: DataFrame) -> DataFrame:
+    """(target, error): targets that can't be folded, as period, t0 or duration isn't a finite number, or a length isn't above 0."""
+    bad = lambda c: ~F.coalesce(tidy(F.col(c)) > 0, F.lit(False))
+    why = F.when(bad("period"), "bad_period").when(tidy(F.col("t0")).isNull(), "bad_t0").when(bad("duration"), "bad_duration")
+    return df.groupBy("target").agg(F.min(why).alias("error")).filter("error is not null")
+
+
+def morphology(df: DataFrame, bins: int = 200, with_depth_cv: bool = False) -> DataFrame:
+    """One row per target: shape scores rounded to 4 places, and flags.
+
+    Rows whose ephemeris isn't made of finite numbers (see `ephemeris_errors`) are left out, so their target has no row.
+    `with_depth_cv` also measures how the depths of the transits vary, and may flag it.
+    """
+    for c in ("period", "duration", "t0"):
+        df = df.filter(tidy(F.col(c)) > 0 if c != "t0" else tidy(F.col(c)).isNotNull())
+    rows = folded(df)
+    scores = shape_scores(binned(rows, bins))
+    if with_depth_cv:
+        scores = scores.join(depth_consistency(rows), _EPHEMERIS, "left")
+    scores = shape_flags(scores)
+    return scores.withColumns({c: F.round(c, 4) for c in SHAPE_COLUMNS.values() if c in scores.columns and isinstance(scores.schema[c].dataType, DoubleType)})
 
 
-def morphology_or_default(results: DataFrame, morph: DataFrame) -> DataFrame:
-    """`results` with its target's flags; n_flags is -1 and flag_summary morph_unavailable where nothing could be measured."""
-    found = results.join(morph.select("target", "n_flags", "flag_summary"), "target", "left")
-    return found.withColumns({"n_flags": F.coalesce("n_flags", F.lit(-1)), "flag_summary": F.coalesce("flag_summary", F.lit("morph_unavailable"))})
+def morphology_or_default(results: DataFrame, morph: DataFrame, errors: DataFrame | None = None) -> DataFrame:
+    """`results` with the shape columns of a results table, one target's from `morph`.
+
+    Where nothing could be measured, morph_n_flags is -1, morph_is_strong_fp false, and morph_flags is morph_error:... for a target in
+    `errors` (target, error), else morph_unavailable; all other shape columns are null.
+    """
+    there = morph.columns
+    own = [F.col(c).alias(name) if c in there else F.lit(None).cast("double").alias(name) for name, c in SHAPE_COLUMNS.items()]
+    found = results.join(morph.select("target", *own), "target", "left")
+    why = F.lit("morph_unavailable")
+    if errors is not None:
+        found = found.join(errors.select("target", F.col("error").alias("_why")), "target", "left")
+        why = F.coalesce(F.concat(F.lit("morph_error:"), F.col("_why")), why)
+    defaults = {"morph_n_flags": F.lit(-1), "morph_is_strong_fp": F.lit(False), "morph_flags": why}
+    return found.withColumns({c: F.coalesce(F.col(c), value) for c, value in defaults.items()}).drop("_why")
 
 
 def min_abs_phase(folded: DataFrame) -> DataFrame:

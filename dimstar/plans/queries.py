@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -13,33 +12,10 @@ from dimstar.functions import rules
 from dimstar.functions.runtime import shared_folder
 from dimstar.operators import batch, evaluation, search, selection, series, target_sweep, vetting, windows
 from dimstar.plans import views as v
+from dimstar.plans.registry import QUERIES, SQL, query, r, rounded
 from dimstar.sources import datasets, readers, schemas
 from dimstar.streaming import sweep
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a query under its function's name."""
-
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def r(c, digits: int = 6):
-    return F.round(c, digits)
-
-
-def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
-    return df.withColumns({c: F.round(c, digits) for c in columns})
-
-
 # Batch analysis
 
 
@@ -496,6 +472,40 @@ def morphology(s, d):
     return vetting.morphology(v.with_ephemeris(v.series(s, d)))
 
 
+#: Ephemerides as search results may have them: three dense targets have one that can't be folded.
+_BROKEN_SQL = f"""SELECT *, target = 'click-3' AS bad_p, target = 'view-2' AS bad_t0, target = 'error-1' AS bad_d FROM ({v.EPHEMERIS})"""
+
+
+@query(f"""
+    WITH wanted AS (SELECT DISTINCT target FROM ({v.SERIES}) UNION SELECT DISTINCT target FROM ({v.USER_SERIES})),
+    bad AS (SELECT target, CASE WHEN bool_or(bad_p) THEN 'bad_period' WHEN bool_or(bad_t0) THEN 'bad_t0' ELSE 'bad_duration' END AS why FROM ({_BROKEN_SQL}) WHERE bad_p OR bad_t0 OR bad_d GROUP BY target),
+    uneven AS (SELECT target, CASE WHEN count(*) >= 4 AND abs(avg(depth)) > 0.05::DOUBLE THEN stddev_pop(depth) / abs(avg(depth)) END AS depth_cv
+               FROM (SELECT target, transit, median(f) AS depth FROM ({v.FOLDED}) WHERE abs(phase) < 1.5::DOUBLE * dur_phase / 2 GROUP BY target, transit HAVING count(*) >= 2) GROUP BY target),
+    flagged AS (SELECT s.*, depth_cv, coalesce(secondary_depth < -0.80::DOUBLE, false) AS two, coalesce(duty_cycle > 0.30::DOUBLE AND duration < 0.499::DOUBLE, false) AS high,
+                       coalesce(grazing_ratio < 0.50::DOUBLE, false) AS graze, coalesce(v_score > 1.5::DOUBLE, false) AS vf, coalesce(asymmetry > 0.60::DOUBLE, false) AS asym,
+                       coalesce(depth_cv > 0.80::DOUBLE, false) AS cv
+                FROM ({_SHAPE.replace(v.binned_sql(50), v.binned_sql(200))}) s LEFT JOIN uneven USING (target) WHERE target NOT IN (SELECT target FROM bad))
+    SELECT target, round(v_score, 4) AS morph_v_score, round(asymmetry, 4) AS morph_asymmetry, round(secondary_depth, 4) AS morph_secondary_dip, round(depth_cv, 4) AS morph_depth_cv,
+           round(duty_cycle, 4) AS morph_duty_cycle, round(grazing_ratio, 4) AS morph_grazing_ratio, graze AS morph_grazing_flag,
+           coalesce(two::INTEGER + high::INTEGER + graze::INTEGER + vf::INTEGER + asym::INTEGER + cv::INTEGER, -1)::INTEGER AS morph_n_flags, coalesce(two OR high OR graze, false) AS morph_is_strong_fp,
+           CASE WHEN two IS NULL THEN coalesce('morph_error:' || why, 'morph_unavailable') ELSE coalesce(nullif(array_to_string(list_filter([
+               CASE WHEN two THEN printf('SECONDARY_DIP=%.3fσ', secondary_depth) END, CASE WHEN high THEN 'HIGH_DUTY=' || printf('%.1f%%', duty_cycle * 100) END,
+               CASE WHEN graze THEN printf('GRAZING_V_SHAPE(ratio=%.2f)', grazing_ratio) END, CASE WHEN vf THEN printf('V_SCORE=%.2f>1.5 (V-shaped, EB/rotation)', v_score) END,
+               CASE WHEN asym THEN printf('ASYMM=%.2f', asymmetry) END, CASE WHEN cv THEN printf('DEPTH_CV=%.2f', depth_cv) END], lambda x: x IS NOT NULL), ' | '), ''), 'none') END AS morph_flags
+    FROM wanted LEFT JOIN flagged USING (target) LEFT JOIN bad USING (target)""")
+def shape_results(s, d):
+    """Shape columns of all targets, those that can't be folded and those without an ephemeris included."""
+    rows = v.with_ephemeris(v.series(s, d)).withColumns(
+        {
+            "period": F.when(F.col("target") == "click-3", 0.0).otherwise(F.col("period")),
+            "t0": F.when(F.col("target") == "view-2", float("nan")).otherwise(F.col("t0")),
+            "duration": F.when(F.col("target") != "error-1", F.col("duration")),
+        }
+    )
+    wanted = v.series(s, d).select("target").union(v.user_series(s, d).select("target")).distinct()
+    return vetting.morphology_or_default(wanted, vetting.morphology(rows, with_depth_cv=True), vetting.ephemeris_errors(rows))
+
+
 # Search and selection
 
 _PERIODS, _DURATIONS = search.log_grid(0.6, 6.0, 200), search.legal_durations(0.1, 0.5, 25, 0.6)
@@ -923,3 +933,6 @@ def hourly_levels(s, d):
 def entry(spark: SparkSession) -> DataFrame:
     """Tier counts of the smallest tables."""
     return tier_counts(spark, "/root/testdata/sf0.001")
+
+
+from dimstar.plans import stored  # noqa: E402, F401  registers its queries

@@ -159,6 +159,28 @@ def test_shapes(spark):
     assert rotation["high_duty_flag"] and rotation["is_strong_fp"]
 
 
+def test_shapes_that_cannot_be_measured(spark):
+    """Broken ephemerides become rows of their own and leave the others as they are; uneven depths are flagged if asked for."""
+    rows = []
+    for i in range(4000):
+        t = i / 100
+        p = ((t + 1.0) % 2.0) / 2.0 - 0.5
+        f = -(0.2 + 3.0 * (math.floor(t / 2.0 + 0.5) % 5 == 0)) if abs(p) <= 0.025 else 0.01 * math.sin(i * 12.9898)
+        rows += [("fine", t, f, 2.0, 0.0, 0.1), ("zero", t, f, 0.0, 0.0, 0.1), ("nan", t, f, float("nan"), 0.0, 0.1), ("late", t, f, 2.0, float("inf"), 0.1), ("flat", t, f, 2.0, 0.0, None)]
+    df = spark.createDataFrame(rows, "target string, t double, f double, period double, t0 double, duration double")
+    results = spark.createDataFrame([(t,) for t in ("fine", "zero", "nan", "late", "flat", "none")], "target string")
+    plain = vetting.morphology(df)
+    found = {r["target"]: r for r in vetting.morphology_or_default(results, plain, vetting.ephemeris_errors(df)).collect()}
+    assert {t: r["morph_flags"] for t, r in found.items() if t != "fine"} == {
+        "zero": "morph_error:bad_period", "nan": "morph_error:bad_period", "late": "morph_error:bad_t0", "flat": "morph_error:bad_duration", "none": "morph_unavailable"
+    }
+    assert all(r["morph_n_flags"] == -1 and r["morph_is_strong_fp"] is False and r["morph_v_score"] is None for t, r in found.items() if t != "fine")
+    alone = vetting.morphology(df.filter("target = 'fine'")).first()
+    assert plain.collect() == [alone] and found["fine"]["morph_n_flags"] == alone["n_flags"] and found["fine"]["morph_depth_cv"] is None
+    uneven = vetting.morphology(df, with_depth_cv=True).first()
+    assert uneven["depth_cv"] > 0.8 and uneven["depth_cv_flag"] and "DEPTH_CV=" in uneven["flag_summary"] and uneven["n_flags"] == alone["n_flags"] + 1
+
+
 def test_windows(spark):
     w = spark.createDataFrame([([1.0, 2.0, None, 3.0],), ([2.0, 2.0],), ([],)], "w array<double>")
     got = [r["z"] for r in w.select(windows.zscored(F.col("w")).alias("z")).collect()]
