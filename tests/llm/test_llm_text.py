@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from cases import edge_docs, edge_rows, no_docs
 from hypothesis import given, settings
@@ -14,6 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from dimstar.functions import runtime
 from dimstar.llm import bpe, packing, quality, queries, secrets, spotsigs
 
 VOCABULARY = queries.public_vocabulary()
@@ -515,6 +517,29 @@ def test_pipeline_stage_by_stage(spark, sf, library):
     assert len(pipeline.run(spark, sf).collect()) == len(packed)
 
 
+def test_batches_of_long_texts_are_small(spark):
+    """A task's texts don't go to Python as a whole: 2,000 of 20,000 characters came in one batch of 40 MB."""
+    session = spark.newSession()
+    docs = session.range(0, 2000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("a word or two 8 "), 1250).alias("text"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["n", "bytes"])
+
+    @F.arrow_udf("long")
+    def size(texts: pa.Array) -> pa.Array:
+        return pa.array([texts.nbytes] * len(texts))
+
+    packing.token_pieces(docs, queries.public_vocabulary())
+    found = docs.mapInArrow(sizes, "n long, bytes long").agg(F.sum("n"), F.max("bytes")).first()
+    assert found[0] == 2000 and found[1] < 3_000_000
+    assert docs.select(size("text").alias("bytes")).agg(F.max("bytes")).first()[0] < 3_000_000
+    own = spark.newSession()
+    own.conf.set(runtime.BATCH_SETTING, "8m")
+    packing.token_pieces(own.createDataFrame([(1, "a")], "doc_id long, text string"), queries.public_vocabulary())
+    assert own.conf.get(runtime.BATCH_SETTING) == "8m"
+
+
 def test_pipeline_of_an_empty_table(spark, sf):
     import corpus_pipeline as pipeline
 
