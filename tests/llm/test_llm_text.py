@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 from cases import edge_docs, edge_rows, no_docs
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -442,6 +443,51 @@ def test_tokens_of_any_text(text):
     assert bpe.vocabulary(VOCABULARY).decode(ids) == library.decode(ids, skip_special_tokens=False)
 
 
+def split_by_places(texts):
+    """The words of each text by `word_starts`, all texts laid out one after another."""
+    raw = [t.encode() for t in texts]
+    edges = np.cumsum([0, *map(len, raw)])
+    data = b"".join(raw)
+    begins = np.flatnonzero(bpe.word_starts(np.frombuffer(data, np.uint8), edges[1:-1])).tolist()
+    words = [(a, data[a:b].decode()) for a, b in zip(begins, [*begins[1:], len(data)])]
+    return [[w for at, w in words if a <= at < b] for a, b in zip(edges, edges[1:])]
+
+
+def test_words_by_places_are_the_patterns():
+    chars = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    for at in range(0, len(chars), 100_000):
+        for between in ("", "a", "1 ", " '"):
+            text = between.join(chars[at : at + 100_000])
+            begins = np.flatnonzero(bpe.word_starts(np.frombuffer(text.encode(), np.uint8), np.zeros(0, int)))
+            assert np.array_equal(begins, np.cumsum([0, *(len(w.encode()) for w in regex.findall(bpe.SPLIT, text))])[:-1])
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.text(st.sampled_from("'' ' ' streveldmllSx1²\n\t\x1c\x85\xa0 ́éж中😀.-"), max_size=12), min_size=1, max_size=5).filter(any))
+def test_words_of_texts_side_by_side(texts):
+    assert split_by_places(texts) == [regex.findall(bpe.SPLIT, t) for t in texts]
+
+
+def test_new_words_go_side_by_side(library, monkeypatch):
+    """Tens of thousands of different words without a call for each; long words, special tokens and a full table among them."""
+    rng = np.random.default_rng(8)
+    parts = ["th", "er", "on", "ci", "ó", "né", "ge", "sch", "tz", "12", "ж", "ing", "A", "'ll", "q", "ß", "中"]
+    texts = [" ".join("".join(rng.choice(parts, rng.integers(1, 9))) for _ in range(300)) for _ in range(100)]
+    texts += ["", "a<|endoftext|>", "<|endoftext|><|endoftext|> it's", "", "x" * 65 + " " + "ab" * 300, "they'll 'say''s 're'd"]
+    v, calls = bpe.Vocabulary(VOCABULARY), Counter()
+    for name in ("proposed", "merged"):
+        alone = getattr(bpe.Vocabulary, name)
+        monkeypatch.setattr(bpe.Vocabulary, name, lambda self, word, alone=alone, name=name: (calls.update([name]), alone(self, word))[1])
+    wanted = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert list(v.encode_batch(texts)) == wanted and len(v.ids) > 15_000
+    assert calls["proposed"] <= 2 and calls["merged"] <= 2
+    monkeypatch.setattr(bpe, "WORDS_KEPT", 5_000)
+    monkeypatch.setattr(bpe, "WORDS_AT_ONCE", 700)
+    monkeypatch.setattr(bpe, "CHARS_AT_ONCE", 9_000)
+    v = bpe.Vocabulary(VOCABULARY)
+    assert list(v.encode_batch(texts)) == wanted and len(v.ids) <= 5_000
+
+
 # Packing
 
 
